@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, packing, token_files
+from factloom.llm import bpe, chat, packing, rules, token_files
 
-MODULES = (bpe, packing, token_files)
+MODULES = (bpe, chat, packing, rules, token_files)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
