@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, chat, classifier, line_dedup, ngram_join, packing, rules, token_files, topk
+from factloom.llm import bpe, chat, classifier, licenses, line_dedup, ngram_join, packing, rules, token_files, topk
 
-MODULES = (bpe, chat, classifier, topk, packing, rules, token_files, line_dedup, ngram_join)
+MODULES = (bpe, chat, classifier, topk, packing, licenses, rules, token_files, line_dedup, ngram_join)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
