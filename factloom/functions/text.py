@@ -11,6 +11,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD_CHAR = r"[\p{L}\p{N}_]"
 BEFORE, AFTER = rf"(?<!{WORD_CHAR})", rf"(?!{WORD_CHAR})"
@@ -192,7 +193,7 @@ def salience(text: Column, is_user: Column, is_inference: Column) -> Column:
     return F.when(t == "", F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(10.0), score)))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def normalize_text(texts: pa.Array) -> pa.Array:
     """NFC, full case folding, white space collapsed: Spark has no function for the first two."""
     return pa.array([None if t is None else " ".join(unicodedata.normalize("NFC", t).casefold().split()) for t in texts.to_pylist()], pa.string())
@@ -202,7 +203,7 @@ entity_key = normalize_text
 _EDGES = string.punctuation + string.whitespace
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def restatement_key(texts: pa.Array) -> pa.Array:
     """White space collapsed, case folded, punctuation at both ends gone; an empty key never equals another."""
     return pa.array([None if t is None else " ".join(t.split()).casefold().strip(_EDGES) for t in texts.to_pylist()], pa.string())

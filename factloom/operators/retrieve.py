@@ -48,6 +48,10 @@ def dense_arm(
     return ranked.withColumn("dense_rank", F.row_number().over(W.orderBy("distance", id)))
 
 
+def _occurrences(tokens: str, word: str) -> Column:
+    return F.size(F.filter(tokens, lambda t: t == F.lit(word)))
+
+
 def bm25_scores(docs: DataFrame, query: str, text: str = "text") -> DataFrame:
     """Docs that hold a term of the query, with `bm25`. Statistics are of the whole table, by one partial aggregation."""
     terms = query_terms(query)
@@ -55,7 +59,7 @@ def bm25_scores(docs: DataFrame, query: str, text: str = "text") -> DataFrame:
         return docs.where("false").withColumn("bm25", F.lit(0.0))
     tokens = search_tokens(F.col(text))
     counted = docs.withColumn("_tokens", tokens).withColumns(
-        {"_size": F.size("_tokens"), **{f"_tf{i}": F.size(F.filter("_tokens", lambda t, w=w: t == w)) for i, w in enumerate(terms)}}
+        {"_size": F.size("_tokens"), **{f"_tf{i}": _occurrences("_tokens", w) for i, w in enumerate(terms)}}
     ).drop("_tokens")
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("_size").alias("size"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
     n, size = stats["n"], stats["size"] or 1.0

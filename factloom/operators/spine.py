@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from factloom.shared import materialized
+
 
 def visible_at(valid_at: Column, valid_to: Column, t: int | Column) -> Column:
     """valid_at <= T and the half-open interval isn't closed by T."""
@@ -72,26 +74,24 @@ def current(asserts: DataFrame, events: DataFrame) -> DataFrame:
 def chains(facts: DataFrame, start: DataFrame, most: int = 64) -> DataFrame:
     """All facts before and after the given ids along superseded_by: (start_id, id, step), older ones with steps below 0.
 
-    Each round joins the frontier once; the loop ends when it's empty, or after `most` rounds, which also breaks cycles.
+    Links are doubled: what lies up to 2**k steps away is joined with links of 2**k steps, so `most` steps take
+    log2(most) rounds. Steps end at `most`, which also ends cycles.
     """
-    links = facts.where("superseded_by IS NOT NULL").select("id", "superseded_by")
+    links = facts.where("superseded_by IS NOT NULL").select("id", F.col("superseded_by").alias("to"))
     here = start.select(F.col("id").alias("start_id"), "id", F.lit(0).alias("step"))
-    found = [here]
-    for direction in (1, -1):
-        now = here
-        for i in range(1, most + 1):
-            if direction > 0:
-                now = now.join(links, "id").select("start_id", F.col("superseded_by").alias("id"), F.lit(i).alias("step"))
-            else:
-                back = links.select(F.col("id").alias("older"), F.col("superseded_by").alias("id"))
-                now = now.join(back, "id").select("start_id", F.col("older").alias("id"), F.lit(-i).alias("step"))
-            if now.isEmpty():
+    found = here
+    for sign, hops in ((1, links), (-1, links.select(F.col("to").alias("id"), F.col("id").alias("to")))):
+        side, length = here, 1
+        while length <= most:
+            hops = materialized(hops, "links")
+            if hops.isEmpty():
                 break
-            found.append(now)
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+            ahead = side.join(hops, "id").select("start_id", F.col("to").alias("id"), (F.col("step") + sign * length).alias("step"))
+            side = materialized(side.unionByName(ahead.where(F.abs("step") <= most)), "chain")
+            hops = hops.select("id", F.col("to").alias("via")).join(hops.select(F.col("id").alias("via"), "to"), "via").select("id", "to")
+            length *= 2
+        found = found.unionByName(side.where("step <> 0"))
+    return found
 
 
 def closing_events(closed: DataFrame, facts: DataFrame, derivations: DataFrame) -> DataFrame:

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_TYPES = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "array<float>": T.ArrayType(T.FloatType())}
+
+
 def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """Columns from "name type, ..."; unlike Spark's own parser this needs no session."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (c.split() for c in spec.split(", "))])
 
 
 EPISODE = _struct("id string, namespace string, raw string, source string, t_ref long, created_at long, seq long")
