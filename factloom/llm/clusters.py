@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factloom.llm.common import cut
+from factloom.llm.common import broadcast_if_small, cut
 
 #: Bytes of items that a task holds at once.
 BLOCK_BYTES = 48 << 20
@@ -80,11 +80,23 @@ def weak_edges(shared: DataFrame, key: str = "key", item: str = "item", may_lead
     return shared.select(F.col(item).alias("a"), lead.alias("b")).where("b IS NOT NULL AND a <> b").distinct()
 
 
+def place(items: DataFrame) -> DataFrame:
+    """Add `blocks` and `block` to items (component, item, size, ...), so that no block has much more than BLOCK_BYTES.
+
+    Sizes are added up partially before the shuffle; only components of several blocks are joined back, and those are
+    at most as many as blocks.
+    """
+    totals = items.groupBy("component").agg(F.sum("size").alias("total")).where(F.col("total") > BLOCK_BYTES)
+    wide = cut(totals.select(F.col("component").alias("wide"), F.ceil(F.col("total") / BLOCK_BYTES).cast("long").alias("blocks")), "wide")
+    wide = broadcast_if_small(wide, wide.count(), 32)
+    joined = items.join(wide, items["component"] == wide["wide"], "left").drop("wide")
+    joined = joined.withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    return joined.withColumn("block", F.pmod(F.xxhash64("item"), F.col("blocks")))
+
+
 def linked(items: DataFrame, cluster: Cluster) -> DataFrame:
-    """Items (component, item, size, payload binary) -> (item, leader): clusters inside components, named by the least item."""
-    by = W.partitionBy("component")
-    blocks = F.greatest(F.lit(1), F.ceil(F.sum("size").over(by) / BLOCK_BYTES)).cast("long")
-    placed = items.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("item"), F.col("blocks")))
+    """Items (component, block, blocks, item, size, payload binary) -> (item, leader): clusters inside components, named
+    by the least item."""
 
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("item", ignore_index=True)
@@ -93,7 +105,7 @@ def linked(items: DataFrame, cluster: Cluster) -> DataFrame:
         return pd.DataFrame({"component": pdf["component"], "block": pdf["block"], "blocks": pdf["blocks"], "item": names, "leader": [names[i] for i in labels]})
 
     schema = "component long, block long, blocks long, item long, leader long"
-    start = placed.withColumn("leader", F.col("item"))
+    start = items.withColumn("leader", F.col("item"))
     first = cut(start.groupBy("component", "block").applyInPandas(local, schema), "clusters")
     wide = first.where("blocks > 1")
     if wide.isEmpty():
@@ -106,9 +118,11 @@ def linked(items: DataFrame, cluster: Cluster) -> DataFrame:
         return rows.groupBy("component", "block").applyInPandas(local, schema).select(F.col("item").alias("a"), F.col("leader").alias("b")).where("a <> b")
 
     # leaders of one component meet where they fit into a block
-    leaders = wide.where("item = leader").join(payload, "item").withColumn("total", F.sum("size").over(by)).where(F.col("total") <= BLOCK_BYTES)
+    leaders = wide.where("item = leader").join(payload, "item")
+    fit = leaders.groupBy("component").agg(F.sum("size").alias("total")).where(F.col("total") <= BLOCK_BYTES)
+    leaders = leaders.join(fit.select("component"), "component", "left_semi")
     edges = wide.select(F.col("item").alias("a"), F.col("leader").alias("b")).where("a <> b")
-    met = edges.unionAll(links(leaders.withColumn("block", F.lit(0).cast("long")).drop("total")))
+    met = edges.unionAll(links(leaders.withColumn("block", F.lit(0).cast("long"))))
     named = components(met).select(F.col("node").alias("item"), F.col("component").alias("named"))
     now = cut(wide.join(named, "item", "left").select("component", "block", "blocks", "item", F.coalesce("named", "leader").alias("leader")), "clusters")
     # blocks that hold more than one cluster between them meet in pairs

@@ -29,9 +29,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.clusters import Sets, components, linked, weak_edges
+from factloom.llm.clusters import Sets, components, linked, place, weak_edges
 from factloom.llm.common import broadcast_if_small, cut, prepare, table
-from factloom.llm.ngram_join import _Seen
+from factloom.llm.ngram_join import _name, _Seen
 
 EDITS = 2
 MIN_CHARS = 32
@@ -176,40 +176,37 @@ def edit_clusters(payloads: list[bytes], labels: list[int], edits: int = EDITS)
     return groups.labels()
 
 
-def _name(digest: bytes) -> int:
-    return int.from_bytes(digest[:8], "little", signed=True)
-
-
 def sketch(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """(doc_id, items, numbers, keys, owners, indexed): the lines with words, and keys of those that a task meets first."""
+    """(doc_id, items, numbers, sizes, keys, owners, indexed): the lines with words, and keys of those that a task meets first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Seen()
         for batch in batches:
-            columns: list[list] = [[], [], [], [], []]
+            columns: list[list] = [[], [], [], [], [], []]
             for text in batch.column(1).to_pylist():
-                items, numbers, keys, owners, indexed = [], [], [], [], []
+                items, numbers, sizes, keys, owners, indexed = [], [], [], [], [], []
                 for i, line in enumerate((text or "").split("\n")):
                     if line.strip(SPACES):
                         digest = hashlib.md5(line.encode()).digest()
                         name = _name(digest)
                         items.append(name)
                         numbers.append(i)
+                        sizes.append(len(line))
                         if len(line) >= min_chars and seen.first(digest):
                             own, seek = line_keys(line, edits)
                             keys += own
                             keys += seek
                             owners += [name] * (len(own) + len(seek))
                             indexed += [True] * len(own) + [False] * len(seek)
-                for column, value in zip(columns, (items, numbers, keys, owners, indexed), strict=True):
+                for column, value in zip(columns, (items, numbers, sizes, keys, owners, indexed), strict=True):
                     column.append(value)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[pa.array(c, pa.list_(k)) for c, k in zip(columns, kinds, strict=True)]],
-                ["doc_id", "items", "numbers", "keys", "owners", "indexed"],
+                ["doc_id", "items", "numbers", "sizes", "keys", "owners", "indexed"],
             )
 
-    schema = "doc_id long, items array<long>, numbers array<int>, keys array<long>, owners array<long>, indexed array<boolean>"
+    schema = "doc_id long, items array<long>, numbers array<int>, sizes array<int>, keys array<long>, owners array<long>, indexed array<boolean>"
     return docs.mapInArrow(run, schema)
 
 
@@ -219,11 +216,13 @@ def line_classes(docs: DataFrame, sketches: DataFrame, edits: int) -> DataFrame:
         F.col("x.keys").alias("key"), F.col("x.owners").alias("item"), F.col("x.indexed").alias("indexed")
     )
     weak = cut(components(weak_edges(keyed, may_lead="indexed")), "weak")
-    lines = sketches.select("doc_id", F.explode(F.arrays_zip("items", "numbers")).alias("x")).select("doc_id", F.col("x.items").alias("item"), F.col("x.numbers").alias("number"))
-    firsts = lines.join(weak, F.col("item") == F.col("node")).groupBy("item", "component").agg(F.min(F.struct("doc_id", "number")).alias("at"))
-    wanted = cut(firsts.groupBy(F.col("at.doc_id").alias("k")).agg(F.collect_list(F.struct("at.number", "item", "component")).alias("lines")), "wanted")
+    lines = sketches.select("doc_id", F.explode(F.arrays_zip("items", "numbers", "sizes")).alias("x")).select("doc_id", F.col("x.items").alias("item"), F.col("x.numbers").alias("number"), F.col("x.sizes").alias("chars"))
+    firsts = lines.join(weak, F.col("item") == F.col("node")).groupBy("item", "component")
+    chosen = firsts.agg(F.min(F.struct("doc_id", "number")).alias("at"), (12 * F.max("chars") + 600).cast("long").alias("size"))  # text, keys and index
+    placed = place(cut(chosen, "chosen"))
+    wanted = cut(placed.groupBy(F.col("at.doc_id").alias("k")).agg(F.collect_list(F.struct("at.number", "component", "block", "blocks", "item", "size")).alias("lines")), "wanted")
     size = wanted.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("lines")).alias("m")).first()
-    wanted = broadcast_if_small(wanted, 40 * size["n"] + 24 * (size["m"] or 0), 1)
+    wanted = broadcast_if_small(wanted, 40 * size["n"] + 48 * (size["m"] or 0), 1)
     texts = docs.join(wanted, docs["doc_id"] == wanted["k"]).select("lines", "t")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,12 +233,13 @@ def line_classes(docs: DataFrame, sketches: DataFrame, edits: int) -> DataFrame:
                 for x in wanted_lines:
                     line = split[x["number"]].encode() if x["number"] < len(split) else b""
                     if _name(hashlib.md5(line).digest()) == x["item"]:  # ids can repeat
-                        found.append((x["component"], x["item"], len(line) + 300, line))
-            columns = list(zip(*found, strict=True)) if found else [[], [], [], []]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["component", "item", "size", "payload"])
+                        found.append((x["component"], x["block"], x["blocks"], x["item"], x["size"], line))
+            columns = list(zip(*found, strict=True)) if found else [[]] * 6
+            kinds = (*[pa.int64()] * 5, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in schema.split(", ")])
 
-    payloads = texts.mapInArrow(take, "component long, item long, size long, payload binary").dropDuplicates(["item"])
+    schema = "component long, block long, blocks long, item long, size long, payload binary"
+    payloads = texts.mapInArrow(take, schema).dropDuplicates(["item"])
     return linked(payloads, lambda p, labels: edit_clusters(p, labels, edits))
 
 
@@ -251,7 +251,9 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     leaders = line_classes(bare, sketches, edits)
     lines = sketches.select("doc_id", F.explode(F.arrays_zip("items", "numbers")).alias("x")).select("doc_id", F.col("x.items").alias("item"), F.col("x.numbers").alias("number"))
     classed = lines.join(leaders, "item", "left").select("doc_id", "number", F.coalesce("leader", "item").alias("class"))
+    # written, so that the join deals out both sides itself and Spark can split a class with very many lines
     firsts = classed.groupBy("class").agg(F.min(F.struct("doc_id", "number")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    firsts = cut(firsts, "firsts")
     later = classed.join(firsts, "class").where(F.struct("doc_id", "number") != F.col("first"))
     dropped = cut(later.groupBy(F.col("doc_id").alias("k")).agg(F.collect_set("number").alias("dropped")), "dropped")
     size = dropped.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("dropped")).alias("m")).first()

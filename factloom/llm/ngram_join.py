@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factloom.llm.clusters import Sets, components, linked, weak_edges
+from factloom.llm.clusters import Sets, components, linked, place, weak_edges
 from factloom.llm.common import broadcast_if_small, cut, prepare, table
 
 WORDS = 5
@@ -106,6 +106,10 @@ class _Seen:
         return True
 
 
+def _name(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
 def sketch(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> DataFrame:
     """(doc_id, digest, item, size, prefix): prefix only for the first of copies in a task."""
 
@@ -118,7 +122,7 @@ def sketch(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> Dat
                 digest = hashlib.md5(b" ".join(words)).digest()
                 found = shingles(words, n)
                 digests.append(digest)
-                items.append(int.from_bytes(digest[:8], "little", signed=True))
+                items.append(_name(digest))
                 sizes.append(len(found))
                 prefixes.append(found[: prefix_length(len(found), percent)] if len(found) and seen.first(digest) else None)
             yield pa.RecordBatch.from_arrays(
@@ -225,27 +229,26 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT,
 
     # the sets of what remains are made again from the texts
     weak = cut(weak, "weak")
-    firsts = sketches.where("prefix IS NOT NULL").select("doc_id", "item").join(weak, F.col("item") == F.col("node"))
-    chosen = cut(firsts.groupBy("item", "component").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")).drop("n"), "chosen")
-    chosen = broadcast_if_small(chosen.withColumnRenamed("doc_id", "k"), chosen.count(), 48)
+    firsts = sketches.where("prefix IS NOT NULL").select("doc_id", "item", "size").join(weak, F.col("item") == F.col("node"))
+    chosen = firsts.groupBy("item", "component").agg(F.min("doc_id").alias("k"), (8 * F.max("size") + 200).cast("long").alias("size"))
+    chosen = cut(place(cut(chosen, "chosen")), "placed")
+    chosen = broadcast_if_small(chosen, chosen.count(), 64)
     rows = docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc_id"), docs[f"`{text}`"].cast("string").alias("t"))
-    texts = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("k"))).select("component", "item", "t")
+    texts = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("k"))).select("component", "block", "blocks", "item", "size", "t")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            components_, items, found = [], [], []
-            for c, i, t in zip(*(batch.column(x).to_pylist() for x in range(3)), strict=True):
+            places, found = [], []
+            for i, (item, t) in enumerate(zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)):
                 words = words_of(t)
-                if int.from_bytes(hashlib.md5(b" ".join(words)).digest()[:8], "little", signed=True) == i:  # ids can repeat
-                    components_.append(c)
-                    items.append(i)
+                if _name(hashlib.md5(b" ".join(words)).digest()) == item:  # ids can repeat
+                    places.append(i)
                     found.append(shingles(words, n).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(components_, pa.int64()), pa.array(items, pa.int64()), pa.array([len(f) + 200 for f in found], pa.int64()), pa.array(found, pa.binary())],
-                ["component", "item", "size", "payload"],
-            )
+            kept = batch.take(pa.array(places, pa.int64())).select(["component", "block", "blocks", "item", "size"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(found, pa.binary())], [*kept.schema.names, "payload"])
 
-    payloads = texts.mapInArrow(sets, "component long, item long, size long, payload binary").dropDuplicates(["item"])
+    schema = "component long, block long, blocks long, item long, size long, payload binary"
+    payloads = texts.mapInArrow(sets, schema).dropDuplicates(["item"])
     leaders = linked(payloads, lambda p, labels: jaccard_clusters(p, labels, percent))
     classes = sketches.where("size > 0").groupBy("digest", "item").agg(F.min("doc_id").alias("least"))
     named = cut(classes.join(leaders, "item", "left").select("digest", "least", F.coalesce("leader", "item").alias("leader"), F.col("leader").isNotNull().alias("joined")), "named")
