@@ -28,10 +28,12 @@ from pyspark.sql import types as T
 from factloom.llm.common import prepare, table
 
 #: Labelled rows that are learned from, at most.
-MAX_TRAIN = 6000
+MAX_TRAIN = 4000
 #: An n-gram is learned when it occurs in so many of these.
 MIN_DOCUMENTS = 5
 FOLDS, EPOCHS, COST = 3, 12, 0.05
+#: Words that a worker keeps the codes of.
+KEPT_WORDS = 120_000
 #: Runs of one word that give an indicator each.
 RUNS = (2, 3, 4, 6, 10)
 
@@ -76,7 +78,7 @@ def features(text: str | None) -> np.ndarray:
     words = (text or "").split()
     if not words:
         return np.zeros(0, np.int64)
-    if len(_words) > 500_000:
+    if len(_words) > KEPT_WORDS:
         _words.clear()
     at = np.fromiter(map(_words.__getitem__, words), np.int64, len(words))
     codes, shapes = _words.codes[at], _words.shapes[at]
@@ -180,9 +182,9 @@ def fit(found: list[np.ndarray], quality: list[int]) -> Model:
 def learn(docs: DataFrame, labels: DataFrame, use: Column, label: str = "quality", doc_id: str = "doc_id", text: str = "text", most: int = MAX_TRAIN) -> Model:
     """Fit to the labelled rows for which `use` (a condition on the labels) holds, at most `most`."""
 
-    @F.arrow_udf(T.ArrayType(T.LongType()))
+    @F.arrow_udf(T.BinaryType())
     def grams(texts: pa.Array) -> pa.Array:
-        return pa.array([features(t) for t in texts.to_pylist()], pa.list_(pa.int64()))
+        return pa.array([features(t).tobytes() for t in texts.to_pylist()], pa.binary())
 
     marked = (
         labels.where(use & labels[label].isin(0, 1) & labels[doc_id].isNotNull())
@@ -194,8 +196,8 @@ def learn(docs: DataFrame, labels: DataFrame, use: Column, label: str = "quality
     texts = docs.select(docs[doc_id].cast("long").alias("_k"), docs[text].alias("_t"))
     # at most `most` rows are sent to all executors
     rows = texts.join(F.broadcast(marked), "_k").select("_k", "_y", grams("_t").alias("f")).collect()
-    rows = sorted({r["_k"]: r for r in sorted(rows, key=lambda r: (r["_k"], r["f"]))}.values(), key=lambda r: r["_k"])
-    return fit([np.array(r["f"], np.int64) for r in rows], [r["_y"] for r in rows])
+    rows = sorted({r["_k"]: r for r in sorted(rows, key=lambda r: (r["_k"], bytes(r["f"])))}.values(), key=lambda r: r["_k"])
+    return fit([np.frombuffer(bytes(r["f"]), np.int64) for r in rows], [r["_y"] for r in rows])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import broadcast_if_small, cut
 
-#: Bytes of items that a task holds at once.
-BLOCK_BYTES = 48 << 20
+#: Bytes that the items of a task's block take in memory, by the estimate in `size`.
+BLOCK_BYTES = 128 << 20
 
 #: (items, labels or None) -> labels: items of equal label are linked already; the result has the least index of each cluster.
 Cluster = Callable[[list, list[int]], list[int]]

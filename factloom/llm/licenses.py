@@ -63,7 +63,7 @@ TEMPLATES = {
 
 class _Hashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         h = xxhash.xxh3_64_intdigest(word.lower().encode()) - (1 << 63)
         if len(word) <= 64:

@@ -44,7 +44,7 @@ ORDERS = (np.int64(0x2545F4914F6CDD1D), np.int64(0x369DEA0F31A53F85))
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         h = xxhash.xxh3_64_intdigest(word) - (1 << 63)
         if len(word) <= 64:
@@ -94,7 +94,7 @@ def prefix_length(size: int, percent: int = PERCENT) -> int:
 class _Seen:
     """Digests a task has seen; forgetting some only means a copy more."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 250_000):
         self.most, self.held = most, set()
 
     def first(self, digest: bytes) -> bool:
@@ -230,7 +230,7 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT,
     # the sets of what remains are made again from the texts
     weak = cut(weak, "weak")
     firsts = sketches.where("prefix IS NOT NULL").select("doc_id", "item", "size").join(weak, F.col("item") == F.col("node"))
-    chosen = firsts.groupBy("item", "component").agg(F.min("doc_id").alias("k"), (8 * F.max("size") + 200).cast("long").alias("size"))
+    chosen = firsts.groupBy("item", "component").agg(F.min("doc_id").alias("k"), (70 * F.max("size") + 400).cast("long").alias("size"))  # set, orders and index
     chosen = cut(place(cut(chosen, "chosen")), "placed")
     chosen = broadcast_if_small(chosen, chosen.count(), 64)
     rows = docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc_id"), docs[f"`{text}`"].cast("string").alias("t"))
