@@ -7,10 +7,13 @@ with a bounded top-k (TakeOrderedAndProject), no join with the corpus and nothin
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factloom.functions import scoring
 from factloom.functions.text import query_terms, search_tokens
@@ -101,6 +104,17 @@ def identity_rerank(fused: DataFrame) -> DataFrame:
     return fused.withColumn("relevance_raw", (F.count(F.lit(1)).over(W.partitionBy()) - F.col("fused_rank") + 1).cast("double"))
 
 
+def rerank(fused: DataFrame, facts: DataFrame, query: str, score: Callable[[str, list[str]], list[float]], id: str = "id", text: str = "fact_text") -> DataFrame:
+    """A model's scores of at most FUSED candidates, in Arrow batches; `score` gets the query and texts."""
+
+    @F.arrow_udf(T.DoubleType())
+    def scores(texts: pa.Array) -> pa.Array:
+        return pa.array([float(s) for s in score(query, texts.to_pylist())], pa.float64())
+
+    rows = facts.select(id, text).join(F.broadcast(fused), id)  # at most FUSED rows
+    return rows.withColumn("relevance_raw", scores(F.col(text))).drop(text)
+
+
 def hits(reranked: DataFrame, facts: DataFrame, now: int, k: int = 5, id: str = "id") -> DataFrame:
     """The k best by the final score; `facts` gives salience, last_access and valid_at of at most FUSED candidates."""
     rows = facts.join(F.broadcast(reranked), id)  # at most FUSED rows

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from factloom.functions import scoring
 from factloom.operators import lifecycle, maintain
 from factloom.plans.inputs import EVENTS, NOW, epoch_ms, event_facts, table
-from factloom.plans.text import _FOLD
+from factloom.plans.text import NORMAL
 
 DAY = 86_400_000
 #: All event facts count as current here, so that slots hold many; "now" leaves most of them old.
 LATER = NOW + 100 * DAY
+#: The last run's cursor: 2024-01-16.
+SINCE = 1_705_363_200_000
 CONFIG = maintain.Config(min_cluster=5, evict_threshold=0.35, auto_salience=3.0, auto_age_days=120)
 
 
@@ -61,7 +63,7 @@ def evict_propose(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    since = event_facts(spark, sf_dir).where("id > 700")
+    since = event_facts(spark, sf_dir).where(F.col("valid_at") > SINCE)
     return maintain.due(since, NOW - DAY, NOW).select("new_facts", F.round("new_salience", 4).alias("new_salience"), "due")
 
 
@@ -82,7 +84,7 @@ def first_decision_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _unique_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of decisions with one number, the last dated and then the rejected one counts, so that the order is total."""
-    rows = table(spark, sf_dir, "lineitem").where("l_partkey % 3 = 0")
+    rows = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'N'")
     status = F.when(F.col("l_returnflag") == "R", "rejected").otherwise("approved")
     return rows.groupBy(F.col("l_orderkey").cast("string").alias("proposal_id"), F.col("l_linenumber").cast("long").alias("seq")).agg(
         F.max(status).alias("status"), F.lit(None).cast("string").alias("reason"), F.max(epoch_ms("l_shipdate")).alias("decided_at"), F.max(epoch_ms("l_shipdate")).alias("applied_at")
@@ -119,11 +121,11 @@ QUERIES = {
 }
 ORACLES = {
     "dedup_exact": f"""
-WITH d AS (SELECT doc_id, source, lang, {_FOLD.format('text')} AS norm, doc_id % 97 AS valid_at, doc_id % 5 AS access_count FROM documents),
+WITH d AS (SELECT doc_id, source, lang, {NORMAL.format('text')} AS norm, doc_id % 97 AS valid_at, doc_id % 5 AS access_count FROM documents),
 g AS (SELECT source, lang, list(doc_id ORDER BY valid_at, doc_id) AS ids, sum(access_count)::BIGINT AS merged_access_count, max(valid_at) AS merged_last_access FROM d GROUP BY source, lang, norm HAVING count(*) > 1)
 SELECT source AS subject_id, lang AS predicate, ids[1] AS survivor_id, array_to_string(list_sort(ids[2:]), ',') AS loser_ids, merged_access_count, merged_last_access FROM g""",
     "usage_merge": f"""WITH {_FACTS},
-g AS (SELECT count(*) AS n, sum(access_count)::BIGINT AS total FROM fa GROUP BY subject_id, predicate, {_FOLD.format('fact_text')} HAVING count(*) > 1)
+g AS (SELECT count(*) AS n, sum(access_count)::BIGINT AS total FROM fa GROUP BY subject_id, predicate, {NORMAL.format('fact_text')} HAVING count(*) > 1)
 SELECT 'retire_duplicate' AS kind, sum(n - 1)::BIGINT AS n, 0::BIGINT AS total FROM g UNION ALL SELECT 'usage_merge', count(*), sum(total)::BIGINT FROM g""",
     "dedup_near": """
 WITH v AS (SELECT vec_id AS id, label, vec_id % 13 AS valid_at, embedding::DOUBLE[] AS e FROM embeddings),
@@ -140,9 +142,9 @@ FROM s JOIN h USING (subject_id) GROUP BY subject_id""",
     "evict_value": f"WITH {EVENTS} SELECT id, round({_VALUE}, 8) AS value FROM ev",
     "evict_auto": f"WITH {EVENTS} SELECT id FROM ev WHERE {_GUARDS} AND {_AUTO}",
     "evict_propose": f"WITH {EVENTS}, v AS (SELECT *, round({_VALUE}, 9) AS value FROM ev) SELECT id, round(value, 5) AS value FROM v WHERE {_GUARDS} AND NOT ({_AUTO}) AND value < 0.35",
-    "run_thresholds": f"WITH {EVENTS} SELECT count(*) AS new_facts, round(sum(salience), 4) AS new_salience, count(*) >= 200 OR sum(salience) >= 300 AS due FROM ev WHERE id > 700",
+    "run_thresholds": f"WITH {EVENTS} SELECT count(*) AS new_facts, round(sum(salience), 4) AS new_salience, count(*) >= 200 OR sum(salience) >= 300 AS due FROM ev WHERE valid_at > {SINCE}",
     "first_decision_wins": f"""WITH {_PROPOSALS},
-de AS (SELECT l_orderkey AS id, l_linenumber AS seq, max(CASE WHEN l_returnflag = 'R' THEN 'rejected' ELSE 'approved' END) AS status, max(epoch_ms(l_shipdate)) AS day FROM lineitem WHERE l_partkey % 3 = 0 GROUP BY ALL),
+de AS (SELECT l_orderkey AS id, l_linenumber AS seq, max(CASE WHEN l_returnflag = 'R' THEN 'rejected' ELSE 'approved' END) AS status, max(epoch_ms(l_shipdate)) AS day FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL),
 f AS (SELECT id, arg_min(status, seq) AS status, arg_min(day, seq) AS day FROM de GROUP BY id),
 j AS (SELECT pr.id, CASE WHEN expires_at < coalesce(day, {EARLY}) THEN 'expired' ELSE coalesce(status, 'pending') END AS status, CASE WHEN expires_at < coalesce(day, {EARLY}) THEN 'timeout' END AS reason FROM pr LEFT JOIN f USING (id))
 SELECT status, reason, count(*) AS n, sum(id)::BIGINT AS ids FROM j GROUP BY ALL""",

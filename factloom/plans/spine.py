@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as X
 from factloom.operators import extract, inspect, resolve, spine
-from factloom.plans.inputs import EVENTS, NOW, epoch_ms, event_facts, episodes, table
+from factloom.plans.inputs import EVENTS, NOW, epoch_ms, episodes, event_facts, table
+from factloom.plans.text import NORMAL, RESTATED, ROUTED, WORD
 
 HOUR = 3_600_000
 GRID = [1_704_067_200_000 + i * 72 * HOUR for i in range(11)]
@@ -48,7 +49,8 @@ def supersession_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         X.additive(F.col("sentence"), F.col("predicate")).alias("additive"), F.col("predicate").isin(*X.MULTIVALUED).alias("multivalued"),
     )
     folded = resolve.fold(rows, ["namespace", "subject_key", "predicate"])
-    return folded.where("label = 'supersedes'").select("slot", F.col("seq").alias("new_seq"), "route", F.explode("closed").alias("old_seq"))
+    closing = folded.where("label = 'supersedes'").withColumn("namespace", F.substring_index("slot", "\u0001", 1).cast("long"))
+    return closing.select("namespace", F.col("seq").alias("new_seq"), "route", F.explode("closed").alias("old_seq"))
 
 
 def spine_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,19 +83,21 @@ def tier_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def supersession_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chain, from the fact that supersedes none."""
     facts = event_facts(spark, sf_dir).select("id", "superseded_by")
-    start = facts.where("id % 997 = 1").select("id")
+    later = facts.where("superseded_by IS NOT NULL").select(F.col("superseded_by").alias("id"))
+    start = facts.select("id").join(later, "id", "left_anti")
     return spine.chains(facts, start).withColumn("step", F.col("step").cast("long"))
 
 
 def superseded_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = event_facts(spark, sf_dir)
-    mine = facts.where("namespace = 3").select(F.col("id").alias("superseded_by"))
+    mine = facts.where("tier = 'cold'").select(F.col("id").alias("superseded_by"))
     return facts.join(mine, "superseded_by", "left_semi").select("id", "superseded_by")
 
 
 def touched_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_facts(spark, sf_dir).where("id > 500").select("subject_id", "predicate").distinct()
+    return event_facts(spark, sf_dir).where(F.col("valid_at") > MID).select("subject_id", "predicate").distinct()
 
 
 def ns_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,21 +138,23 @@ def known_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inspect.known_entities(rows, 100)
 
 
-_SLOTS = """sf AS (
-  SELECT user_id::VARCHAR AS subject_id, event_type AS predicate, event_id AS seq, concat_ws(' ', event_type, json_extract_string(props, '$.k')) AS key, json_extract_string(props, '$.k') AS object,
-    event_id % 4 = 0 OR length(event_type) % 2 = 0 AS additive, length(event_type) % 2 = 0 AS multi FROM events),
-sr AS (SELECT *, row_number() OVER (PARTITION BY subject_id, predicate ORDER BY seq) AS rn FROM sf),
+#: The fold in SQL, over sf (subject_id, predicate, seq, key, object, additive, multi).
+_FOLD = """sr AS (SELECT *, row_number() OVER (PARTITION BY subject_id, predicate ORDER BY seq) AS rn FROM sf),
 fold AS (
-  SELECT subject_id, predicate, rn, seq, 'asserts' AS label, []::BIGINT[] AS closed, [{'seq': seq, 'key': key, 'object': object}] AS now FROM sr WHERE rn = 1
+  SELECT subject_id, predicate, rn, seq, 'asserts' AS label, 'no_slot' AS route, []::BIGINT[] AS closed, [{'seq': seq, 'key': key, 'object': object}] AS now FROM sr WHERE rn = 1
   UNION ALL
-  SELECT subject_id, predicate, rn, seq, label, CASE WHEN label = 'supersedes' THEN list_transform(now, lambda f: f.seq) ELSE []::BIGINT[] END,
+  SELECT subject_id, predicate, rn, seq, label, CASE WHEN same THEN 'high_' || label ELSE 'low_' || label END, CASE WHEN label = 'supersedes' THEN list_transform(now, lambda f: f.seq) ELSE []::BIGINT[] END,
     CASE WHEN label = 'skip' THEN now WHEN label = 'supersedes' THEN [{'seq': seq, 'key': key, 'object': object}] ELSE list_append(now, {'seq': seq, 'key': key, 'object': object}) END
   FROM (
-    SELECT s.*, f.now, CASE
-      WHEN len(list_filter(f.now, lambda x: x.key = s.key)) > 0 THEN 'skip'
+    SELECT s.*, f.now, len(list_filter(f.now, lambda x: x.object = s.object)) > 0 AS same, CASE
+      WHEN s.key <> '' AND len(list_filter(f.now, lambda x: x.key = s.key)) > 0 THEN 'skip'
       WHEN len(list_filter(f.now, lambda x: x.object = s.object)) > 0 THEN CASE WHEN s.multi THEN 'extends' ELSE 'supersedes' END
       WHEN s.additive THEN 'extends' ELSE 'supersedes' END AS label
     FROM fold f JOIN sr s ON s.subject_id = f.subject_id AND s.predicate = f.predicate AND s.rn = f.rn + 1))"""
+_SLOTS = f"""sf AS (
+  SELECT user_id::VARCHAR AS subject_id, event_type AS predicate, event_id AS seq, concat_ws(' ', event_type, json_extract_string(props, '$.k')) AS key, json_extract_string(props, '$.k') AS object,
+    event_id % 4 = 0 OR length(event_type) % 2 = 0 AS additive, length(event_type) % 2 = 0 AS multi FROM events),
+{_FOLD}"""
 QUERIES = {
     f.__name__: f
     for f in (
@@ -161,6 +167,13 @@ ORACLES = {
     "slot_fold": f"WITH RECURSIVE {_SLOTS} SELECT seq, label, array_to_string(list_sort(closed), ',') AS closed FROM fold",
     "slot_latest": f"""WITH RECURSIVE {_SLOTS}, l AS (SELECT *, row_number() OVER (PARTITION BY subject_id, predicate ORDER BY rn DESC) AS last FROM fold)
 SELECT subject_id, predicate, len(now)::BIGINT AS n, list_max(list_transform(now, lambda f: f.seq)) AS newest FROM l WHERE last = 1""",
+    "supersession_pairs": f"""WITH RECURSIVE {ROUTED},
+sf AS (
+  SELECT namespace || chr(1) || {NORMAL.format("subject_name")} AS subject_id, predicate, seq * 1000000 + CASE WHEN coref OR derives THEN 0 ELSE 500000 END + pos AS seq,
+    {RESTATED.format("sentence")} AS key, object_literal AS object, predicate IN ({", ".join(f"'{m}'" for m in X.MULTIVALUED)}) AS multi, {WORD(X.ADDITIVE_CUES)} OR predicate IN ({", ".join(f"'{m}'" for m in X.MULTIVALUED)}) AS additive
+  FROM ro),
+{_FOLD}
+SELECT string_split(subject_id, chr(1))[1]::BIGINT AS namespace, seq AS new_seq, route, unnest(closed) AS old_seq FROM fold WHERE label = 'supersedes'""",
     "spine_intervals": f"WITH {EVENTS} SELECT id, subject_id, predicate, valid_at, coalesce(valid_to, -1) AS valid_to, coalesce(superseded_by, -1) AS superseded_by, is_latest FROM ev",
     "latest_per_slot": """
 SELECT o_custkey AS subject_id, o_orderpriority AS predicate, o_orderkey AS id, epoch_ms(o_orderdate) AS valid_at
@@ -172,12 +185,12 @@ SELECT 'default' AS surface, count(*) AS n FROM ev WHERE is_latest = 1 AND tier
 UNION ALL SELECT 'as_of_latest', count(*) FROM ev WHERE is_latest = 1 AND {_VISIBLE.format(MID)} UNION ALL SELECT 'as_of_history', count(*) FROM ev WHERE {_VISIBLE.format(MID)}
 UNION ALL SELECT 'history', count(*) FROM ev""",
     "supersession_chain": f"""WITH RECURSIVE {EVENTS},
-s AS (SELECT id FROM ev WHERE id % 997 = 1),
+s AS (SELECT id FROM ev WHERE id NOT IN (SELECT superseded_by FROM ev WHERE superseded_by IS NOT NULL)),
 fw AS (SELECT id AS start_id, id, 0::BIGINT AS step FROM s UNION ALL SELECT fw.start_id, e.superseded_by, fw.step + 1 FROM fw JOIN ev e ON e.id = fw.id WHERE e.superseded_by IS NOT NULL AND fw.step < 64),
 bw AS (SELECT id AS start_id, id, 0::BIGINT AS step FROM s UNION ALL SELECT bw.start_id, e.id, bw.step - 1 FROM bw JOIN ev e ON e.superseded_by = bw.id WHERE bw.step > -64)
 SELECT * FROM fw UNION ALL SELECT * FROM bw WHERE step < 0""",
-    "superseded_in": f"WITH {EVENTS} SELECT id, superseded_by FROM ev WHERE superseded_by IN (SELECT id FROM ev WHERE namespace = 3)",
-    "touched_slots": f"WITH {EVENTS} SELECT DISTINCT subject_id, predicate FROM ev WHERE id > 500",
+    "superseded_in": f"WITH {EVENTS} SELECT id, superseded_by FROM ev WHERE superseded_by IN (SELECT id FROM ev WHERE tier = 'cold')",
+    "touched_slots": f"WITH {EVENTS} SELECT DISTINCT subject_id, predicate FROM ev WHERE valid_at > {MID}",
     "ns_overview": f"""WITH {EVENTS} SELECT namespace, count_if(is_latest = 1)::BIGINT AS facts_latest, count_if(is_latest = 0)::BIGINT AS facts_retired,
   count(superseded_by) AS chains, round(count_if(is_latest = 0) / count(*), 6) AS supersession_rate FROM ev GROUP BY namespace""",
     "top_predicates": f"""WITH {EVENTS}, c AS (SELECT namespace, predicate, count(*) AS n FROM ev GROUP BY ALL),

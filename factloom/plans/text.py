@@ -100,12 +100,54 @@ def transcript_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcript(rows, "namespace", "seq", "source", "raw", "t_ref").select("namespace", F.sha2("transcript", 256).alias("transcript_sha256"))
 
 
-_FOLD = r"trim(regexp_replace(replace(lower(nfc_normalize({0})), 'ß', 'ss'), '\s+', ' ', 'g'))"
-#: Punctuation and white space, as a class in SQL.
-_EDGES = "[" + "".join("''" if c == "'" else "\\" + c for c in '!"#$%&\'()*+,-./:;<=>?@[\\]^_`{|}~') + r" \t\n\r\x0b\x0c]+"
 _DATE = (
     r"\d{4}-\d{2}-\d{2}|\d{1,2}[/-]\d{1,2}(?:[/-]\d{2,4})?|\d{1,2}:\d{2}|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+\d{1,2}"
 )
+#: normalize_text and restatement_key in SQL; characters of these tables fold like lower case but for the sharp s.
+NORMAL = r"trim(regexp_replace(replace(lower(nfc_normalize({0})), 'ß', 'ss'), '\s+', ' ', 'g'))"
+#: Punctuation and white space, as a class in SQL.
+_EDGES = "[" + "".join("''" if c == "'" else "\\" + c for c in '!"#$%&\'()*+,-./:;<=>?@[\\]^_`{|}~') + r" \t\n\r\x0b\x0c]+"
+RESTATED = rf"regexp_replace(regexp_replace(trim(regexp_replace(replace(lower({{0}}), 'ß', 'ss'), '\s+', ' ', 'g')), '^{_EDGES.replace('{', '{{').replace('}', '}}')}', ''), '{_EDGES.replace('{', '{{').replace('}', '}}')}$', '')"
+WORD = _word
+
+
+_W = r"[^\p{L}\p{N}_]"
+
+
+def _end(pattern: str, bounded: bool) -> str:
+    return rf"length(regexp_extract(sentence, '(?is)^(.*?(?:^|{_W}){pattern}){'(?:' + _W + '|$)' if bounded else ''}', 1))"
+
+
+_ENDS = "CASE predicate " + " ".join(f"WHEN '{n}' THEN {_end(p, b)}" for n, p, b in X.VERBS) + " END"
+_STRIP = "trim({0}, '.,!?;:''\"')"
+#: Candidates in SQL: capitalised runs are marked, and their places added up over the pieces.
+CANDIDATES = rf"""{SENTENCES},
+re AS (SELECT *, {_RELATION} AS predicate, {_word(X.FIRST_PERSON)} AS first_person FROM sp),
+mk AS (
+  SELECT *, {_ENDS} AS verb_end,
+    string_split(regexp_replace(sentence, '(^|{_W})([A-Z][\p{{L}}\p{{N}}_.&-]*(?:\s+[A-Z][\p{{L}}\p{{N}}_.&-]*)*)', '\1' || chr(1) || '\2' || chr(2), 'g'), chr(1)) AS ps,
+    list_filter(list_transform(string_split_regex(sentence, '\s+'), lambda t: {_STRIP.format("t")}), lambda t: t <> '') AS tokens
+  FROM re WHERE predicate IS NOT NULL),
+ru AS (
+  SELECT *, list_transform(range(2, len(ps) + 1), lambda i: {{'at': coalesce(list_sum(list_transform(ps[1:i - 1], lambda p: length(replace(p, chr(2), '')))), 0), 'run': string_split(ps[i], chr(2))[1]}}) AS runs
+  FROM mk),
+su AS (SELECT *, NOT first_person AND len(runs) > 0 AS grounded, CASE WHEN first_person OR len(runs) = 0 THEN 0 ELSE runs[1].at + length(runs[1].run) END AS subject_end FROM ru),
+ob AS (SELECT *, list_filter(runs, lambda r: r.at >= greatest(subject_end, verb_end))[1].run AS run FROM su),
+ca AS (
+  SELECT namespace, seq, pos, sentence, t_ref, predicate, grounded,
+    CASE WHEN first_person THEN 'user' WHEN grounded THEN runs[1].run ELSE coalesce(nullif({_STRIP.format("string_split_regex(trim(sentence), '\s+')[1]")}, ''), 'user') END AS subject_name,
+    coalesce(regexp_replace(run, '[.,!?;:''"]+$', ''), tokens[-1]) AS object_literal,
+    CASE WHEN first_person AND predicate IN ({", ".join(f"'{e}'" for e in X.EXPLICIT)}) THEN 0.9 ELSE 0.4 END::DOUBLE AS confidence
+  FROM ob WHERE run IS NOT NULL OR len(tokens) > 0)"""
+_LOOSE = "regexp_replace(lower(trim({0})), '\\s+', ' ', 'g')"
+_PRONOUNS = ", ".join(f"'{x}'" for x in X.PRONOUNS)
+#: The router's reasons in SQL; predicates of the patterns are all known.
+ROUTED = f"""{CANDIDATES},
+ro AS (
+  SELECT *, {_LOOSE.format("subject_name")} IN ({_PRONOUNS}) OR {_LOOSE.format("object_literal")} IN ({_PRONOUNS})
+      OR (NOT grounded AND {_LOOSE.format("subject_name")} <> 'user' AND regexp_matches(sentence, '(?i)^\\s*(?:{X.ELLIPSIS_LEADS}|{X.VERB_LEADS}){AFTER}')) AS coref,
+    {_word(X.ROUTER_CUES)} AS derives
+  FROM ca)"""
 QUERIES = {
     f.__name__: f
     for f in (
@@ -116,6 +158,12 @@ QUERIES = {
 ORACLES = {
     "sentences": f"WITH {SENTENCES} SELECT namespace, seq, pos, sentence FROM sp",
     "relation_match": f"WITH {SENTENCES} SELECT {_RELATION} AS predicate, count(*) AS n, count_if({_word(X.FIRST_PERSON)})::BIGINT AS n_first_person FROM sp GROUP BY 1",
+    "candidates": f"WITH {CANDIDATES} SELECT namespace, seq, pos::INT AS pos, subject_name, predicate, object_literal, confidence, grounded, t_ref FROM ca",
+    "router_stats": f"""WITH {ROUTED}
+SELECT namespace, count(*) AS seen, count_if(coref OR derives)::BIGINT AS escalated, 0::BIGINT AS n_pre_flagged, 0::BIGINT AS n_low_confidence, count_if(coref)::BIGINT AS n_coreference,
+  count_if(derives)::BIGINT AS n_derives, count_if(coref OR derives) / count(*) AS rate FROM ro GROUP BY namespace""",
+    "escalation_probe": f"""WITH {CANDIDATES}
+SELECT count(*) AS facts, floor(quantile_cont(length(sentence), 0.5))::INT AS median_chars, (SELECT count(*) FROM conversations) AS turns, round(count(*) / (SELECT count(*) FROM conversations), 6) AS facts_per_turn FROM ca""",
     "router_cues": f"""WITH {SENTENCES} SELECT namespace, seq, pos, {_word(X.ROUTER_CUES)} AS router_cue, {_word(X.TYPER_CUES)} AS derives, {_word(X.ADDITIVE_CUES)} AS additive,
   regexp_matches(sentence, '(?i)^\\s*(?:{X.ELLIPSIS_LEADS}|{X.VERB_LEADS}){AFTER}') AS leads FROM sp""",
     "typer_relation": f"WITH {SENTENCES} SELECT namespace, CASE WHEN {_word(X.TYPER_CUES)} THEN 'derives' ELSE 'asserts' END AS relation, count(*) AS n FROM sp GROUP BY ALL",
@@ -133,12 +181,10 @@ s AS (
 SELECT doc_id, round(CASE WHEN t = '' THEN 0 ELSE greatest(0, least(10, v)) END, 6)::DOUBLE AS salience FROM s""",
     "entity_resolve": f"""
 WITH m AS (SELECT source AS namespace, string_split_regex(text, '[ \\n\\t]')[1] AS name, doc_id FROM documents),
-k AS (SELECT namespace, {_FOLD.format("name")} AS name_key, name, doc_id FROM m)
+k AS (SELECT namespace, {NORMAL.format("name")} AS name_key, name, doc_id FROM m)
 SELECT namespace, name_key, arg_min(name, doc_id) AS name, min(doc_id) AS first_seq FROM k GROUP BY ALL""",
-    "normalize_text": f"SELECT doc_id, sha256({_FOLD.format('text')}) AS norm_sha256 FROM documents",
-    "restatement_key": rf"""
-WITH k AS (SELECT doc_id, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g')) AS k FROM documents)
-SELECT doc_id, sha256(regexp_replace(regexp_replace(k, '^{_EDGES}', ''), '{_EDGES}$', '')) AS key_sha256 FROM k""",
+    "normalize_text": f"SELECT doc_id, sha256({NORMAL.format('text')}) AS norm_sha256 FROM documents",
+    "restatement_key": f"SELECT doc_id, sha256({RESTATED.format('text')}) AS key_sha256 FROM documents",
     "predicate_forms": """
 SELECT p_partkey, replace(lower(p_type), ' ', '_') AS predicate, regexp_replace(p_brand, '[^A-Za-z0-9_.-]', '_', 'g') AS namespace,
   CASE WHEN p_partkey % 3 = 0 THEN 'derives' ELSE 'asserts' END AS relation FROM part""",

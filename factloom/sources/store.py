@@ -6,6 +6,7 @@ high bits and a place inside it, so later batches come later.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -53,15 +54,43 @@ class Store:
         return n
 
     @contextmanager
-    def lease(self, name: str = "writer") -> Iterator[None]:
-        """Hold the writer's lease; taken or refused at once."""
+    def lease(self, name: str = "writer", stale_s: float = 3600.0) -> Iterator[None]:
+        """Hold the writer's lease; taken or refused at once. One without a sign of life for `stale_s` is taken over."""
         self._fs.mkdirs(self._path(""))
-        if not self._fs.createNewFile(self._path(f"_{name}.lease")):
-            raise LeaseHeld(name)
+        path = self._path(f"_{name}.lease")
+        if not self._fs.createNewFile(path):
+            age = time.time() - self._fs.getFileStatus(path).getModificationTime() / 1000
+            if age <= stale_s:
+                raise LeaseHeld(name)
+            self._fs.delete(path, False)
+            if not self._fs.createNewFile(path):
+                raise LeaseHeld(name)
         try:
             yield
         finally:
-            self._fs.delete(self._path(f"_{name}.lease"), False)
+            self._fs.delete(path, False)
+
+    def heartbeat(self, name: str = "writer") -> None:
+        self._fs.setTimes(self._path(f"_{name}.lease"), int(time.time() * 1000), -1)
+
+    def clear(self, namespace: str) -> None:
+        """Remove a namespace: every table is written again without it and then put in place. Refused under a live lease."""
+        with self.lease():
+            facts = self.read("fact_assert").where(F.col("namespace") != namespace).select("id")
+            proposals = self.read("maintenance_proposal").where(F.col("namespace") != namespace).select("id")
+            kept_by = {
+                "fact_event": lambda t: t.join(facts.withColumnRenamed("id", "fact_id"), "fact_id", "left_semi"),
+                "fact_derivation": lambda t: t.join(facts.withColumnRenamed("id", "source_id"), "source_id", "left_semi"),
+                "proposal_decision": lambda t: t.join(proposals.withColumnRenamed("id", "proposal_id"), "proposal_id", "left_semi"),
+            }
+            there = [n for n in TABLES if self._fs.exists(self._path(n))]
+            for name in there:
+                rows = self.read(name)
+                rows = kept_by[name](rows) if name in kept_by else rows.where(F.col("namespace") != namespace)
+                rows.select(*TABLES[name].names).write.mode("overwrite").parquet(f"{self.root}/_staged/{name}")
+            for name in there:
+                self._fs.delete(self._path(name), True)
+                self._fs.rename(self._path(f"_staged/{name}"), self._path(name))
 
     def namespaces(self) -> DataFrame:
         """Namespaces that have episodes, without reserved ones."""
