@@ -120,6 +120,7 @@ def _end(pattern: str, bounded: bool) -> str:
 
 _ENDS = "CASE predicate " + " ".join(f"WHEN '{n}' THEN {_end(p, b)}" for n, p, b in X.VERBS) + " END"
 _STRIP = "trim({0}, '.,!?;:''\"')"
+_LEAD = _STRIP.format(r"string_split_regex(trim(sentence), '\s+')[1]")
 #: Candidates in SQL: capitalised runs are marked, and their places added up over the pieces.
 CANDIDATES = rf"""{SENTENCES},
 re AS (SELECT *, {_RELATION} AS predicate, {_word(X.FIRST_PERSON)} AS first_person FROM sp),
@@ -135,7 +136,7 @@ su AS (SELECT *, NOT first_person AND len(runs) > 0 AS grounded, CASE WHEN first
 ob AS (SELECT *, list_filter(runs, lambda r: r.at >= greatest(subject_end, verb_end))[1].run AS run FROM su),
 ca AS (
   SELECT namespace, seq, pos, sentence, t_ref, predicate, grounded,
-    CASE WHEN first_person THEN 'user' WHEN grounded THEN runs[1].run ELSE coalesce(nullif({_STRIP.format("string_split_regex(trim(sentence), '\s+')[1]")}, ''), 'user') END AS subject_name,
+    CASE WHEN first_person THEN 'user' WHEN grounded THEN runs[1].run ELSE coalesce(nullif({_LEAD}, ''), 'user') END AS subject_name,
     coalesce(regexp_replace(run, '[.,!?;:''"]+$', ''), tokens[-1]) AS object_literal,
     CASE WHEN first_person AND predicate IN ({", ".join(f"'{e}'" for e in X.EXPLICIT)}) THEN 0.9 ELSE 0.4 END::DOUBLE AS confidence
   FROM ob WHERE run IS NOT NULL OR len(tokens) > 0)"""
