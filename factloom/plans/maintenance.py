@@ -49,6 +49,11 @@ def summarize_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("subject_id", F.round("heat", 6).alias("heat"), F.array_join("source_fact_ids", ",").alias("sources"), "summary_text")
 
 
+def subject_heat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = scoring.standing_value(F.col("salience"), F.col("last_access"), F.col("valid_at"), F.col("access_count"), LATER)
+    return maintain.live(_facts(spark, sf_dir)).groupBy("subject_id").agg(F.round(F.sum(value), 6).alias("heat"))
+
+
 def evict_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = scoring.standing_value(F.col("salience"), F.col("last_access"), F.col("valid_at"), F.col("access_count"), LATER)
     return _facts(spark, sf_dir).select("id", F.round(value, 8).alias("value"))
@@ -115,7 +120,7 @@ _PROPOSALS = f"pr AS (SELECT o_orderkey AS id, o_custkey AS subject_id, epoch_ms
 QUERIES = {
     f.__name__: f
     for f in (
-        dedup_exact, usage_merge, dedup_near, summarize_candidates, evict_value, evict_auto, evict_propose, run_thresholds, first_decision_wins, proposal_expiry,
+        dedup_exact, usage_merge, dedup_near, summarize_candidates, subject_heat, evict_value, evict_auto, evict_propose, run_thresholds, first_decision_wins, proposal_expiry,
         review_queue_groups,
     )
 }
@@ -139,6 +144,7 @@ s AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY salience DES
 SELECT subject_id, round(any_value(heat), 6) AS heat, string_agg(id::VARCHAR, ',' ORDER BY valid_at, id) AS sources,
   rtrim('Summary (extractive): ' || string_agg(CASE WHEN rank <= 5 THEN trim(fact_text) END, ' ' ORDER BY rank)) AS summary_text
 FROM s JOIN h USING (subject_id) GROUP BY subject_id""",
+    "subject_heat": f"WITH {_FACTS} SELECT subject_id, round(sum({_VALUE}), 6) AS heat FROM fa GROUP BY subject_id",
     "evict_value": f"WITH {EVENTS} SELECT id, round({_VALUE}, 8) AS value FROM ev",
     "evict_auto": f"WITH {EVENTS} SELECT id FROM ev WHERE {_GUARDS} AND {_AUTO}",
     "evict_propose": f"WITH {EVENTS}, v AS (SELECT *, round({_VALUE}, 9) AS value FROM ev) SELECT id, round(value, 5) AS value FROM v WHERE {_GUARDS} AND NOT ({_AUTO}) AND value < 0.35",

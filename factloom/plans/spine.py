@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import text as X
-from factloom.operators import extract, inspect, resolve, spine
+from factloom.operators import extract, inspect, lookup, resolve, spine
 from factloom.plans.inputs import EVENTS, NOW, epoch_ms, episodes, event_facts, table
 from factloom.plans.text import NORMAL, RESTATED, ROUTED, WORD
 
@@ -115,6 +115,13 @@ def entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inspect.entity_counts(customers, facts)
 
 
+def facts_with_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`orders` as facts, with the names of their customers."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    facts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("fact_id"), F.col("o_custkey").alias("subject_id"), F.col("o_orderstatus").alias("predicate"))
+    return lookup.with_subject(facts, customers)
+
+
 def list_facts_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = event_facts(spark, sf_dir).withColumn("created_at", F.col("valid_at"))
     page, _ = inspect.list_facts(facts, min_salience=3.0, page=2, page_size=25)
@@ -159,7 +166,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         slot_fold, slot_latest, supersession_pairs, spine_intervals, latest_per_slot, as_of_point, as_of_grid, tier_matrix, supersession_chain, superseded_in,
-        touched_slots, ns_overview, top_predicates, entity_counts, list_facts_page, activity_summary, retention_cap, known_entities,
+        touched_slots, ns_overview, top_predicates, entity_counts, facts_with_subject, list_facts_page, activity_summary, retention_cap, known_entities,
     )
 }
 _VISIBLE = "valid_at <= {0} AND (valid_to IS NULL OR valid_to > {0})"
@@ -196,6 +203,7 @@ SELECT * FROM fw UNION ALL SELECT * FROM bw WHERE step < 0""",
     "top_predicates": f"""WITH {EVENTS}, c AS (SELECT namespace, predicate, count(*) AS n FROM ev GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY namespace ORDER BY n DESC, predicate) AS rank FROM c) SELECT * FROM r WHERE rank <= 5""",
     "entity_counts": "SELECT c_custkey AS id, any_value(c_name) AS name, count(o_orderkey) AS fact_count FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey",
+    "facts_with_subject": "SELECT o_orderkey AS fact_id, o_custkey AS subject_id, o_orderstatus AS predicate, c_name AS subject_name FROM orders JOIN customer ON c_custkey = o_custkey",
     "list_facts_page": f"WITH {EVENTS} SELECT id, subject_id, predicate, fact_text, salience FROM ev WHERE is_latest = 1 AND salience >= 3.0 ORDER BY valid_at DESC, id DESC LIMIT 25 OFFSET 25",
     "activity_summary": f"""
 WITH e AS (SELECT user_id % 10 AS namespace, epoch_ms(ts) AS ts, event_id % 2 = 0 AS is_add, event_id % 10 = 0 AS ui FROM events)

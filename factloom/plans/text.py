@@ -50,6 +50,13 @@ def escalation_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.join(F.broadcast(turns)).withColumn("facts_per_turn", F.round(F.col("facts") / F.col("turns"), 6))  # two single rows
 
 
+def episode_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every episode with the number of facts it gave; facts are counted before the join."""
+    turns = episodes(spark, sf_dir).select("namespace", "seq", "source", "t_ref")
+    counts = extract.candidates(episodes(spark, sf_dir)).groupBy("namespace", "seq").agg(F.count(F.lit(1)).alias("n"))
+    return turns.join(counts, ["namespace", "seq"], "left").withColumn("facts", F.coalesce("n", F.lit(0))).drop("n")
+
+
 def router_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("sentence")
     return _turn_sentences(spark, sf_dir).select(
@@ -152,7 +159,7 @@ ro AS (
 QUERIES = {
     f.__name__: f
     for f in (
-        sentences, relation_match, candidates, router_stats, escalation_probe, router_cues, typer_relation, salience_score, entity_resolve, normalize_text,
+        sentences, relation_match, candidates, router_stats, escalation_probe, episode_facts, router_cues, typer_relation, salience_score, entity_resolve, normalize_text,
         restatement_key, predicate_forms, transcript_render,
     )
 }
@@ -165,6 +172,7 @@ SELECT namespace, count(*) AS seen, count_if(coref OR derives)::BIGINT AS escala
   count_if(derives)::BIGINT AS n_derives, count_if(coref OR derives) / count(*) AS rate FROM ro GROUP BY namespace""",
     "escalation_probe": f"""WITH {CANDIDATES}
 SELECT count(*) AS facts, floor(quantile_cont(length(sentence), 0.5))::INT AS median_chars, (SELECT count(*) FROM conversations) AS turns, round(count(*) / (SELECT count(*) FROM conversations), 6) AS facts_per_turn FROM ca""",
+    "episode_facts": f"WITH {CANDIDATES} SELECT namespace, seq, ep.source, ep.t_ref, count(ca.pos) AS facts FROM ep LEFT JOIN ca USING (namespace, seq) GROUP BY ALL",
     "router_cues": f"""WITH {SENTENCES} SELECT namespace, seq, pos, {_word(X.ROUTER_CUES)} AS router_cue, {_word(X.TYPER_CUES)} AS derives, {_word(X.ADDITIVE_CUES)} AS additive,
   regexp_matches(sentence, '(?i)^\\s*(?:{X.ELLIPSIS_LEADS}|{X.VERB_LEADS}){AFTER}') AS leads FROM sp""",
     "typer_relation": f"WITH {SENTENCES} SELECT namespace, CASE WHEN {_word(X.TYPER_CUES)} THEN 'derives' ELSE 'asserts' END AS relation, count(*) AS n FROM sp GROUP BY ALL",
