@@ -82,9 +82,18 @@ def least_common(size: int, percent: int = PERCENT) -> int:
     return -(-percent * size // 100)
 
 
+def _due(least):
+    """k by least_common, for numbers and arrays: a third of it for small sets, slower beyond."""
+    return 1 + np.minimum(least // 3, 32 + (least - 96) // 8)
+
+
 def due(size: int, percent: int = PERCENT) -> int:
-    """k: shared tokens due in prefixes. It never grows faster than least_common, on which the guarantee rests."""
-    return 1 + least_common(size, percent) // 8
+    """k: shared tokens due in prefixes. It never grows faster than least_common, on which the guarantee rests.
+
+    The more are due, the longer prefixes are, and the larger the part of a text that common passages may make up
+    before they become candidates' only tie.
+    """
+    return int(_due(least_common(size, percent)))
 
 
 def prefix_length(size: int, percent: int = PERCENT) -> int:
@@ -143,7 +152,7 @@ def jaccard_clusters(payloads: list[bytes], labels: list[int], percent: int = PE
         groups.union(i, first.setdefault(p, i))
     sizes = np.array([len(s) for s in sets], np.int64)
     least = -(-percent * sizes // 100)
-    k = 1 + least // 8
+    k = _due(least)
     prefixes = [s[:n] for s, n in zip(sets, (sizes - least + k).tolist(), strict=True)]
     others: dict[int, list[np.ndarray]] = {}
 
@@ -222,7 +231,8 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT,
         .select("item", "size", "key", "df")
         .distinct()
     )
-    k = F.lit(1) + F.floor(F.ceil(F.col("size") * percent / 100) / 8)
+    least = F.ceil(F.col("size") * percent / 100)
+    k = F.lit(1) + F.least(F.floor(least / 3), 32 + F.floor((least - 96) / 8))  # _due
     last = F.row_number().over(W.partitionBy("item").orderBy(F.desc("df"), F.desc("key")))
     needed = shared.withColumn("last", last).where(F.col("last") >= k).select("key", "item")
     weak = components(weak_edges(needed))
