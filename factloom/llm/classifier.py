@@ -16,6 +16,7 @@ extra columns, of any name, are kept by `score`.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import prepare, table
+from factloom.llm.common import prepare, release, table
 
 #: Labelled rows that are learned from, at most.
 MAX_TRAIN = 4000
@@ -205,9 +206,11 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
-    def scores(texts: pa.Array) -> pa.Array:
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = sent.value
-        return pa.array([own.score(features(t)) for t in texts.to_pylist()], pa.float64())
+        for texts in batches:
+            yield pa.array([own.score(features(t)) for t in texts.to_pylist()], pa.float64())
+        release(_words)
 
     return docs.withColumn(into, scores(docs[f"`{text}`"]))
 

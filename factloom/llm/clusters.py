@@ -15,10 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factloom.llm.common import broadcast_if_small, cut
+from factloom.llm.common import broadcast_if_small, cut, drop, made, release
 
 #: Bytes that the items of a task's block take in memory, by the estimate in `size`.
-BLOCK_BYTES = 128 << 20
+BLOCK_BYTES = 64 << 20
+#: Bytes of a block from which on a worker gives memory back after it.
+LARGE = 4 << 20
 
 #: (items, labels or None) -> labels: items of equal label are linked already; the result has the least index of each cluster.
 Cluster = Callable[[list, list[int]], list[int]]
@@ -55,6 +57,7 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps; each is a minimum by node, partial before the shuffle, and a join back
     that Spark may split at a hot node. The edges are written after each round, so a lost executor repeats one round.
     """
+    since = made()
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     while True:
         both = now.select("a", "b").unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -68,6 +71,7 @@ def components(edges: DataFrame) -> DataFrame:
         inner = new.select("a").distinct().join(new.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
         manifold = new.groupBy("a").count().where("count > 1")
         now = new
+        drop(edges.sparkSession, since)
         if inner.isEmpty() and manifold.isEmpty():
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
@@ -102,6 +106,8 @@ def linked(items: DataFrame, cluster: Cluster) -> DataFrame:
         pdf = pdf.sort_values("item", ignore_index=True)
         names = pdf["item"].tolist()
         labels = cluster(pdf["payload"].tolist(), pdf["leader"].tolist())
+        if pdf["size"].sum() > LARGE:
+            release()
         return pd.DataFrame({"component": pdf["component"], "block": pdf["block"], "blocks": pdf["blocks"], "item": names, "leader": [names[i] for i in labels]})
 
     schema = "component long, block long, blocks long, item long, leader long"

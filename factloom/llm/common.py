@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows an Arrow batch carries to a Python worker; documents are some kB each, so a batch stays near a few MB.
@@ -21,6 +24,18 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def release(*caches: dict | set) -> None:
+    """Clear a worker's caches at a task's end, and give freed memory back: workers live on, with the next operator's."""
+    for c in caches:
+        c.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -38,9 +53,24 @@ def fresh_folder(spark: SparkSession, label: str) -> str:
     """A new folder's URI under the shared folder; it is removed when the driver's Python ends, if the JVM still lives."""
     uri = f"{shared_folder(spark)}/factloom-{label}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, uri)
+    _made.append(uri)
     return uri
 
 
+#: Folders made by this driver, in order.
+_made: list[str] = []
+
+
+def made() -> int:
+    return len(_made)
+
+
+def drop(spark: SparkSession, since: int, keep: int = 1) -> None:
+    """Remove the folders made since a count of made(), but for the last ones: what a loop or a stage no longer needs."""
+    for uri in _made[since : len(_made) - keep]:
+        _remove(spark, uri)
+
+
 def _remove(spark: SparkSession, uri: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

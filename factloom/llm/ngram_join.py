@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.llm.clusters import Sets, components, linked, place, weak_edges
-from factloom.llm.common import broadcast_if_small, cut, prepare, table
+from factloom.llm.common import broadcast_if_small, cut, prepare, release, table
 
 WORDS = 5
 #: Similarity from which on documents link, in hundredths.
@@ -138,6 +138,7 @@ def sketch(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> Dat
                 [batch.column(0), pa.array(digests, pa.binary()), pa.array(items, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
                 ["doc_id", "digest", "item", "size", "prefix"],
             )
+        release(_hashes)
 
     rows = docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc_id"), docs[f"`{text}`"].cast("string").alias("t"))
     return rows.mapInArrow(run, "doc_id long, digest binary, item long, size long, prefix array<bigint>")
@@ -256,6 +257,7 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT,
                     found.append(shingles(words, n).tobytes())
             kept = batch.take(pa.array(places, pa.int64())).select(["component", "block", "blocks", "item", "size"])
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(found, pa.binary())], [*kept.schema.names, "payload"])
+        release(_hashes)
 
     schema = "component long, block long, blocks long, item long, size long, payload binary"
     payloads = texts.mapInArrow(sets, schema).dropDuplicates(["item"])

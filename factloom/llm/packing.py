@@ -22,70 +22,96 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import prepare, table
+from factloom.llm.common import prepare, release, table
 from factloom.llm.tokens import byte_level
 
 LENGTH = 1024
 #: Cost of a token, and of a squared token of a piece.
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 #: A group is closed at this many tokens.
-GROUP_TOKENS = 4 << 20
+GROUP_TOKENS = 1 << 20
 #: Groups of a partition have ids below this; a group's sequences below SEQUENCES.
 GROUPS, SEQUENCES = 1 << 20, 1 << 20
 
 
+class Cheapest:
+    """Sequences by room: a heap of (cost, sequence) for each amount of room, and a tree of minima over the amounts."""
+
+    def __init__(self, length: int):
+        self.base = 1 << length.bit_length()
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(length + 1)]
+        self.tree = [NONE] * (2 * self.base)
+
+    def _renew(self, room: int) -> None:
+        i = self.base + room
+        self.tree[i] = self.heaps[room][0] if self.heaps[room] else NONE
+        while i > 1:
+            i //= 2
+            self.tree[i] = min(self.tree[2 * i], self.tree[2 * i + 1])
+
+    def put(self, room: int, cost: float, sequence: int) -> None:
+        heapq.heappush(self.heaps[room], (cost, sequence))
+        self._renew(room)
+
+    def take(self, size: int, room_of: list[int]) -> int | None:
+        """The cheapest sequence with room for `size`, taken out; None if there is none."""
+        a, b, best = self.base + size, 2 * self.base, NONE
+        while a < b:
+            if a & 1:
+                best, a = min(best, self.tree[a]), a + 1
+            if b & 1:
+                b -= 1
+                best = min(best, self.tree[b])
+            a, b = a // 2, b // 2
+        if best is NONE:
+            return None
+        room = room_of[best[1]]
+        heapq.heappop(self.heaps[room])
+        self._renew(room)
+        return best[1]
+
+
+NONE = (float("inf"), -1)
+
+
 def pack_lengths(lengths: list[int], length: int = LENGTH) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of documents with these lengths, all above zero."""
     total = sum(lengths)
     count = -(-total // length)
-    pieces = [(n if n - s > length else n - s, d, s) for d, n in enumerate(lengths) for s in range(0, n, length)]
-    pieces = sorted(((min(length, n), d, s) for n, d, s in pieces), key=lambda p: (-p[0], p[1], p[2]))
-    used, cost = [0] * count, [0.0] * count
-    used[-1] = length - (total - (count - 1) * length)  # what the last sequence can't hold, so that the rest is full
-    spare = used[-1]
-    open_by_cost = [(0.0, q) for q in range(count)]
+    pieces = sorted(((min(length, n - s), d, s) for d, n in enumerate(lengths) for s in range(0, n, length)), key=lambda p: (-p[0], p[1], p[2]))
+    whole = [length] * (count - 1) + [total - (count - 1) * length]  # the last one's room is what the others leave, so these fill up
+    room, cost = list(whole), [0.0] * count
+    cheapest = Cheapest(length)
+    for q in range(count):
+        cheapest.put(room[q], 0.0, q)
     out: list[tuple[int, int, int, int, int]] = []
 
     def place(q: int, size: int, d: int, start: int) -> None:
-        out.append((d, start, size, q, used[q] - (spare if q == count - 1 else 0)))
-        used[q] += size
+        out.append((d, start, size, q, whole[q] - room[q]))
+        room[q] -= size
         cost[q] += LINEAR * size + QUADRATIC * size * size
 
     misfits = []
     for size, d, start in pieces:
-        passed = []
-        while open_by_cost:
-            entry = heapq.heappop(open_by_cost)
-            q = entry[1]
-            if used[q] + size <= length:
-                place(q, size, d, start)
-                if used[q] < length:
-                    heapq.heappush(open_by_cost, (cost[q], q))
-                break
-            passed.append(entry)
-            if len(passed) >= PASSES:
-                misfits.append((size, d, start))
-                break
-        else:
+        q = cheapest.take(size, room)
+        if q is None:
             misfits.append((size, d, start))
-        for entry in passed:
-            heapq.heappush(open_by_cost, entry)
-    roomy = sorted((used[q], q) for q in range(count) if used[q] < length)
+        else:
+            place(q, size, d, start)
+            if room[q]:
+                cheapest.put(room[q], cost[q], q)
+    roomy = sorted((-room[q], q) for q in range(count) if room[q])
     at = 0
     for size, d, start in misfits:
         while size:
             q = roomy[at][1]
-            part = min(size, length - used[q])
+            part = min(size, room[q])
             place(q, part, d, start)
             size, start = size - part, start + part
-            at += used[q] == length
+            at += not room[q]
     return out
 
 
-#: Sequences tried for a piece, from the cheapest on, before it's put by to be cut; this bounds the time for a piece.
-PASSES = 64
-
-
 def pack(
     docs: DataFrame, path: str, pattern: str, end_id: int = 0, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -97,10 +123,10 @@ def pack(
 
     def packed(keys: list, documents: list[bytes], base: int) -> Iterator[pa.RecordBatch]:
         found = pack_lengths([len(d) // 4 for d in documents], length)
-        for a in range(0, len(found), 4096):
+        for a in range(0, len(found), 512):
             rows = [
                 (keys[d], s, n, documents[d][4 * s : 4 * (s + n)], len(documents[d]) // 4, base + q, o)
-                for d, s, n, q, o in found[a : a + 4096]
+                for d, s, n, q, o in found[a : a + 512]
             ]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
@@ -119,6 +145,8 @@ def pack(
                 keys, documents, size, base = [], [], 0, base + SEQUENCES
         if keys:
             yield from packed(keys, documents, base)
+        del keys, documents
+        release()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
     return rows.mapInArrow(run, schema)
