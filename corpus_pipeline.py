@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import classifier, line_dedup, ngram_join, packing, rules
-from factloom.llm.common import broadcast_if_small, cut, prepare, table
+from factloom.llm.common import broadcast_if_small, cut, drop, made, prepare, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -61,11 +61,12 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, since = table(spark, sf_dir, "documents"), made()
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = cut(docs, "stage")
+            drop(spark, since)  # what the stage before wrote, and this one on its way
     return docs
 
 

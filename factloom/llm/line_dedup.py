@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.clusters import Sets, components, linked, place, weak_edges
-from factloom.llm.common import broadcast_if_small, cut, prepare, table
+from factloom.llm.common import broadcast_if_small, cut, prepare, release, table
 from factloom.llm.ngram_join import _name, _Seen
 
 EDITS = 2
@@ -205,6 +205,7 @@ def sketch(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
                 [batch.column(0), *[pa.array(c, pa.list_(k)) for c, k in zip(columns, kinds, strict=True)]],
                 ["doc_id", "items", "numbers", "sizes", "keys", "owners", "indexed"],
             )
+        release(seen.held)
 
     schema = "doc_id long, items array<long>, numbers array<int>, sizes array<int>, keys array<long>, owners array<long>, indexed array<boolean>"
     return docs.mapInArrow(run, schema)
@@ -217,8 +218,9 @@ def line_classes(docs: DataFrame, sketches: DataFrame, edits: int) -> DataFrame:
     )
     weak = cut(components(weak_edges(keyed, may_lead="indexed")), "weak")
     lines = sketches.select("doc_id", F.explode(F.arrays_zip("items", "numbers", "sizes")).alias("x")).select("doc_id", F.col("x.items").alias("item"), F.col("x.numbers").alias("number"), F.col("x.sizes").alias("chars"))
-    firsts = lines.join(weak, F.col("item") == F.col("node")).groupBy("item", "component")
-    chosen = firsts.agg(F.min(F.struct("doc_id", "number")).alias("at"), (12 * F.max("chars") + 600).cast("long").alias("size"))  # text, keys and index
+    # added up before the join, so that a line with very many places sends a row from each task
+    firsts = lines.groupBy("item").agg(F.min(F.struct("doc_id", "number")).alias("at"), (12 * F.max("chars") + 600).cast("long").alias("size"))  # text, keys and index
+    chosen = firsts.join(weak, F.col("item") == F.col("node")).drop("node")
     placed = place(cut(chosen, "chosen"))
     wanted = cut(placed.groupBy(F.col("at.doc_id").alias("k")).agg(F.collect_list(F.struct("at.number", "component", "block", "blocks", "item", "size")).alias("lines")), "wanted")
     size = wanted.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("lines")).alias("m")).first()

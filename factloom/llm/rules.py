@@ -135,7 +135,8 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", carry: list
     rows = docs.select(carried.alias("row"), docs[f"`{host}`"].cast("string").alias("host"), docs[f"`{text}`"].alias("_t"))
     counts = ("_n_words", "_word_chars", "_n_symbols", "_n_dup_lines", "_n_repeat_words")
     counted = cut(count_words(rows, "_t").select("row", "host", *counts, base_failed().alias("failed")), "rules")
-    hosts = host_verdicts(counted).select("host", "host_failed")
+    # written, so that both sides of the join are dealt out by it alone and Spark can split a host with very many rows
+    hosts = cut(host_verdicts(counted).select("host", "host_failed"), "hosts")
     joined = counted.join(hosts, "host", "left")
     kept = ~F.col("failed") & ~F.coalesce(F.col("host_failed"), F.lit(False))
     verdict = F.struct(*[F.col(c).alias(c[1:]) for c in counts], F.col("failed").alias("base_failed"), kept.alias("kept"))
