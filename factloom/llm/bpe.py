@@ -5,7 +5,8 @@ letter, a piece's score is its negative rank, and normalisation is the identity.
 and decoded by the inverse mapping.
 
 Defined results: a null text counts as empty (no ids, empty bytes); rows, repeated ones too, and extra columns stay as
-they are; texts of any length are encoded whole.
+they are, but a column that has the result's name is replaced; texts of any length are encoded whole; an empty table
+gives no row.
 """
 
 from __future__ import annotations

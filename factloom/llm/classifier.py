@@ -10,8 +10,8 @@ come to the driver, so its memory is bounded by that parameter. Scoring is one p
 
 Defined results: null and empty texts have no features and get the score of the bias; labels other than 0 and 1, null
 ones and those of missing documents aren't learned from; a document with contrary labels counts as its smallest label;
-with labels of one class or none every score is that class's share (0.5 without labels); repeated rows score alike;
-extra columns, of any name, are kept by `score`.
+with labels of one class or none every score is that class's share (0.5 without labels); repeated rows score alike; an
+empty table gives no row; extra columns are kept by `score`, which replaces one that has the result's name.
 """
 
 from __future__ import annotations
