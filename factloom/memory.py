@@ -89,6 +89,14 @@ class Memory:
         view = spine.current(self.store.read("fact_assert"), self.store.read("fact_event"))
         return view
 
+    def entities(self) -> DataFrame:
+        """Each entity once: every batch names those it met, and the oldest spelling holds."""
+        first = F.struct("created_at", "name")
+        return self.store.read("entity").groupBy("id", "namespace", "name_key").agg(F.min_by("name", first).alias("name"), F.min("created_at").alias("created_at"))
+
+    def entity_counts(self) -> DataFrame:
+        return inspect.entity_counts(self.entities(), self.facts())
+
     # ── search ──
     def search(
         self, namespace: str, query: str, k: int = 5, as_of: int | None = None, is_latest_only: bool = True, now: int | None = None, include_cold: bool = False,

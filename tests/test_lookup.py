@@ -20,9 +20,10 @@ def memory(spark, tmp_path_factory):
 
 
 def test_lookups(memory):
-    facts, entities, episodes = memory.facts(), memory.store.read("entity"), memory.store.read("episode")
+    facts, entities, episodes = memory.facts(), memory.entities(), memory.store.read("episode")
     old = facts.where("fact_text LIKE '%Acme%'").first()
     fact, chain, episode = lookup.fact_detail(facts, entities, episodes, old["id"])
+    assert fact.count() == 1 and {r["fact_count"] for r in memory.entity_counts().collect()} == {1, 2}
     assert fact.first()["subject_name"] == "user" and [r["step"] for r in chain.collect()] == [0, 1] and episode.first()["raw"] == "I work at Acme."
     assert lookup.latest_in_slot(facts, old["subject_id"], "works_at").count() == 1
     assert lookup.latest_after(facts, old["seq"]).count() == 1 + (facts.where("namespace = 'b'").first()["seq"] > old["seq"])
