@@ -8,9 +8,9 @@ the pairs of blocks that still hold more than one cluster.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -98,21 +98,53 @@ def place(items: DataFrame) -> DataFrame:
     return joined.withColumn("block", F.pmod(F.xxhash64("item"), F.col("blocks")))
 
 
+def clustered(rows: DataFrame, cluster: Cluster) -> DataFrame:
+    """Rows (component, block, blocks, item, leader, size, payload) -> the same without size and payload, each with the
+    least item of its cluster as leader; rows of one leader are linked already.
+
+    Blocks are streamed: partitions are sorted by block, and a task holds one block at a time. There can be very many
+    small blocks, so none costs more than its rows do.
+    """
+    names = ["component", "block", "blocks", "item", "leader"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        done: list[tuple] = []
+
+        def close() -> None:
+            held.sort(key=lambda r: r[3])
+            labels = cluster([r[6] for r in held], [r[4] for r in held])
+            done.extend((*r[:4], held[i][3]) for r, i in zip(held, labels, strict=True))
+            large = sum(r[5] for r in held) > LARGE
+            held.clear()
+            if large:
+                release()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*done, strict=True)], names)
+            done.clear()
+            return out
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[-1][:2] != row[:2]:
+                    close()
+                held.append(row)
+            if len(done) > 4096:
+                yield flush()
+        if held:
+            close()
+        if done:
+            yield flush()
+
+    dealt = rows.select(*names, "size", "payload").repartition("component", "block").sortWithinPartitions("component", "block")
+    return dealt.mapInArrow(run, "component long, block long, blocks long, item long, leader long")
+
+
 def linked(items: DataFrame, cluster: Cluster) -> DataFrame:
     """Items (component, block, blocks, item, size, payload binary) -> (item, leader): clusters inside components, named
     by the least item."""
-
-    def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("item", ignore_index=True)
-        names = pdf["item"].tolist()
-        labels = cluster(pdf["payload"].tolist(), pdf["leader"].tolist())
-        if pdf["size"].sum() > LARGE:
-            release()
-        return pd.DataFrame({"component": pdf["component"], "block": pdf["block"], "blocks": pdf["blocks"], "item": names, "leader": [names[i] for i in labels]})
-
-    schema = "component long, block long, blocks long, item long, leader long"
-    start = items.withColumn("leader", F.col("item"))
-    first = cut(start.groupBy("component", "block").applyInPandas(local, schema), "clusters")
+    first = cut(clustered(items.withColumn("leader", F.col("item")), cluster), "clusters")
     wide = first.where("blocks > 1")
     if wide.isEmpty():
         return first.select("item", "leader")
@@ -121,7 +153,7 @@ def linked(items: DataFrame, cluster: Cluster) -> DataFrame:
 
     def links(rows: DataFrame) -> DataFrame:
         """What a further clustering of these rows adds: (item, leader) edges."""
-        return rows.groupBy("component", "block").applyInPandas(local, schema).select(F.col("item").alias("a"), F.col("leader").alias("b")).where("a <> b")
+        return clustered(rows, cluster).select(F.col("item").alias("a"), F.col("leader").alias("b")).where("a <> b")
 
     # leaders of one component meet where they fit into a block
     leaders = wide.where("item = leader").join(payload, "item")
