@@ -71,26 +71,30 @@ def current(asserts: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
-def chains(facts: DataFrame, start: DataFrame, most: int = 64) -> DataFrame:
+def chains(facts: DataFrame, start: DataFrame) -> DataFrame:
     """All facts before and after the given ids along superseded_by: (start_id, id, step), older ones with steps below 0.
 
-    Links are doubled: what lies up to 2**k steps away is joined with links of 2**k steps, so `most` steps take
-    log2(most) rounds. Steps end at `most`, which also ends cycles.
+    Links are doubled: what lies up to 2**k steps away is joined with links of 2**k steps, until a round adds no row, so
+    a chain of n steps takes log2(n) rounds and one more. Each direction holds a fact once, at its least distance, which
+    also ends cycles.
     """
-    links = facts.where("superseded_by IS NOT NULL").select("id", F.col("superseded_by").alias("to"))
-    here = start.select(F.col("id").alias("start_id"), "id", F.lit(0).alias("step"))
+    links = facts.where("superseded_by IS NOT NULL").select("id", F.col("superseded_by").alias("to")).distinct()
+    here = start.select(F.col("id").alias("start_id"), "id", F.lit(0).alias("step")).distinct()
     found = here
     for sign, hops in ((1, links), (-1, links.select(F.col("to").alias("id"), F.col("id").alias("to")))):
-        side, length = here, 1
-        while length <= most:
+        side, length, size = here, 1, None
+        while True:
             hops = materialized(hops, "links")
             if hops.isEmpty():
                 break
-            ahead = side.join(hops, "id").select("start_id", F.col("to").alias("id"), (F.col("step") + sign * length).alias("step"))
-            side = materialized(side.unionByName(ahead.where(F.abs("step") <= most)), "chain")
+            ahead = side.join(hops, "id").select("start_id", F.col("to").alias("id"), (F.col("step") + length).alias("step"))
+            side = materialized(side.unionByName(ahead).groupBy("start_id", "id").agg(F.min("step").alias("step")), "chain")
+            before, size = size, side.count()
+            if size == before:
+                break
             hops = hops.select("id", F.col("to").alias("via")).join(hops.select(F.col("id").alias("via"), "to"), "via").select("id", "to")
             length *= 2
-        found = found.unionByName(side.where("step <> 0"))
+        found = found.unionByName(side.where("step <> 0").withColumn("step", sign * F.col("step")))
     return found
 
 
