@@ -1,17 +1,19 @@
 """Operator 6: license scans by winnowed fingerprints and banded alignment.
 
 Templates are words; their GRAM-word shingles are hashed, and of each WINDOW neighbours the least is a fingerprint. An
-inverted index from fingerprints to places in templates picks candidates: a shingle of a text that is in the index says
-which template may stand there, and from which word on. Each candidate is aligned with its template inside a band of
-diagonals around that start; matched words over the template's words are the coverage, and the first and last matched
-word the span, in characters of the text. Matches of coverage MIN_COVERAGE and more are reported.
+inverted index from fingerprints to places in templates names starts: a shingle of a text that is in the index says
+which template may stand there, and from which word on. Edits can hit every fingerprint, so for each start it is also
+counted how many of a template's words stand inside a band of diagonals around it; where these are too few for the
+coverage no alignment can reach it, and all other starts are candidates, those of fingerprints first. Each candidate is
+aligned with its template inside the band; matched words over the template's words are the coverage, and the first and
+last matched word the span, in characters of the text. Matches of coverage MIN_COVERAGE and more are reported.
 
 Words are runs of letters and digits, compared in lower case. One pass over the documents, without a shuffle; the index
 is as large as the templates, which are a parameter.
 
 Defined results: null texts and texts without words give no row; a text that holds a template several times gives a row
-for each place that doesn't overlap a better one of the same template (ties: the first); templates match independently
-of each other; repeated rows give repeated results; extra columns aren't carried.
+for each place that doesn't overlap a better one of the same template (ties: the shorter span, then the first);
+templates match independently of each other; repeated rows give repeated results; extra columns aren't carried.
 """
 
 from __future__ import annotations
@@ -91,6 +93,11 @@ def grams(hashes: np.ndarray) -> np.ndarray:
         return (out ^ out >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
 
 
+def band_of(size: int) -> int:
+    """Diagonals to each side of a start that a template of so many words may use."""
+    return max(2, size // 8)
+
+
 def winnow(hashes: np.ndarray, window: int = WINDOW) -> list[int]:
     """Places of each window's least hash, the last of equals; all in one window where there are fewer."""
     n = len(hashes)
@@ -118,9 +125,18 @@ class Index:
             self.words.append(own)
         self.keys = np.array(sorted(postings), np.uint64)
         self.postings = [postings[int(k)] for k in self.keys]
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        self.bands = np.array([band_of(int(n)) for n in self.sizes], np.int64)
+        #: Of each word of each template, in their order: the template and the word's place; and by distinct words
+        self.template = np.repeat(np.arange(len(self.words)), self.sizes)
+        self.place = np.concatenate([np.arange(n) for n in self.sizes])
+        flat = np.concatenate(self.words)
+        self.spots = np.argsort(flat, kind="stable")
+        self.vocabulary, self.degree = np.unique(flat, return_counts=True)
+        self.begin = np.cumsum(self.degree) - self.degree
 
     def candidates(self, hashes: np.ndarray) -> dict[int, list[int]]:
-        """For each template the word places at which it may begin."""
+        """For each template the word places at which it may begin, by fingerprints."""
         found = grams(hashes)
         at = np.searchsorted(self.keys, found)
         at[at == len(self.keys)] = 0
@@ -130,6 +146,33 @@ class Index:
                 starts[template].add(place - p)
         return {t: sorted(s) for t, s in starts.items()}
 
+    def supported(self, hashes: np.ndarray, coverage: float) -> dict[int, dict[int, int]]:
+        """For each template the starts that have enough of its words inside their bands, and how many these are."""
+        n = len(hashes)
+        at = np.searchsorted(self.vocabulary, hashes)
+        at[at == len(self.vocabulary)] = 0
+        known = np.flatnonzero(self.vocabulary[at] == hashes)
+        if not len(known):
+            return {}
+        at = at[known]
+        degree = self.degree[at]
+        shift = np.arange(degree.sum()) - np.repeat(np.cumsum(degree) - degree, degree)
+        hits = np.sort(self.spots[np.repeat(self.begin[at], degree) + shift] * n + np.repeat(known, degree))
+        spot, place = np.divmod(hits, n)
+        template = self.template[spot]
+        band, diagonal = self.bands[template], place - self.place[spot]
+        # the starts whose bands hold a hit, those of a word's neighbouring hits once
+        low, high = diagonal - band, diagonal + band + 1
+        low[1:] = np.where(spot[1:] == spot[:-1], np.maximum(low[1:], high[:-1]), low[1:])
+        pad = int((self.sizes + self.bands).max()) + 1
+        width = n + 2 * pad
+        base, cells = template * width + pad, len(self.words) * width
+        counts = np.cumsum(np.bincount(base + low, minlength=cells) - np.bincount(base + high, minlength=cells)).reshape(-1, width)
+        out: dict[int, dict[int, int]] = defaultdict(dict)
+        for t, s in np.argwhere((counts >= coverage * self.sizes[:, None]) & (counts > 0)).tolist():
+            out[t][s - pad] = int(counts[t, s])
+        return out
+
 
 def align(template: list[int], words: list[int], start: int, band: int) -> tuple[int, int, int]:
     """Most words matched in order on diagonals start - band .. start + band; the first and last matched word's place."""
@@ -157,19 +200,27 @@ def matches(text: str | None, index: Index, coverage: float = MIN_COVERAGE) -> l
         return []
     hashes = word_hashes(WORD.findall(text))
     found = []
-    for t, starts in index.candidates(hashes).items():
+    supported = index.supported(hashes, coverage)
+    named = index.candidates(hashes) if supported else {}
+    for t, support in supported.items():
         own = index.words[t].tolist()
-        band = max(2, len(own) // 8)
+        band = band_of(len(own))
+        # in a long template, matches from starts within a band of each other overlap, so only a better one counts
+        overlap = (2 * coverage - 1) * len(own) > 4 * band + 2
+        fingerprints = set(named.get(t, ()))
         aligned = []
-        done = None
-        for s in starts:
-            if done is None or s > done + band // 2:  # a start this near lies inside the last band
-                aligned.append(align(own, hashes[max(0, s - band) : s + len(own) + band].tolist(), min(s, band), band) + (max(0, s - band),))
-                done = s
+        done: list[tuple[int, int]] = []
+        for s in sorted(support, key=lambda s: (s not in fingerprints, -support[s], s)):
+            if overlap and any(abs(s - x) <= band and m >= support[s] for x, m in done):
+                continue
+            best = align(own, hashes[max(0, s - band) : max(0, s + len(own) + band)].tolist(), s - max(0, s - band), band)
+            if best[0] >= coverage * len(own):
+                aligned.append(best + (max(0, s - band),))
+                done.append((s, best[0]))
         taken: list[tuple[int, int]] = []
-        for m, first, last, base in sorted(aligned, key=lambda x: (-x[0], x[3] + x[1])):
+        for m, first, last, base in sorted(aligned, key=lambda x: (-x[0], x[2] - x[1], x[3] + x[1])):
             a, b = base + first, base + last
-            if m >= coverage * len(own) and all(b < x or a > y for x, y in taken):
+            if all(b < x or a > y for x, y in taken):
                 taken.append((a, b))
                 found.append((index.names[t], m, len(own), a, b))
     if not found:
