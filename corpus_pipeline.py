@@ -48,7 +48,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
 
     prepare(spark)
-    return packing.digest(packing.pack(docs, public.path("byte_bpe_50k.json"), public.PATTERN))
+    return packing.digest(packing.pack(docs, public.path("byte_bpe_50k.json"), public.PATTERN, added=True))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

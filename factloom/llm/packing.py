@@ -113,9 +113,12 @@ def pack_lengths(lengths: list[int], length: int = LENGTH) -> list[tuple[int, in
 
 
 def pack(
-    docs: DataFrame, path: str, pattern: str, end_id: int = 0, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, path: str, pattern: str, end_id: int = 0, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", added: bool = False
 ) -> DataFrame:
-    """A row for each piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
+    """A row for each piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
+
+    With `added`, the file's added tokens in a text get their own ids, as the library gives them by default.
+    """
     end = end_id.to_bytes(4, "little")
     schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     names = [c.split()[0] for c in schema.split(", ")]
@@ -137,7 +140,8 @@ def pack(
         size = 0
         for batch in batches:
             keys += batch.column(0).to_pylist()
-            fresh = [d + end for d in byte_level(path, pattern).texts(batch.column(1).to_pylist())]
+            codec = byte_level(path, pattern)
+            fresh = [d + end for d in (codec.with_added if added else codec.texts)(batch.column(1).to_pylist())]
             documents += fresh
             size += sum(map(len, fresh)) // 4
             if size >= GROUP_TOKENS:
@@ -157,7 +161,7 @@ def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
 
     prepare(spark)
-    pieces = pack(table(spark, sf_dir, "documents"), public.path("byte_bpe_50k.json"), public.PATTERN)
+    pieces = pack(table(spark, sf_dir, "documents"), public.path("byte_bpe_50k.json"), public.PATTERN, added=True)
     return digest(pieces)
 
 

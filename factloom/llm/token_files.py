@@ -177,7 +177,7 @@ def write(
 
         for batch in batches:
             keys += batch.column(0).to_pylist()
-            fresh = [d + end for d in word_level(path).texts(batch.column(1).to_pylist())]
+            fresh = [d + end for d in word_level(path).with_added(batch.column(1).to_pylist())]
             documents += fresh
             size += sum(map(len, fresh))
             if size > bytes_per_shard:

@@ -3,6 +3,8 @@
 The ids are those the `tokenizers` library gives. Its per-call cost is several times that of tiktoken's merge loop, so
 a file's vocabulary is handed to that loop where this gives the same ids (the tests compare both): byte-level files
 over whole texts, files with word ends over distinct words; whatever doesn't fit goes through the library itself.
+`texts` takes all of a text as ordinary; `with_added` reads the added tokens of a file (<|endoftext|>) where a text holds
+them, as the library does by default.
 """
 
 from __future__ import annotations
@@ -27,15 +29,42 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def _library(path: str):
+def _library(path: str, ordinary: bool):
+    """The file's tokenizer; with `ordinary`, added tokens in a text are encoded as any other characters."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    if ordinary:
+        tokenizer.encode_special_tokens = True
     return tokenizer
 
 
+class _Added:
+    """Texts that hold an added token's content go through the library at its default, all others through `texts`."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as source:
+            added = json.load(source)["added_tokens"]
+        self.path, self.contents = path, [t["content"] for t in added]
+        #: Such tokens are sought in the normalised text, which isn't at hand
+        self.sought_normalised = any(t["normalized"] for t in added)
+        self.default = None
+
+    def with_added(self, texts: list[str | None]) -> list[bytes]:
+        held = [i for i, t in enumerate(texts) if t and (self.sought_normalised or any(c in t for c in self.contents))]
+        if not held:
+            return self.texts(texts)
+        self.default = self.default or _library(self.path, ordinary=False)
+        rest = list(texts)
+        for i in held:
+            rest[i] = None
+        out = self.texts(rest)
+        for i, e in zip(held, self.default.encode_batch_fast([texts[i] for i in held], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, "<u4").tobytes()
+        return out
+
+
 def _vocabulary(path: str, word_end: str) -> dict[bytes, int]:
     """Tokens as bytes; the mark of a word's end becomes WORD_END."""
     with open(path, encoding="utf-8") as source:
@@ -50,12 +79,13 @@ def _vocabulary(path: str, word_end: str) -> dict[bytes, int]:
     return out
 
 
-class ByteLevel:
+class ByteLevel(_Added):
     """A byte-level file without normaliser, its pattern that of the rank files."""
 
     def __init__(self, path: str, pattern: str):
         import tiktoken
 
+        super().__init__(path)
         self.merge = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=_vocabulary(path, ""), special_tokens={})
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
@@ -63,13 +93,14 @@ class ByteLevel:
         return [encode(t, disallowed_special=()).astype("<u4", copy=False).tobytes() if t else b"" for t in texts]
 
 
-class WordLevel:
+class WordLevel(_Added):
     """A file that lower-cases, drops white space and marks word ends."""
 
     def __init__(self, path: str):
         import tiktoken
 
-        self.library = _library(path)
+        super().__init__(path)
+        self.library = _library(path, ordinary=True)
         vocabulary = _vocabulary(path, "</w>")
         self.merge = tiktoken.Encoding(path, pat_str=f"[^{WORD_END}]+{WORD_END}", mergeable_ranks=vocabulary, special_tokens={})
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
