@@ -8,9 +8,9 @@ carries what it found to all the others, which return only what can still be amo
 Queries go to the shards in blocks: a task holds one shard and one block. Nothing is broadcast, and no task's memory
 grows with the table.
 
-Defined results: vectors that are null or hold null or non-finite components take no part, nor do null ids; rows that
-repeat an id and a vector count once; two vectors of one id are two rows, neither a candidate of the other; scores are
-between vectors of one length; a query without candidates has no row; extra columns are ignored. Components times 256
+Defined results: vectors that are null or hold null or non-finite components take no part, nor do null ids; rows are
+searched for and found as often as they come, so one that repeats an id and a vector is a candidate of the other, and so
+are two vectors of one id; scores are between vectors of one length; a query without candidates has no row; extra columns are ignored. Components times 256
 must be under 2**26, so that sums stay exact.
 """
 
@@ -35,8 +35,7 @@ SCALE = 256
 class Tree:
     """A KD-tree in arrays; node i's children are 2i+1 and 2i+2, its points order[first[i]:last[i]]."""
 
-    def __init__(self, ids: np.ndarray, points: np.ndarray):
-        self.ids, self.points = ids, points
+    def __init__(self, ids: np.ndarray, points: np.ndarray, times: np.ndarray):
         order = np.arange(len(ids))
         spans, boxes, least = {}, {}, {}
         todo = [(0, 0, len(ids))]
@@ -58,14 +57,14 @@ class Tree:
         self.least = [least[n] for n in self.nodes]
         children = [(self.place.get(2 * int(n) + 1, -1), self.place.get(2 * int(n) + 2, -1)) for n in self.nodes]
         self.children = children
-        self.ids, self.points = ids[order], points[order]
+        self.ids, self.points, self.times = ids[order], points[order], times[order]
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """For each query and node the most that a point in the node's box can score."""
         return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
 
-    def search(self, query: np.ndarray, own_id: int, bounds: np.ndarray, k: int, found: list[tuple[float, int]]) -> list[tuple[float, int]]:
-        """The k best (score, -id) of `found` and this tree, as a heap; best-first by bound."""
+    def search(self, query: np.ndarray, own_id: int, bounds: np.ndarray, k: int, found: list[tuple]) -> list[tuple]:
+        """The k best (score, -id, times) of `found` and this tree, as a heap; best-first by bound. `times` counts equal rows."""
         heap = list(found)
         heapq.heapify(heap)
         root = bounds[0]
@@ -83,15 +82,18 @@ class Tree:
                 continue
             a, b = self.span[node]
             scores = self.points[a:b] @ query
-            ids = self.ids[a:b]
-            keep = ids != own_id
+            ids, times = self.ids[a:b], self.times[a:b]
+            if len(own := np.flatnonzero(ids == own_id)):  # the query's own row counts once less
+                times = times.copy()
+                times[own] -= (self.points[a:b][own] == query).all(1)
+            keep = times > 0
             if len(heap) == k:
                 keep &= scores >= heap[0][0]
-            for s, i in zip(scores[keep].tolist(), ids[keep].tolist(), strict=True):
+            for s, i, n in zip(scores[keep].tolist(), ids[keep].tolist(), times[keep].tolist(), strict=True):
                 if len(heap) < k:
-                    heapq.heappush(heap, (s, -i))
-                elif (s, -i) > heap[0]:
-                    heapq.heapreplace(heap, (s, -i))
+                    heapq.heappush(heap, (s, -i, n))
+                elif (s, -i) > heap[0][:2]:
+                    heapq.heapreplace(heap, (s, -i, n))
         return heap
 
 
@@ -114,35 +116,38 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id
     rows = (
         vectors.where(usable(vectors[vector]) & vectors[vec_id].isNotNull())
         .select(vectors[vec_id].cast("long").alias("id"), F.transform(vectors[vector], lambda x: F.floor(x.cast("double") * SCALE)).alias("v"), queries.alias("q"))
-        .dropDuplicates(["id", "v"])
+        .groupBy("id", "v", "q")
+        .agg(F.count(F.lit(1)).alias("times"))
         .withColumn("dim", F.size("v"))
     )
     rows = cut(rows, "vectors")
     count = rows.count()
     shards, blocks = max(1, -(-count // shard)), max(1, -(-rows.where("q").count() // block))
-    near = rows.select(F.col("dim").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), F.col("id").alias("id"), F.col("v").alias("v"))
+    near = rows.select(F.col("dim").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), F.col("id").alias("id"), F.col("v").alias("v"), F.col("times").alias("times"))
     asked = rows.where("q").select(
-        "dim", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("home"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).alias("block"), F.col("id").alias("query_id"), F.col("v").alias("qv")
+        "dim", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("home"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).alias("block"), F.col("id").alias("query_id"), F.col("v").alias("qv"), F.col("times").alias("asked")
     )
-    schema = "dim int, home long, block long, query_id long, qv array<bigint>, ids array<bigint>, scores array<bigint>"
+    schema = "dim int, home long, block long, query_id long, qv array<bigint>, asked long, ids array<bigint>, scores array<bigint>, times array<bigint>"
 
     def search(points: pd.DataFrame, block_rows: pd.DataFrame, carried: bool) -> pd.DataFrame:
         names = [c.split()[0] for c in schema.split(", ")]
         if not len(block_rows) or not len(points) and not carried:
-            return pd.DataFrame({n: [] for n in names}) if not len(block_rows) else block_rows.assign(ids=[[]] * len(block_rows), scores=[[]] * len(block_rows))[names]
-        out_ids, out_scores = [], []
-        tree = Tree(points["id"].to_numpy(np.int64), _matrix(points["v"])) if len(points) else None
+            return pd.DataFrame({n: [] for n in names}) if not len(block_rows) else block_rows.assign(ids=[[]] * len(block_rows), scores=[[]] * len(block_rows), times=[[]] * len(block_rows))[names]
+        out_ids, out_scores, out_times = [], [], []
+        tree = Tree(points["id"].to_numpy(np.int64), _matrix(points["v"]), points["times"].to_numpy(np.int64)) if len(points) else None
         q = _matrix(block_rows["qv"])
         for a in range(0, len(q), 256):
             bounds = tree.bounds(q[a : a + 256]) if tree else None
             for i in range(a, min(a + 256, len(q))):
                 row = block_rows.iloc[i]
-                before = [(float(s), -int(x)) for s, x in zip(row["scores"], row["ids"], strict=True)] if carried else []
+                before = [(float(s), -int(x), int(n)) for s, x, n in zip(row["scores"], row["ids"], row["times"], strict=True)] if carried else []
                 heap = tree.search(q[i], int(row["query_id"]), bounds[i - a], k, before) if tree else before
-                fresh = sorted(set(heap) - set(before) if carried else heap, key=lambda x: (-x[0], -x[1]))
-                out_ids.append([-x for _, x in fresh])
-                out_scores.append([int(s) for s, _ in fresh])
-        return block_rows.assign(ids=out_ids, scores=out_scores)[names]
+                held = set(before)  # of another shard, so of other ids
+                fresh = [x for x in heap if x not in held]
+                out_ids.append([-x for _, x, _ in fresh])
+                out_scores.append([int(s) for s, _, _ in fresh])
+                out_times.append([n for _, _, n in fresh])
+        return block_rows.assign(ids=out_ids, scores=out_scores, times=out_times)[names]
 
     first = cut(
         near.withColumnRenamed("shard", "home")
@@ -155,9 +160,12 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id
     pairs = first.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard")).where("shard != home")
     wanted = near.join(_keys(pairs, "dim", "shard", "block"), ["dim", "shard"])
     rest = wanted.groupBy("dim", "shard", "block").cogroup(pairs.groupBy("dim", "shard", "block")).applyInPandas(lambda p, b: search(p, b.drop(columns="shard"), True), schema)
-    both = first.unionByName(rest).select("query_id", "qv", F.explode(F.arrays_zip("ids", "scores")).alias("x"))
+    both = first.unionByName(rest).select("query_id", "qv", "asked", F.explode(F.arrays_zip("ids", "scores", "times")).alias("x"))
+    each = both.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.col("x.times"), F.lit(k)).cast("int"))))
     order = W.partitionBy("query_id", "qv").orderBy(F.desc("x.scores"), "x.ids")
-    ranked = both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    # rows that repeat a query get its answers each
+    ranked = ranked.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("asked").cast("int"))))
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
 
 
@@ -171,12 +179,12 @@ def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES = {
     "op4_exact_top_k": """
 WITH v AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+  SELECT q.rid, q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.rid <> q.rid AND len(q.v) = len(c.v)),
+r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5"""
 }
 QUERIES = {"op4_exact_top_k": exact_top_k}
