@@ -2,8 +2,9 @@
 
 Each document gets counts of its whole text and fails the base rules where it has under MIN_WORDS words or more than
 MAX_REPEATED percent of its words stand in 3-word windows that occur twice. Failures are added up by host (for
-`documents` the source), a host's rate is shrunk by a beta prior fitted to all hosts by moments, and a host whose shrunk
-rate is above MAX_HOST_RATE takes its documents with it.
+`documents` the source), a host's rate is shrunk by a beta prior fitted to all hosts by moments, and a host takes its
+documents with it when its shrunk rate is above MAX_HOST_RATE, or stands out from the moments of all other hosts:
+OUTLIER_SDS standard deviations above their mean, and OUTLIER_TIMES the mean, which keeps hosts that differ by chance.
 
 Counts by document are written once and used twice. Adding up by host is partial before the shuffle, so a host with a
 third of all rows sends a few rows from each task; the join back leaves it to Spark to broadcast host verdicts where
@@ -23,6 +24,7 @@ from factloom.llm.common import cut, table
 MIN_WORDS = 50
 MAX_REPEATED = 50
 MAX_HOST_RATE = 0.5
+OUTLIER_SDS, OUTLIER_TIMES = 3.0, 2.0
 #: White space that separates words, as characters and as a pattern.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_PATTERN = r"[\x20\x09-\x0D]+"
@@ -126,7 +128,12 @@ def host_verdicts(counts: DataFrame, host: str = "host", failed: str = "failed")
     variance = max((one["squares"] or 0.0) / n - mean * mean, 0.0)
     size = min(max(mean * (1 - mean) / variance - 1, 1.0), 1e6) if variance > 1e-12 else 1e6
     shrunk = (F.col("failures") + F.lit(size * mean)) / (F.col("documents") + F.lit(size))
-    return hosts.withColumn("rate", shrunk).withColumn("host_failed", F.col("rate") > MAX_HOST_RATE)
+    # the others' moments are the sums without the host's own part
+    rest = F.nullif(F.lit(one["n"] or 0) - F.col("documents"), F.lit(0))
+    others = (F.lit(one["f"] or 0) - F.col("failures")) / rest
+    spread = F.sqrt(F.greatest(F.lit(0.0), (F.lit(one["squares"] or 0.0) - rate * rate * F.col("documents")) / rest - others * others))
+    bar = F.least(F.lit(MAX_HOST_RATE), F.greatest(others + OUTLIER_SDS * spread, OUTLIER_TIMES * others))
+    return hosts.withColumn("rate", F.round(shrunk, 9)).withColumn("host_failed", F.col("rate") > F.round(bar, 9))
 
 
 def judge(docs: DataFrame, host: str = "source", text: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -136,15 +143,15 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", carry: list
     counts = ("_n_words", "_word_chars", "_n_symbols", "_n_dup_lines", "_n_repeat_words")
     counted = cut(count_words(rows, "_t").select("row", "host", *counts, base_failed().alias("failed")), "rules")
     # written, so that both sides of the join are dealt out by it alone and Spark can split a host with very many rows
-    hosts = cut(host_verdicts(counted).select("host", "host_failed"), "hosts")
+    hosts = cut(host_verdicts(counted).select("host", "rate", "host_failed"), "hosts")
     joined = counted.join(hosts, "host", "left")
     kept = ~F.col("failed") & ~F.coalesce(F.col("host_failed"), F.lit(False))
-    verdict = F.struct(*[F.col(c).alias(c[1:]) for c in counts], F.col("failed").alias("base_failed"), kept.alias("kept"))
+    verdict = F.struct(*[F.col(c).alias(c[1:]) for c in counts], F.col("failed").alias("base_failed"), kept.alias("kept"), F.round("rate", 6).alias("host_rate"))
     return joined.select("row", verdict.alias("verdict"))
 
 
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and verdicts of every row of `documents`."""
+    """Counts and verdicts of every row of `documents`, with its host's shrunk rate of failures."""
     return judge(table(spark, sf_dir, "documents"), carry=["doc_id"]).select("row.doc_id", "verdict.*")
 
 
@@ -167,8 +174,13 @@ f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 h AS (SELECT source, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS x FROM f WHERE source IS NOT NULL GROUP BY source),
 m AS (SELECT sum(x) / sum(n) AS mean, greatest(sum(x / n * x / n * n) / sum(n) - (sum(x) / sum(n)) * (sum(x) / sum(n)), 0) AS v FROM h),
 p AS (SELECT mean, CASE WHEN v > 1e-12 THEN least(greatest(mean * (1 - mean) / v - 1, 1), 1e6) ELSE 1e6 END AS size FROM m),
-j AS (SELECT h.source, (x + size * mean) / (n + size) > 0.5 AS host_failed FROM h, p)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(host_failed, false) AS kept
+t AS (SELECT sum(n) AS n, sum(x) AS x, sum(x / n * x / n * n) AS s FROM h),
+o AS (SELECT h.source, h.n, h.x, (t.x - h.x) / nullif(t.n - h.n, 0) AS mean, (t.s - h.x / h.n * h.x / h.n * h.n) / nullif(t.n - h.n, 0) AS s FROM h, t),
+j AS (
+  SELECT o.source, round((x + size * p.mean) / (n + size), 9) AS rate,
+    round((x + size * p.mean) / (n + size), 9) > round(least(0.5, greatest(o.mean + 3 * sqrt(greatest(0, o.s - o.mean * o.mean)), 2 * o.mean)), 9) AS host_failed
+  FROM o, p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(host_failed, false) AS kept, round(rate, 6) AS host_rate
 FROM f LEFT JOIN j USING (source)"""
 }
 QUERIES = {"op7_quality_rules": quality_rules}

@@ -82,6 +82,22 @@ def test_bad_hosts_take_their_documents_along(spark):
     assert rules.judge(df.limit(0)).count() == 0
 
 
+def test_hosts_are_judged_against_the_prior(spark):
+    """Of twenty hosts one fails four times as often as the others: it goes, though far from MAX_HOST_RATE; chance alone takes none."""
+    shares = {f"h{i}": 4 + i % 3 for i in range(20)}
+    for worst, gone in ((20, {"h7"}), (7, set())):
+        rows = [(host, i < n) for host, k in shares.items() for n in [worst if host == "h7" else k] for i in range(100)]
+        found = rules.host_verdicts(spark.createDataFrame(rows, "host string, failed boolean")).collect()
+        rates = {h: sum(f for g, f in rows if g == h) / 100 for h in shares}
+        mean = sum(rates.values()) / 20
+        size = mean * (1 - mean) / (sum(r * r for r in rates.values()) / 20 - mean * mean) - 1
+        for r in found:
+            assert abs(r["rate"] - (100 * rates[r["host"]] + size * mean) / (100 + size)) < 1e-6
+        assert {r["host"] for r in found if r["host_failed"]} == gone
+    few = spark.createDataFrame([("one", True)] + [(f"h{i}", i % 20 == 0) for i in range(400)], "host string, failed boolean")
+    assert rules.host_verdicts(few).where("host_failed").count() <= 21
+
+
 def test_domains(spark):
     urls = ["https://WWW.Example.com:80/a", "http://u:p@b.org?q", "ftp://c", "nothing", None]
     found = spark.createDataFrame([(u,) for u in urls], "u string").select(rules.domain_of(F.col("u"))).collect()
