@@ -6,6 +6,7 @@ import atexit
 import ctypes
 import gc
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterable
 
@@ -41,9 +42,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; only where that is unset (tests), a temporary one."""
+    """The folder that the cluster names in spark.checkpoint.dir; only where that is unset on one machine (tests), a temporary one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="factloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -53,21 +56,30 @@ def fresh_folder(spark: SparkSession, label: str) -> str:
     """A new folder's URI under the shared folder; it is removed when the driver's Python ends, if the JVM still lives."""
     uri = f"{shared_folder(spark)}/factloom-{label}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, uri)
-    _made.append(uri)
+    _own().append(uri)
     return uri
 
 
-#: Folders made by this driver, in order.
-_made: list[str] = []
+_made = threading.local()
+
+
+def _own() -> list[str]:
+    """Folders made by this thread, in order: a query runs in one."""
+    if not hasattr(_made, "uris"):
+        _made.uris = []
+    return _made.uris
 
 
 def made() -> int:
-    return len(_made)
+    return len(_own())
 
 
 def drop(spark: SparkSession, since: int, keep: int = 1) -> None:
     """Remove the folders made since a count of made(), but for the last ones: what a loop or a stage no longer needs."""
-    for uri in _made[since : len(_made) - keep]:
+    uris = _own()
+    gone = uris[since : len(uris) - keep]
+    del uris[since : len(uris) - keep]
+    for uri in gone:
         _remove(spark, uri)
 
 

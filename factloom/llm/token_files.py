@@ -13,14 +13,14 @@ sample for select. All integers are little-endian.
     ids      u16 or u32
 
 Documents are cut into partitions by ranges of doc_id, sorted inside, and a partition into shards of bounded size, so files in shard order are in ascending doc_id
-order; null doc_ids come first. Defined results: a null text has the end id alone; rows that repeat are written again;
+order; null doc_ids come first. The manifest, a Parquet table beside them, has a row for each shard: its name, first id's
+place in the whole array, documents and ids. Places are summed up by partition, then inside, never on the driver. Defined results: a null text has the end id alone; rows that repeat are written again;
 extra columns are not written; an empty table gives no shard. A shard's file name is a function of the job, the partition and
 its part, written aside and moved, so a task that runs again replaces the same file.
 """
 
 from __future__ import annotations
 
-import json
 import struct
 import uuid
 from collections.abc import Iterator
@@ -30,13 +30,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factloom.llm.common import fresh_folder, prepare, table
+from factloom.llm.common import cut, fresh_folder, prepare, table
 from factloom.llm.tokens import word_level
 
 MAGIC = b"EFTOKEN1"
 SAMPLE = 256
+#: Partitions of a group whose places are summed up together, and bytes of ids that a task reads back.
+GROUP, READ_BYTES = 1024, 16 << 20
 
 
 class EliasFano:
@@ -83,6 +86,15 @@ class EliasFano:
             place = 8 * byte + (word & -word).bit_length() - 1
         return (place - i) << self.low_bits | self._low(i)
 
+    def sound(self) -> bool:
+        """Whether each sample is where its set bit is."""
+        places = self.samples.astype(np.int64)
+        if len(places) != -(-self.n // SAMPLE) or len(places) and places[-1] >= 8 * len(self.high):
+            return False
+        before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.high), dtype=np.int64)])
+        own = self.high[places // 8] & (2 << (places % 8)) - 1  # up to the sampled bit itself
+        return bool(np.all(before[places // 8] + np.bitwise_count(own) == SAMPLE * np.arange(len(places)) + 1) and np.all(self.high[places // 8] >> (places % 8) & 1))
+
     def all(self) -> np.ndarray:
         """Every value, in one pass."""
         places = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
@@ -155,11 +167,8 @@ def _get(uri: str, name: str) -> bytes:
 def write(
     docs: DataFrame, path: str, folder: str, end_id: int = 1, doc_id: str = "doc_id", text: str = "text",
     docs_per_shard: int = 4096, bytes_per_shard: int = 64 << 20,
-) -> list[dict]:
-    """Tokenise and write shards under `folder`; returns the manifest, which is written there too.
-
-    The manifest has a row for each shard: its name, first id's place in the whole array, documents and ids.
-    """
+) -> DataFrame:
+    """Tokenise and write shards under `folder`, and their manifest, which is returned as read back."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("k"), F.col(text).alias("t"))
     shards = max(1, -(-docs.select(doc_id).count() // docs_per_shard))
@@ -173,7 +182,8 @@ def write(
         def flush() -> pa.RecordBatch:
             name = f"shard-{shard:08d}-{part:06d}.eft"
             _put(folder, name, dump(keys, documents))
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(keys)]), pa.array([size // 4])], ["name", "documents", "ids"])
+            row = ([shard], [part], [name], [len(keys)], [size // 4])
+            return pa.RecordBatch.from_arrays([pa.array(v, pa.string() if v == [name] else pa.int64()) for v in row], ["shard", "part", "name", "documents", "ids"])
 
         for batch in batches:
             keys += batch.column(0).to_pylist()
@@ -187,39 +197,47 @@ def write(
             yield flush()
 
     dealt = rows.repartitionByRange(shards, "k").sortWithinPartitions("k", "t")
-    found = dealt.mapInArrow(tokenise, "name string, documents long, ids long").collect()
-    manifest, at = [], 0
-    for r in sorted(found, key=lambda r: r["name"]):
-        manifest.append({"name": r["name"], "start": at, "documents": r["documents"], "ids": r["ids"]})
-        at += r["ids"]
-    _put(folder, "manifest.json", json.dumps(manifest).encode())
-    return manifest
+    written = cut(dealt.mapInArrow(tokenise, "shard long, part long, name string, documents long, ids long"), "shards")
+    # running sums in two steps: over groups of partitions, of which there are few, and inside each group
+    group = F.floor(F.col("shard") / GROUP)
+    before = W.orderBy("group").rowsBetween(W.unboundedPreceding, -1)
+    groups = written.groupBy(group.alias("group")).agg(F.sum("ids").alias("n")).select("group", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inside = W.partitionBy("group").orderBy("shard", "part").rowsBetween(W.unboundedPreceding, -1)
+    placed = written.withColumn("group", group).join(groups, "group").withColumn("start", F.col("base") + F.coalesce(F.sum("ids").over(inside), F.lit(0)))
+    placed.select("name", "start", "documents", "ids").write.parquet(f"{folder}/manifest")
+    return manifest_of(spark, folder)
+
+
+def manifest_of(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema("name string, start long, documents long, ids long").parquet(f"{folder}/manifest")
 
 
-def read(spark: SparkSession, folder: str, manifest: list[dict]) -> DataFrame:
-    """A row for each document, in its files' order: doc_id, start, n_tokens, ids (little-endian unsigned 32-bit).
+def read(spark: SparkSession, folder: str) -> DataFrame:
+    """A row for each document of the manifest's shards: doc_id, start, n_tokens, ids (little-endian unsigned 32-bit).
 
-    Documents are cut out by select; all ends, decoded in one pass, give their starts and check the cuts.
+    Each document's bounds come from the shard's coded ends by select.
     """
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for name, start, count in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 shard = load(_get(folder, name))
-                ends = shard.ends.all()
-                first = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-                for a in range(0, len(ends), 256):
-                    part = [shard.document(i).astype("<u4").tobytes() for i in range(a, min(a + 256, len(ends)))]
-                    if [len(p) // 4 for p in part] != (ends - first)[a : a + 256].tolist():
-                        raise ValueError(f"{name}: selected ends differ from decoded ones")
+                if shard.ends.n != count or not shard.ends.sound():
+                    raise ValueError(f"{name}: not the shard of the manifest, or its select samples are wrong")
+                first = 0
+                for a in range(0, count, 256):
+                    ends = [shard.ends.select(i) for i in range(a, min(a + 256, count))]
+                    starts = [first, *ends[:-1]]
+                    first = ends[-1]
+                    part = [shard.ids[x:y].astype("<u4").tobytes() for x, y in zip(starts, ends, strict=True)]
                     keys = [None if k == -(1 << 63) else int(k) for k in shard.doc_ids[a : a + 256]]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys, pa.int64()), pa.array(first[a : a + 256] + start, pa.int64()), pa.array([len(p) // 4 for p in part], pa.int64()), pa.array(part, pa.binary())],
-                        ["doc_id", "start", "n_tokens", "ids"],
-                    )
+                    columns = (keys, [start + x for x in starts], [y - x for x, y in zip(starts, ends, strict=True)])
+                    yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns], pa.array(part, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
-    names = spark.createDataFrame([(m["name"], m["start"]) for m in manifest], "name string, start long")
-    return names.repartition(max(1, len(manifest))).mapInArrow(shards, "doc_id long, start long, n_tokens long, ids binary")
+    manifest = manifest_of(spark, folder)
+    total = manifest.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("ids"), F.lit(0)).alias("ids")).first()
+    parts = max(1, min(total["n"], -(-4 * total["ids"] // READ_BYTES)))
+    return manifest.select("name", "start", "documents").repartition(parts).mapInArrow(shards, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,9 +246,8 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     prepare(spark)
     folder = fresh_folder(spark, "tokens")
-    manifest = write(table(spark, sf_dir, "documents"), public.path("word_bpe_49k.json"), folder)
-    back = read(spark, folder, manifest)
-    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    write(table(spark, sf_dir, "documents"), public.path("word_bpe_49k.json"), folder)
+    return read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 QUERIES = {"op8_token_files": token_files}
