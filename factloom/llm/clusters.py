@@ -1,9 +1,10 @@
 """Connected components of documents or lines that a costly test links, without pairs of all members of a group.
 
-`weak_edges` turns keys that several items share into a star for each key; `components` labels what edges connect; and
-`linked` tests inside each such weak component: items are sent there once, in blocks of bounded size, and a function
-clusters each block exactly. Only where a component has several blocks do these meet: first the clusters' leaders, then
-the pairs of blocks that still hold more than one cluster.
+`with_totals` tells each row about all rows of its key; `weak_edges` turns keys that several items share into a star for
+each key; `components` labels what edges connect; and `linked` tests inside each such weak component, in blocks of
+bounded size, each of which a function clusters exactly. All but small components have several blocks, so that none is a
+single task's work: where blocks give few clusters (a group of copies) their leaders meet, and the pairs of blocks that
+then still hold more than one cluster meet whole (texts that share a passage, say).
 """
 
 from __future__ import annotations
@@ -11,14 +12,19 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.llm.common import broadcast_if_small, cut, drop, made, release
 
-#: Bytes that the items of a task's block take in memory, by the estimate in `size`.
+#: Bytes that the items of a task's block take in memory at most, by the estimate in `size`.
 BLOCK_BYTES = 64 << 20
+#: Components up to this size are one block; larger ones have at least PARTS blocks, or one for each PART_BYTES if these
+#: are fewer. Every pair of blocks may meet, so the more parts, the more often a component's items are sent.
+WHOLE_BYTES, PART_BYTES, PARTS = 256 << 10, 64 << 10, 16
+#: A key is hot from so many rows on, as seen by one row in DRAWN; the MOST_HOT most frequent ones are dealt apart.
+HOT_ROWS, DRAWN, MOST_HOT = 4096, 64, 1024
 #: Bytes of a block from which on a worker gives memory back after it.
 LARGE = 4 << 20
 
@@ -51,19 +57,55 @@ class Sets:
         return [self.find(i) for i in range(len(self.parent))]
 
 
+def draw(rows: DataFrame, *by: str) -> DataFrame:
+    """One row in DRAWN, by a hash of these columns: enough to see which keys are hot, and not used for results."""
+    return rows.where(F.pmod(F.xxhash64(*by), F.lit(DRAWN)) == 0)
+
+
+def hot_keys(drawn: DataFrame, key: str) -> DataFrame:
+    """(_hot): keys that drawn rows show to have very many, at most MOST_HOT."""
+    often = drawn.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * DRAWN >= HOT_ROWS)
+    return cut(often.orderBy(F.desc("n"), key).limit(MOST_HOT).select(F.col(key).alias("_hot")), "hot")
+
+
+def with_totals(rows: DataFrame, key: str, totals: dict[str, Column], hot: DataFrame) -> DataFrame:
+    """Rows with aggregates over all rows of their key beside them.
+
+    Most keys are dealt out once, and a window adds up. Those of `hot` (see hot_keys) don't meet in one task: their rows
+    are added up partially before the shuffle, and the sums, of at most MOST_HOT keys, are broadcast to the rows where
+    these are. A key that is hot but not among those has at most a MOST_HOT-th of all rows.
+    """
+    dealt = {name: total.over(W.partitionBy(key)) for name, total in totals.items()}
+    if hot.isEmpty():
+        return rows.withColumns(dealt)
+    hot = F.broadcast(hot)  # at most MOST_HOT rows
+    cold = rows.join(hot, F.col(key) == F.col("_hot"), "left_anti").withColumns(dealt)
+    warm = rows.join(hot, F.col(key) == F.col("_hot"), "left_semi")
+    sums = cut(warm.groupBy(F.col(key).alias("_hot")).agg(*[total.alias(name) for name, total in totals.items()]), "sums")
+    return cold.unionByName(warm.join(F.broadcast(sums), F.col(key) == F.col("_hot")).drop("_hot"))
+
+
+def _least(rows: DataFrame) -> DataFrame:
+    """(k, m): the least b of each a. Written, so that a join with it deals out both sides itself and Spark can split a
+    hot node; broadcast where the counted rows are few."""
+    least = cut(rows.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m"), "least")
+    return broadcast_if_small(least, least.count(), 32)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) edges of longs -> (node, component), component the least node reachable; nodes without edges don't occur.
 
     Alternates large-star and small-star steps; each is a minimum by node, partial before the shuffle, and a join back
-    that Spark may split at a hot node. The edges are written after each round, so a lost executor repeats one round.
+    that Spark may split at a hot node. What a round makes is written, so a lost executor repeats one round.
     """
-    since = made()
+    before = made()
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     while True:
         both = now.select("a", "b").unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
+        least = _least(both).select("k", F.least("k", "m").alias("m"))
         large = both.join(least, F.col("a") == F.col("k")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        star = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
+        large = cut(large, "edges")
+        star = _least(large)
         hops = large.join(star, F.col("a") == F.col("k"))
         small = hops.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionAll(star.select(F.col("k").alias("a"), F.col("m").alias("b")))
         new = cut(small.distinct(), "edges")
@@ -71,17 +113,16 @@ def components(edges: DataFrame) -> DataFrame:
         inner = new.select("a").distinct().join(new.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
         manifold = new.groupBy("a").count().where("count > 1")
         now = new
-        drop(edges.sparkSession, since)
+        drop(edges.sparkSession, before)
         if inner.isEmpty() and manifold.isEmpty():
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def weak_edges(shared: DataFrame, key: str = "key", item: str = "item", may_lead: str | None = None) -> DataFrame:
+def weak_edges(shared: DataFrame, hot: DataFrame, key: str = "key", item: str = "item", may_lead: str | None = None) -> DataFrame:
     """(key, item) rows of keys with several items -> star edges (a, b): each key's least item (of those that may lead) to the others."""
-    by_key = W.partitionBy(key)
-    lead = F.min(F.when(F.col(may_lead), F.col(item)) if may_lead else F.col(item)).over(by_key)
-    return shared.select(F.col(item).alias("a"), lead.alias("b")).where("b IS NOT NULL AND a <> b").distinct()
+    lead = F.min(F.when(F.col(may_lead), F.col(item)) if may_lead else F.col(item))
+    return with_totals(shared, key, {"_lead": lead}, hot).select(F.col(item).alias("a"), F.col("_lead").alias("b")).where("b IS NOT NULL AND a <> b").distinct()
 
 
 def place(items: DataFrame) -> DataFrame:
@@ -90,8 +131,10 @@ def place(items: DataFrame) -> DataFrame:
     Sizes are added up partially before the shuffle; only components of several blocks are joined back, and those are
     at most as many as blocks.
     """
-    totals = items.groupBy("component").agg(F.sum("size").alias("total")).where(F.col("total") > BLOCK_BYTES)
-    wide = cut(totals.select(F.col("component").alias("wide"), F.ceil(F.col("total") / BLOCK_BYTES).cast("long").alias("blocks")), "wide")
+    total = F.col("total")
+    blocks = F.greatest(F.ceil(total / BLOCK_BYTES), F.least(F.lit(PARTS), F.ceil(total / PART_BYTES))).cast("long")
+    totals = items.groupBy("component").agg(F.sum("size").alias("total")).where(total > min(WHOLE_BYTES, BLOCK_BYTES))
+    wide = cut(totals.select(F.col("component").alias("wide"), blocks.alias("blocks")), "wide")
     wide = broadcast_if_small(wide, wide.count(), 32)
     joined = items.join(wide, items["component"] == wide["wide"], "left").drop("wide")
     joined = joined.withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
@@ -144,32 +187,32 @@ def clustered(rows: DataFrame, cluster: Cluster) -> DataFrame:
 def linked(items: DataFrame, cluster: Cluster) -> DataFrame:
     """Items (component, block, blocks, item, size, payload binary) -> (item, leader): clusters inside components, named
     by the least item."""
+    items = cut(items, "payloads")
     first = cut(clustered(items.withColumn("leader", F.col("item")), cluster), "clusters")
     wide = first.where("blocks > 1")
     if wide.isEmpty():
         return first.select("item", "leader")
+    payload = items.where("blocks > 1").select("item", "size", "payload")
 
-    payload = items.select("item", "size", "payload")
+    def merged(now: DataFrame, meeting: DataFrame) -> DataFrame:
+        """`now` with the leaders that its own links and those found among the meeting rows give."""
+        found = clustered(meeting, cluster).unionByName(now)
+        named = components(found.select(F.col("item").alias("a"), F.col("leader").alias("b")).where("a <> b"))
+        named = named.select(F.col("node").alias("item"), F.col("component").alias("named"))
+        return cut(now.join(named, "item", "left").select("component", "block", "blocks", "item", F.coalesce("named", "leader").alias("leader")), "clusters")
 
-    def links(rows: DataFrame) -> DataFrame:
-        """What a further clustering of these rows adds: (item, leader) edges."""
-        return clustered(rows, cluster).select(F.col("item").alias("a"), F.col("leader").alias("b")).where("a <> b")
+    # leaders of one component meet where they are few
+    sized = cut(wide.join(payload.select("item", "size"), "item").groupBy("component").agg(F.sum("size").alias("total"), F.sum(F.when(F.col("item") == F.col("leader"), F.col("size"))).alias("leading")), "sized")
+    fit = sized.where((F.col("leading") <= F.greatest(F.lit(WHOLE_BYTES), F.col("total") / 8)) & (F.col("leading") <= BLOCK_BYTES)).select("component")
+    leaders = wide.where("item = leader").join(fit, "component", "left_semi").join(payload, "item")
+    now = merged(wide, leaders.withColumn("block", F.lit(0).cast("long")))
 
-    # leaders of one component meet where they fit into a block
-    leaders = wide.where("item = leader").join(payload, "item")
-    fit = leaders.groupBy("component").agg(F.sum("size").alias("total")).where(F.col("total") <= BLOCK_BYTES)
-    leaders = leaders.join(fit.select("component"), "component", "left_semi")
-    edges = wide.select(F.col("item").alias("a"), F.col("leader").alias("b")).where("a <> b")
-    met = edges.unionAll(links(leaders.withColumn("block", F.lit(0).cast("long"))))
-    named = components(met).select(F.col("node").alias("item"), F.col("component").alias("named"))
-    now = cut(wide.join(named, "item", "left").select("component", "block", "blocks", "item", F.coalesce("named", "leader").alias("leader")), "clusters")
     # blocks that hold more than one cluster between them meet in pairs
-    held = now.groupBy("component", "block").agg(F.min("leader").alias("lo"), F.max("leader").alias("hi"))
+    held = cut(now.groupBy("component", "block").agg(F.min("leader").alias("lo"), F.max("leader").alias("hi")), "held")
     other = held.select("component", F.col("block").alias("block2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     pairs = held.join(other, "component").where("block < block2 AND (lo <> hi OR lo2 <> hi2 OR lo <> lo2)")
-    meeting = pairs.select("component", F.explode(F.array("block", "block2")).alias("block"), F.xxhash64("block", "block2").alias("pair"))
-    rows = now.join(meeting, ["component", "block"]).join(payload, "item").withColumn("block", F.col("pair")).drop("pair")
-    named_edges = now.select(F.col("item").alias("a"), F.col("leader").alias("b")).where("a <> b")
-    last = components(named_edges.unionAll(links(rows))).select(F.col("node").alias("item"), F.col("component").alias("named"))
-    final = now.join(last, "item", "left").select("item", F.coalesce("named", "leader").alias("leader"))
-    return first.where("blocks = 1").select("item", "leader").unionAll(final)
+    pairs = cut(pairs.select("component", F.explode(F.array("block", "block2")).alias("block"), F.xxhash64("block", "block2").alias("pair")), "pairs")
+    if not pairs.isEmpty():
+        meeting = now.join(payload, "item").join(broadcast_if_small(pairs, pairs.count(), 32), ["component", "block"])
+        now = merged(now, meeting.withColumn("block", F.col("pair")).drop("pair"))
+    return first.where("blocks = 1").select("item", "leader").unionAll(now.select("item", "leader"))

@@ -1,20 +1,21 @@
 """Operator 9: line deduplication by a segment-partition edit join.
 
-Lines within EDITS edits (insertions, deletions, substitutions of characters) of each other link; linked lines are one
-class, and of each class only the first line (least doc_id, then line number) stays in the documents. By the pigeonhole
-principle, of a line cut into EDITS + 1 segments at least one stands unchanged in any line that links to it, near its
-own place. So each line writes its segments, and the substrings of itself that could be segments of no longer lines
-(multi-match-aware positions), as hashes that hold length and segment number. Keys that lines share give a star of
-candidates; inside their components (see clusters) lines are joined again and verified by a banded bit-parallel edit
-distance.
-
-Lines under MIN_CHARS characters are equal or not: two edits can make any short line of another. Blank lines are left
-alone. Copies are told by a 128-bit digest; a task writes the keys of a line once. Components and classes are named by
-64 bits of it, so among a billion different lines two share a name with a chance of 3 in a hundred.
-
-Defined results: null texts stay null and have no lines; documents without an id are left as they are; rows that repeat
-a doc_id are one document and lose the same lines; a document that had lines and lost them all is `emptied`; extra
-columns, of any name, are kept by `dedup_lines`.
+Two lines link when they are within as many edits (insertions, deletions, substitutions of characters) of each other as
+the shorter one's length allows: one for each CHARS_PER_EDIT characters, and at most EDITS. So shorter lines than that
+are equal or not. Linked lines are one class, and of each class only the first line (least doc_id, then line number)
+stays in the documents. By the pigeonhole principle, of a line cut into one more segment than it may have edits at least
+one stands unchanged in any longer line that links to it, near its own place. So each line writes its segments, and the
+substrings of itself that could be segments of no longer lines (multi-match-aware positions), as hashes that hold length
+and segment number. Keys that lines share give a star of candidates; inside their components (see clusters) lines are
+joined again and verified by a banded bit-parallel edit distance.
+
+Blank lines are left alone. Copies are told by a 128-bit digest; a task writes the keys of a line once. Components and
+classes are named by 64 bits of it, so among a billion different lines two share a name with a chance of 3 in a hundred.
+
+Defined results: null texts stay null and have no lines; a document is a doc_id and its text (by a 64-bit hash), so rows
+that repeat both are one document and lose the same lines, and texts that share an id are documents of their own, in
+the order of their hashes; those without an id come last; a document that had lines and lost them all is `emptied`;
+extra columns, of any name, are kept by `dedup_lines`.
 """
 
 from __future__ import annotations
@@ -29,17 +30,22 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.clusters import Sets, components, linked, place, weak_edges
+from factloom.llm.clusters import Sets, components, draw, hot_keys, linked, place, weak_edges, with_totals
 from factloom.llm.common import broadcast_if_small, cut, prepare, release, table
 from factloom.llm.ngram_join import _name, _Seen
 
-EDITS = 2
-MIN_CHARS = 32
+#: Edits that a long line may have, and characters that allow one each.
+EDITS, CHARS_PER_EDIT = 2, 12
 SPACES = " \t\n\x0b\x0c\r"
 
 
+def allowed(length: int, edits: int = EDITS, per: int = CHARS_PER_EDIT) -> int:
+    """Edits that a line of this length may have, always fewer than its characters; it never falls with the length."""
+    return min(edits, length // per, max(length - 1, 0))
+
+
 @lru_cache(maxsize=100_000)
-def segments(length: int, edits: int = EDITS) -> tuple[tuple[int, int], ...]:
+def segments(length: int, edits: int) -> tuple[tuple[int, int], ...]:
     """Start and size of the edits + 1 segments of a line, the longer ones last."""
     parts = edits + 1
     size, longer = divmod(length, parts)
@@ -52,29 +58,31 @@ def segments(length: int, edits: int = EDITS) -> tuple[tuple[int, int], ...]:
 
 
 @lru_cache(maxsize=100_000)
-def probes(length: int, edits: int = EDITS) -> tuple[tuple[int, int, int, int], ...]:
+def probes(length: int, edits: int = EDITS, per: int = CHARS_PER_EDIT) -> tuple[tuple[int, int, int, int], ...]:
     """(indexed length, segment, start, size) of substrings that may be a segment of a line no longer than this one.
 
     Segment i of a line shorter by d can stand moved by at most i places to either side, as at most i edits come before
-    it, and by at most edits - i places seen from the end. The line's own segments aren't among them.
+    it, and by at most its edits - i places seen from the end. The line's own segments aren't among them.
     """
     out = []
     for shorter in range(edits + 1):
         other = length - shorter
-        if other < edits + 1:
+        most = allowed(other, edits, per)
+        if not most or shorter > most:
             continue
-        for i, (start, size) in enumerate(segments(other, edits)):
-            low = max(start - i, start + shorter - (edits - i), 0)
-            high = min(start + i, start + shorter + (edits - i), length - size)
+        for i, (start, size) in enumerate(segments(other, most)):
+            low = max(start - i, start + shorter - (most - i), 0)
+            high = min(start + i, start + shorter + (most - i), length - size)
             out += [(other, i, p, size) for p in range(low, high + 1) if shorter or p != start]
     return tuple(out)
 
 
-def line_keys(line: str, edits: int = EDITS) -> tuple[list[int], list[int]]:
-    """Hashes of the line's segments, and of its probes."""
+def line_keys(line: str, edits: int = EDITS, per: int = CHARS_PER_EDIT) -> tuple[list[int], list[int]]:
+    """Hashes of the line's segments, and of its probes; none where it may have no edits."""
     digest, n = xxhash.xxh3_64_intdigest, len(line)
-    own = [digest(line[a : a + size], n * 8 + i) - (1 << 63) for i, (a, size) in enumerate(segments(n, edits))]
-    seek = [digest(line[p : p + size], other * 8 + i) - (1 << 63) for other, i, p, size in probes(n, edits)]
+    most = allowed(n, edits, per)
+    own = [digest(line[a : a + size], n * 8 + i) - (1 << 63) for i, (a, size) in enumerate(segments(n, most))] if most else []
+    seek = [digest(line[p : p + size], other * 8 + i) - (1 << 63) for other, i, p, size in probes(n, edits, per)]
     return own, list(dict.fromkeys(seek))
 
 
@@ -134,15 +142,19 @@ def within(a: str, b: str, edits: int = EDITS) -> bool:
     return distance <= edits
 
 
-def edit_clusters(payloads: list[bytes], labels: list[int], edits: int = EDITS) -> list[int]:
+def edit_clusters(payloads: list[bytes], labels: list[int], edits: int = EDITS, per: int = CHARS_PER_EDIT) -> list[int]:
     """Exact clusters of lines in UTF-8; equal labels are linked already."""
     lines = [p.decode() for p in payloads]
+
+    def link(a: str, b: str) -> bool:
+        return within(a, b, allowed(min(len(a), len(b)), edits, per))
+
     groups = Sets(labels)
     first: dict[str, int] = {}
     for i, x in enumerate(lines):
         groups.union(i, first.setdefault(x, i))
     order = sorted(first.values(), key=lambda i: (len(lines[i]), i))
-    keys = {i: line_keys(lines[i], edits) for i in order}
+    keys = {i: line_keys(lines[i], edits, per) for i in order}
     index: dict[int, list[int]] = defaultdict(list)
     # first against leaders only, so that a group of near copies costs one test each
     for i in order:
@@ -151,7 +163,7 @@ def edit_clusters(payloads: list[bytes], labels: list[int], edits: int = EDITS)
         for j in (j for t in (*own, *seek) for j in index.get(t, ())):
             if j not in tried and groups.find(i) != groups.find(j):
                 tried.add(j)
-                if within(lines[i], lines[j], edits):
+                if link(lines[i], lines[j]):
                     groups.union(i, j)
                     break
         else:
@@ -171,19 +183,19 @@ def edit_clusters(payloads: list[bytes], labels: list[int], edits: int = EDITS)
                     for j in index[t]:
                         if j not in tried and groups.find(i) != groups.find(j):
                             tried.add(j)
-                            if within(lines[i], lines[j], edits):
+                            if link(lines[i], lines[j]):
                                 groups.union(i, j)
     return groups.labels()
 
 
-def sketch(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """(doc_id, items, numbers, sizes, keys, owners, indexed): the lines with words, and keys of those that a task meets first."""
+def sketch(docs: DataFrame, edits: int, per: int) -> DataFrame:
+    """(doc_id, th, items, numbers, sizes, keys, owners, indexed): the lines with words, and keys of those that a task meets first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Seen()
         for batch in batches:
             columns: list[list] = [[], [], [], [], [], []]
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 items, numbers, sizes, keys, owners, indexed = [], [], [], [], [], []
                 for i, line in enumerate((text or "").split("\n")):
                     if line.strip(SPACES):
@@ -192,8 +204,8 @@ def sketch(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
                         items.append(name)
                         numbers.append(i)
                         sizes.append(len(line))
-                        if len(line) >= min_chars and seen.first(digest):
-                            own, seek = line_keys(line, edits)
+                        if len(line) >= per and seen.first(digest):
+                            own, seek = line_keys(line, edits, per)
                             keys += own
                             keys += seek
                             owners += [name] * (len(own) + len(seek))
@@ -202,68 +214,71 @@ def sketch(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
                     column.append(value)
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(c, pa.list_(k)) for c, k in zip(columns, kinds, strict=True)]],
-                ["doc_id", "items", "numbers", "sizes", "keys", "owners", "indexed"],
+                [*batch.columns[:2], *[pa.array(c, pa.list_(k)) for c, k in zip(columns, kinds, strict=True)]],
+                ["doc_id", "th", "items", "numbers", "sizes", "keys", "owners", "indexed"],
             )
         release(seen.held)
 
-    schema = "doc_id long, items array<long>, numbers array<int>, sizes array<int>, keys array<long>, owners array<long>, indexed array<boolean>"
+    schema = "doc_id long, th long, items array<long>, numbers array<int>, sizes array<int>, keys array<long>, owners array<long>, indexed array<boolean>"
     return docs.mapInArrow(run, schema)
 
 
-def line_classes(docs: DataFrame, sketches: DataFrame, edits: int) -> DataFrame:
+def line_classes(docs: DataFrame, sketches: DataFrame, edits: int, per: int) -> DataFrame:
     """(item, leader) of lines that link to others."""
     keyed = sketches.select(F.explode(F.arrays_zip("keys", "owners", "indexed")).alias("x")).select(
         F.col("x.keys").alias("key"), F.col("x.owners").alias("item"), F.col("x.indexed").alias("indexed")
     )
-    weak = cut(components(weak_edges(keyed, may_lead="indexed")), "weak")
-    lines = sketches.select("doc_id", F.explode(F.arrays_zip("items", "numbers", "sizes")).alias("x")).select("doc_id", F.col("x.items").alias("item"), F.col("x.numbers").alias("number"), F.col("x.sizes").alias("chars"))
-    # added up before the join, so that a line with very many places sends a row from each task
-    firsts = lines.groupBy("item").agg(F.min(F.struct("doc_id", "number")).alias("at"), (12 * F.max("chars") + 600).cast("long").alias("size"))  # text, keys and index
-    chosen = firsts.join(weak, F.col("item") == F.col("node")).drop("node")
+    hot = hot_keys(draw(sketches, "doc_id", "th").select(F.explode("keys").alias("key")), "key")
+    weak = cut(components(weak_edges(keyed, hot, may_lead="indexed")), "weak")
+    lines = sketches.select("doc_id", "th", F.explode(F.arrays_zip("items", "numbers", "sizes")).alias("x")).select(
+        F.struct("doc_id", "th", "x.numbers").alias("at"), F.col("x.items").alias("item"), F.col("x.sizes").alias("chars")
+    )
+    # added up partially, so that a line with very many places sends a row from each task
+    found = lines.join(broadcast_if_small(weak, weak.count(), 32), F.col("item") == F.col("node"))
+    chosen = found.groupBy("item", "component").agg(F.min("at").alias("at"), (12 * F.max("chars") + 600).cast("long").alias("size"))  # text, keys and index
     placed = place(cut(chosen, "chosen"))
-    wanted = cut(placed.groupBy(F.col("at.doc_id").alias("k")).agg(F.collect_list(F.struct("at.number", "component", "block", "blocks", "item", "size")).alias("lines")), "wanted")
+    wanted = placed.groupBy(F.col("at.doc_id").alias("k"), F.col("at.th").alias("h")).agg(F.collect_list(F.struct(F.col("at.numbers").alias("number"), "component", "block", "blocks", "item", "size")).alias("lines"))
+    wanted = cut(wanted, "wanted")
     size = wanted.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("lines")).alias("m")).first()
-    wanted = broadcast_if_small(wanted, 40 * size["n"] + 48 * (size["m"] or 0), 1)
-    texts = docs.join(wanted, docs["doc_id"] == wanted["k"]).select("lines", "t")
+    wanted = broadcast_if_small(wanted, 48 * size["n"] + 48 * (size["m"] or 0), 1)
+    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["k"]) & (docs["th"] == wanted["h"])).select("lines", "t")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[tuple] = []
             for wanted_lines, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                split = (text or "").split("\n")
-                for x in wanted_lines:
-                    line = split[x["number"]].encode() if x["number"] < len(split) else b""
-                    if _name(hashlib.md5(line).digest()) == x["item"]:  # ids can repeat
-                        found.append((x["component"], x["block"], x["blocks"], x["item"], x["size"], line))
+                split = text.split("\n")
+                found += [(x["component"], x["block"], x["blocks"], x["item"], x["size"], split[x["number"]].encode()) for x in wanted_lines]
             columns = list(zip(*found, strict=True)) if found else [[]] * 6
             kinds = (*[pa.int64()] * 5, pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in schema.split(", ")])
 
     schema = "component long, block long, blocks long, item long, size long, payload binary"
     payloads = texts.mapInArrow(take, schema).dropDuplicates(["item"])
-    return linked(payloads, lambda p, labels: edit_clusters(p, labels, edits))
+    return linked(payloads, lambda p, labels: edit_clusters(p, labels, edits, per))
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = EDITS, per: int = CHARS_PER_EDIT, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """(row, text, n_lines, n_dropped, emptied) for each row: `row` holds its columns (those of `carry`), `text` what stays."""
     prepare(docs.sparkSession)
-    bare = docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc_id"), docs[f"`{text}`"].cast("string").alias("t"))
-    sketches = cut(sketch(bare.where("doc_id IS NOT NULL"), edits, min_chars), "lines")
-    leaders = line_classes(bare, sketches, edits)
-    lines = sketches.select("doc_id", F.explode(F.arrays_zip("items", "numbers")).alias("x")).select("doc_id", F.col("x.items").alias("item"), F.col("x.numbers").alias("number"))
-    classed = lines.join(leaders, "item", "left").select("doc_id", "number", F.coalesce("leader", "item").alias("class"))
-    # written, so that the join deals out both sides itself and Spark can split a class with very many lines
-    firsts = classed.groupBy("class").agg(F.min(F.struct("doc_id", "number")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    firsts = cut(firsts, "firsts")
-    later = classed.join(firsts, "class").where(F.struct("doc_id", "number") != F.col("first"))
-    dropped = cut(later.groupBy(F.col("doc_id").alias("k")).agg(F.collect_set("number").alias("dropped")), "dropped")
+    t = docs[f"`{text}`"].cast("string")
+    bare = docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc_id"), F.xxhash64(t).alias("th"), t.alias("t"))
+    sketches = cut(sketch(bare, edits, per), "lines")
+    leaders = cut(line_classes(bare, sketches, edits, per).where("item <> leader").withColumnRenamed("item", "of"), "leaders")
+    # places in the order of documents, those without an id last
+    at = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "th", F.col("x.numbers").alias("number"))
+    lines = sketches.select("doc_id", "th", F.explode(F.arrays_zip("items", "numbers")).alias("x")).select(at.alias("at"), F.col("x.items").alias("item"))
+    joined = lines.join(broadcast_if_small(leaders, leaders.count(), 32), F.col("item") == F.col("of"), "left")
+    classed = joined.select("at", F.coalesce("leader", "item").alias("class"))
+    hot = hot_keys(draw(classed, "at"), "class")
+    later = with_totals(classed, "class", {"first": F.min("at")}, hot).where("at <> first")
+    dropped = cut(later.groupBy(F.col("at.doc_id").alias("k"), F.col("at.th").alias("h")).agg(F.collect_set("at.number").alias("dropped")), "dropped")
     size = dropped.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("dropped")).alias("m")).first()
-    dropped = broadcast_if_small(dropped, 40 * size["n"] + 4 * (size["m"] or 0), 1)
+    dropped = broadcast_if_small(dropped, 48 * size["n"] + 4 * (size["m"] or 0), 1)
 
     carried = F.struct(*[docs[f"`{c}`"].alias(c) for c in (docs.columns if carry is None else carry)])
-    rows = docs.select(carried.alias("row"), docs[f"`{doc_id}`"].cast("long").alias("k"), docs[f"`{text}`"].cast("string").alias("t"))
-    split = rows.join(dropped, "k", "left").withColumn("lines", F.split(F.coalesce("t", F.lit("")), "\n", -1))
+    rows = docs.select(carried.alias("row"), docs[f"`{doc_id}`"].cast("long").alias("doc_id"), F.xxhash64(t).alias("th"), t.alias("t"))
+    split = rows.join(dropped, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("th") == F.col("h")), "left").withColumn("lines", F.split(F.coalesce("t", F.lit("")), "\n", -1))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("dropped"))
     worded = lambda x: F.btrim(x, F.lit(SPACES)) != ""
     n_lines, n_dropped = F.size(F.filter("lines", worded)).cast("long"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long")

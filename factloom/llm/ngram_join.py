@@ -16,7 +16,9 @@ one row a token from each task, and classes of copies are joined back at the end
 
 Defined results: null or wordless texts have no shingles and are their own component; shorter texts than a shingle have
 their whole word sequence as one; repeated rows return as often as they come; null doc_ids can be linked, and a
-component of these alone has a null name; extra columns are ignored.
+component of these alone has a null name; extra columns are ignored. `keep_one` keeps all rows without shingles, and of
+each component the row of the least doc_id (null comes last), ties by a hash of the text; of rows that repeat it, one;
+extra columns, of any name, stay.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factloom.llm.clusters import Sets, components, linked, place, weak_edges
+from factloom.llm.clusters import Sets, components, draw, hot_keys, linked, place, weak_edges, with_totals
 from factloom.llm.common import broadcast_if_small, cut, prepare, release, table
 
 WORDS = 5
@@ -120,13 +122,13 @@ def _name(digest: bytes) -> int:
 
 
 def sketch(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, digest, item, size, prefix): prefix only for the first of copies in a task."""
+    """(doc_id, th, digest, item, size, prefix): th a hash of the text as it is, prefix only for the first of copies in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Seen()
         for batch in batches:
             digests, items, sizes, prefixes = [], [], [], []
-            for t in batch.column(1).to_pylist():
+            for t in batch.column(2).to_pylist():
                 words = words_of(t)
                 digest = hashlib.md5(b" ".join(words)).digest()
                 found = shingles(words, n)
@@ -135,13 +137,14 @@ def sketch(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> Dat
                 sizes.append(len(found))
                 prefixes.append(found[: prefix_length(len(found), percent)] if len(found) and seen.first(digest) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(digests, pa.binary()), pa.array(items, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["doc_id", "digest", "item", "size", "prefix"],
+                [*batch.columns[:2], pa.array(digests, pa.binary()), pa.array(items, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
+                ["doc_id", "th", "digest", "item", "size", "prefix"],
             )
         release(_hashes)
 
-    rows = docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc_id"), docs[f"`{text}`"].cast("string").alias("t"))
-    return rows.mapInArrow(run, "doc_id long, digest binary, item long, size long, prefix array<bigint>")
+    t = docs[f"`{text}`"].cast("string")
+    rows = docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc_id"), F.xxhash64(t).alias("th"), t.alias("t"))
+    return rows.mapInArrow(run, "doc_id long, th long, digest binary, item long, size long, prefix array<bigint>")
 
 
 def jaccard_clusters(payloads: list[bytes], labels: list[int], percent: int = PERCENT) -> list[int]:
@@ -220,14 +223,12 @@ def jaccard_clusters(payloads: list[bytes], labels: list[int], percent: int = PE
     return groups.labels()
 
 
-def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each row of docs: doc_id, n_shingles, component_id (the least doc_id that links reach)."""
-    spark = prepare(docs.sparkSession)
-    sketches = cut(sketch(docs, n, percent, doc_id, text), "sketch")
+def _leaders(docs: DataFrame, sketches: DataFrame, n: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """(item, leader) of the texts that may link to others; leaders name components."""
     keyed = sketches.where("prefix IS NOT NULL").select("item", "size", F.explode("prefix").alias("key"))
-    by_key = W.partitionBy("key")
+    hot = hot_keys(draw(sketches.where("prefix IS NOT NULL"), "item").select(F.explode("prefix").alias("key")), "key")
     shared = (
-        keyed.withColumns({"lo": F.min("item").over(by_key), "hi": F.max("item").over(by_key), "df": F.count(F.lit(1)).over(by_key)})
+        with_totals(keyed, "key", {"lo": F.min("item"), "hi": F.max("item"), "df": F.count(F.lit(1))}, hot)
         .where("lo < hi")
         .select("item", "size", "key", "df")
         .distinct()
@@ -235,41 +236,67 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT,
     least = F.ceil(F.col("size") * percent / 100)
     k = F.lit(1) + F.least(F.floor(least / 3), 32 + F.floor((least - 96) / 8))  # _due
     last = F.row_number().over(W.partitionBy("item").orderBy(F.desc("df"), F.desc("key")))
-    needed = shared.withColumn("last", last).where(F.col("last") >= k).select("key", "item")
-    weak = components(weak_edges(needed))
+    needed = cut(shared.withColumn("last", last).where(F.col("last") >= k).select("key", "item"), "needed")
+    weak = cut(components(weak_edges(needed, hot)), "weak")
 
     # the sets of what remains are made again from the texts
-    weak = cut(weak, "weak")
-    firsts = sketches.where("prefix IS NOT NULL").select("doc_id", "item", "size").join(weak, F.col("item") == F.col("node"))
-    chosen = firsts.groupBy("item", "component").agg(F.min("doc_id").alias("k"), (70 * F.max("size") + 400).cast("long").alias("size"))  # set, orders and index
+    firsts = sketches.where("prefix IS NOT NULL").select("doc_id", "th", "item", "size").join(broadcast_if_small(weak, weak.count(), 32), F.col("item") == F.col("node"))
+    chosen = firsts.groupBy("item", "component").agg(F.min(F.struct("doc_id", "th")).alias("k"), (70 * F.max("size") + 400).cast("long").alias("size"))  # set, orders and index
     chosen = cut(place(cut(chosen, "chosen")), "placed")
-    chosen = broadcast_if_small(chosen, chosen.count(), 64)
-    rows = docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc_id"), docs[f"`{text}`"].cast("string").alias("t"))
-    texts = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("k"))).select("component", "block", "blocks", "item", "size", "t")
+    chosen = broadcast_if_small(chosen, chosen.count(), 72)
+    t = docs[f"`{text}`"].cast("string")
+    rows = docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc_id"), F.xxhash64(t).alias("th"), t.alias("t"))
+    texts = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("th") == F.col("k.th"))).select("component", "block", "blocks", "item", "size", "t")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places, found = [], []
-            for i, (item, t) in enumerate(zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)):
-                words = words_of(t)
-                if _name(hashlib.md5(b" ".join(words)).digest()) == item:  # ids can repeat
-                    places.append(i)
-                    found.append(shingles(words, n).tobytes())
-            kept = batch.take(pa.array(places, pa.int64())).select(["component", "block", "blocks", "item", "size"])
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(found, pa.binary())], [*kept.schema.names, "payload"])
+            found = pa.array([shingles(words_of(t), n).tobytes() for t in batch.column(5).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], found], [c.split()[0] for c in schema.split(", ")])
         release(_hashes)
 
     schema = "component long, block long, blocks long, item long, size long, payload binary"
     payloads = texts.mapInArrow(sets, schema).dropDuplicates(["item"])
-    leaders = linked(payloads, lambda p, labels: jaccard_clusters(p, labels, percent))
+    return linked(payloads, lambda p, labels: jaccard_clusters(p, labels, percent))
+
+
+def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row for each row of docs: doc_id, n_shingles, component_id (the least doc_id that links reach)."""
+    prepare(docs.sparkSession)
+    sketches = cut(sketch(docs, n, percent, doc_id, text), "sketch")
+    leaders = cut(_leaders(docs, sketches, n, percent, doc_id, text).withColumnRenamed("item", "of"), "leaders")
     classes = sketches.where("size > 0").groupBy("digest", "item").agg(F.min("doc_id").alias("least"))
-    named = cut(classes.join(leaders, "item", "left").select("digest", "least", F.coalesce("leader", "item").alias("leader"), F.col("leader").isNotNull().alias("joined")), "named")
+    joined = classes.join(broadcast_if_small(leaders, leaders.count(), 32), F.col("item") == F.col("of"), "left")
+    named = cut(joined.select("digest", "least", F.coalesce("leader", "item").alias("leader"), F.col("leader").isNotNull().alias("joined")), "named")
     by_leader = named.where("joined").groupBy("leader").agg(F.min("least").alias("name"))
     known = named.join(by_leader, "leader", "left").select("digest", F.when(F.col("joined"), F.col("name")).otherwise(F.col("least")).alias("component_id"))
     out = sketches.select("doc_id", "digest", F.col("size").alias("n_shingles")).join(known, "digest", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def keep_one(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs without those that a row before them in their component stands for."""
+    prepare(docs.sparkSession)
+    sketches = cut(sketch(docs, n, percent, doc_id, text), "sketch")
+    leaders = cut(_leaders(docs, sketches, n, percent, doc_id, text).withColumnRenamed("item", "of"), "leaders")
+    # counted by row first, so that a group of copies sends few rows to its name
+    rows = sketches.where("size > 0").groupBy("item", "doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
+    rows = cut(rows.join(broadcast_if_small(leaders, leaders.count(), 32), F.col("item") == F.col("of"), "left").select(F.coalesce("leader", "item").alias("leader"), F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "th").alias("at"), "n"), "rows")
+    first = cut(rows.groupBy("leader").agg(F.min("at").alias("first"), F.sum("n").alias("m")).where("m > 1").select(F.col("leader").alias("of"), "first"), "firsts")
+    several = rows.join(first, rows["leader"] == first["of"])
+    losers = cut(several.where("at <> first").select(F.col("at.doc_id").alias("_k"), F.col("at.th").alias("_h")).distinct(), "losers")
+    repeated = cut(several.where("at = first AND n > 1").select(F.col("at.doc_id").alias("_k"), F.col("at.th").alias("_h")), "repeated")
+    losers, repeated = (broadcast_if_small(x, x.count(), 32) for x in (losers, repeated))
+
+    own = (docs[f"`{doc_id}`"].cast("long"), F.xxhash64(docs[f"`{text}`"].cast("string")))
+    marked = docs.select(F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns]).alias("row"), own[0].alias("k"), own[1].alias("h"))
+    same = lambda x: F.col("k").eqNullSafe(x["_k"]) & (F.col("h") == x["_h"])
+    kept = marked.join(losers, same(losers), "left_anti")
+    if repeated.isEmpty():
+        return kept.select("row.*")
+    one = kept.join(repeated, same(repeated), "left_semi").groupBy("k", "h").agg(F.first("row").alias("row"))
+    return kept.join(repeated, same(repeated), "left_anti").select("row.*").unionAll(one.select("row.*"))
+
+
 def ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all `documents` by the Jaccard similarity of 5-word shingles, from 0.75 on."""
     prepare(spark)

@@ -43,7 +43,8 @@ def test_components(spark):
         groups.union(a, b)
     nodes = {x for e in edges if e[0] != e[1] for x in e}
     df = spark.createDataFrame(edges, "a long, b long")
-    assert {(r["node"], r["component"]) for r in clusters.components(df).collect()} == {(x, groups.find(x)) for x in nodes}
+    found = [(r["node"], r["component"]) for r in clusters.components(df).collect()]
+    assert sorted(found) == sorted((x, groups.find(x)) for x in nodes)
     assert clusters.components(df.limit(0)).count() == 0
 
 
@@ -57,7 +58,17 @@ def test_banded_distance_and_keys(edits):
         assert line_dedup.within(a, b, edits) is near, (a, b)
         if near and min(len(a), len(b)) > edits:
             short, long = sorted((a, b), key=len)
-            assert set(line_dedup.line_keys(short, edits)[0]) & {k for part in line_dedup.line_keys(long, edits) for k in part}
+            assert set(line_dedup.line_keys(short, edits, 1)[0]) & {k for part in line_dedup.line_keys(long, edits, 1) for k in part}
+
+
+def test_keys_meet_where_edits_grow_with_length():
+    rng = random.Random(4)
+    for _ in range(4000):
+        a = "".join(rng.choice("abc") for _ in range(rng.randint(3, 30)))
+        b = changed(rng, a, rng.randint(0, 3))
+        short, long = sorted((a, b), key=len)
+        if distance(a, b) <= (most := line_dedup.allowed(len(short), 3, 6)) and most:
+            assert set(line_dedup.line_keys(short, 3, 6)[0]) & {k for part in line_dedup.line_keys(long, 3, 6) for k in part}
 
 
 def brute_jaccard(texts):
@@ -123,22 +134,25 @@ def test_prefix_guarantee():
             assert len(shared) >= max(ngram_join.due(len(a)), ngram_join.due(len(b)))
 
 
-def brute_lines(texts, edits, least):
-    lines = sorted({x for t in texts.values() if t for x in t.split("\n") if x.strip(line_dedup.SPACES)})
+def brute_lines(rows, edits=line_dedup.EDITS, per=line_dedup.CHARS_PER_EDIT):
+    """What stays of each (doc_id, text), in order, those without an id last; equal rows are one document."""
+    lines = sorted({x for _, t in rows if t for x in t.split("\n") if x.strip(line_dedup.SPACES)})
     groups = clusters.Sets(list(range(len(lines))))
     for i, a in enumerate(lines):
         for j in range(i):
-            if min(len(a), len(lines[j])) >= least and abs(len(a) - len(lines[j])) <= edits and distance(a, lines[j]) <= edits:
+            n = min(len(a), len(lines[j]))
+            most = min(edits, n // per, n - 1)
+            if most and abs(len(a) - len(lines[j])) <= most and distance(a, lines[j]) <= most:
                 groups.union(i, j)
     names = {x: groups.find(i) for i, x in enumerate(lines)}
     seen, out = set(), {}
-    for i in sorted(texts):
+    for k, t in dict.fromkeys(rows):
         kept = []
-        for x in (texts[i] or "").split("\n"):
+        for x in (t or "").split("\n"):
             if x not in names or names[x] not in seen:
                 kept.append(x)
                 seen |= {names[x]} if x in names else set()
-        out[i] = None if texts[i] is None else "\n".join(kept)
+        out[k, t] = None if t is None else "\n".join(kept)
     return out
 
 
@@ -146,33 +160,75 @@ def brute_lines(texts, edits, least):
 def test_op9_by_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(clusters, "BLOCK_BYTES", block)
     rng = random.Random(9)
-    bases = ["".join(rng.choice("abcd ") for _ in range(rng.choice([5, 11, 12, 20, 33]))) for _ in range(12)]
+    bases = ["".join(rng.choice("abcd ") for _ in range(rng.choice([3, 5, 11, 12, 20, 24, 33]))) for _ in range(14)]
     texts = {i: "\n".join(rng.choice(["", " ", changed(rng, rng.choice(bases), rng.choice([0, 0, 1, 2, 4]))]) for _ in range(rng.randint(1, 7))) for i in range(40)}
     texts |= {90: None, 91: "", 92: "\n\n", 93: texts[0], 94: "x" * 3000 + "\n" + "y" * 12, 95: "z" + "x" * 2999}
     df = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], "doc_id long, text string, lines string").repartition(3)
-    rows = {r["row"]["doc_id"]: r for r in line_dedup.dedup_lines(df, edits=2, min_chars=12).collect()}
-    expected = brute_lines(texts, 2, 12)
-    assert {i: r["text"] for i, r in rows.items()} == expected
-    for i, r in rows.items():
-        worded = lambda t: sum(bool(x.strip(line_dedup.SPACES)) for x in (t or "").split("\n"))
-        assert r["n_lines"] == worded(texts[i]) and r["n_lines"] - r["n_dropped"] == worded(expected[i])
-        assert r["emptied"] == (worded(texts[i]) > 0 and worded(expected[i]) == 0)
-        assert r["row"]["lines"] == "x"
+    for edits, per in ((2, 12), (2, 1), (1, 4)):
+        rows = {r["row"]["doc_id"]: r for r in line_dedup.dedup_lines(df, edits, per).collect()}
+        expected = {i: t for (i, _), t in brute_lines(sorted(texts.items()), edits, per).items()}
+        assert {i: r["text"] for i, r in rows.items()} == expected
+        for i, r in rows.items():
+            worded = lambda t: sum(bool(x.strip(line_dedup.SPACES)) for x in (t or "").split("\n"))
+            assert r["n_lines"] == worded(texts[i]) and r["n_lines"] - r["n_dropped"] == worded(expected[i])
+            assert r["emptied"] == (worded(texts[i]) > 0 and worded(expected[i]) == 0)
+            assert r["row"]["lines"] == "x"
 
 
 def test_op9_odd_rows(spark):
+    """Rows that repeat id and text are one document; other texts of an id are their own; those without an id come last."""
     line = "a line that is long enough to be compared with others"
-    df = spark.createDataFrame([(None, line), (2, line), (2, line), (1, line + "!"), (3, line[1:] + "\nown line of this document which stays here")], "doc_id long, text string")
-    out = sorted((r["row"]["doc_id"] or 0, r["text"]) for r in line_dedup.dedup_lines(df).collect())
-    assert out == [(0, line), (1, line + "!"), (2, ""), (2, ""), (3, "own line of this document which stays here")]
+    rows = [(None, line + "\nits own line"), (2, line), (2, line), (1, line + "!"), (3, line[1:] + "\nown line of this document which stays here"), (4, line), (4, "unique tail which exists nowhere else"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted((r["row"]["doc_id"] or 0, r["text"] or "") for r in line_dedup.dedup_lines(df).collect())
+    assert out == [(0, ""), (0, "its own line"), (1, line + "!"), (2, ""), (2, ""), (3, "own line of this document which stays here"), (4, ""), (4, "unique tail which exists nowhere else")]
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_short_lines_link_by_as_many_edits_as_they_may_have(spark):
+    rows = [(1, "Short line of text here, 28"), (2, "Short line of text here, 27"), (3, "twelve chars"), (4, "twelve char"), (5, "twelve-chars"), (6, "eleven char"), (7, "eleven-char")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["row"]["doc_id"] for r in line_dedup.dedup_lines(df).where("NOT emptied").collect()} == {1, 3, 4, 6, 7}
+
+
 def test_op9_over_the_table(spark):
-    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 60").collect()}
-    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
-    kept = {r["row"]["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()}
-    assert kept == brute_lines(docs, line_dedup.EDITS, line_dedup.MIN_CHARS)
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 60").orderBy("doc_id").collect()]
+    kept = {(r["row"]["doc_id"], r["row"]["text"]): r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert kept == brute_lines(docs)
+
+
+@pytest.mark.parametrize("how", ["hot", "no broadcast"])
+def test_joins_with_hot_keys_and_without_broadcasts(spark, monkeypatch, how):
+    """The ways that large and skewed tables take give the same rows."""
+    if how == "hot":
+        monkeypatch.setattr(clusters, "HOT_ROWS", 2)
+        monkeypatch.setattr(clusters, "DRAWN", 1)
+        monkeypatch.setattr(clusters, "MOST_HOT", 7)
+    else:
+        for module in (clusters, line_dedup, ngram_join):
+            monkeypatch.setattr(module, "broadcast_if_small", lambda df, rows, size: df)
+        monkeypatch.setattr(clusters, "WHOLE_BYTES", 1000)
+        monkeypatch.setattr(clusters, "PART_BYTES", 500)
+    rng = random.Random(3)
+    texts = dict(enumerate(near_texts(rng)))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    found = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(df).collect()}
+    assert found == brute_jaccard(texts)
+    lines = {i: "\n".join(changed(rng, "one line of some words which many hold", rng.randint(0, 9), "xyz") for _ in range(3)) for i in range(25)}
+    df = spark.createDataFrame(list(lines.items()), "doc_id long, text string").repartition(3)
+    assert {r["row"]["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()} == {i: t for (i, _), t in brute_lines(sorted(lines.items())).items()}
+
+
+def test_keep_one_of_each_group(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, long, 1), (None, long, 2), (7, long + " x", 3), (5, "other words of five", 4), (5, long, 5), (9, None, 6), (9, None, 7), (None, "", 8), (5, "other words of five", 9), (None, "alone", 10), (None, "alone", 11)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k int").repartition(3)
+    out = ngram_join.keep_one(df)
+    assert out.columns == df.columns
+    found = sorted((r["k"] for r in out.collect()))
+    assert [k for k in found if k not in (4, 9, 10, 11)] == [5, 6, 7, 8]
+    assert len({4, 9} & set(found)) == 1 and len({10, 11} & set(found)) == 1
+    assert ngram_join.keep_one(df.limit(0)).count() == 0
 
 
 def test_pipeline(spark):
