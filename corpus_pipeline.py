@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import classifier, line_dedup, ngram_join, packing, rules
-from factloom.llm.common import broadcast_if_small, cut, drop, made, prepare, table
+from factloom.llm.common import cut, drop, made, prepare, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -30,17 +30,15 @@ def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that came before; those that lose all lines go."""
+    """Documents without the lines that came before; those that lose all lines go. A doc_id with several texts is as many documents."""
     kept = line_dedup.dedup_lines(docs).where("NOT emptied")
     return kept.select("row.doc_id", "text", "row.lang", "row.source", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("row.n_chars")).cast("long").alias("n_chars"))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least doc_id."""
-    classes = ngram_join.jaccard_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_loser")).distinct()
-    losers = cut(classes, "losers")
-    losers = broadcast_if_small(losers, losers.count(), 16)
-    return docs.join(losers, docs["doc_id"] == losers["_loser"], "left_anti").select(*COLUMNS)
+    """Of each group of near duplicates the row of the least doc_id; null ones come last, ties by the text's hash, and of
+    rows that repeat id and text one stays. Rows without words stay."""
+    return ngram_join.keep_one(docs).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
