@@ -225,6 +225,11 @@ def search_tokens(text: Column) -> Column:
     return F.filter(F.split(folded, r"[^\p{L}\p{N}]+", -1), lambda t: t != "")
 
 
+def plain_term(token: Column) -> Column:
+    """A lower-case token without diacritics; only tokens that have any are rewritten."""
+    return F.when(token.rlike(r"[^\x00-\x7f]"), F.translate(token, ACCENTED, PLAIN)).otherwise(token)
+
+
 def query_terms(query: str) -> list[str]:
     """Distinct terms of a query, in order."""
     table = str.maketrans(ACCENTED, PLAIN)
@@ -243,5 +248,20 @@ def relation_from_str(value: Column, default: str = "asserts") -> Column:
     return F.when(folded.isin("asserts", "supersedes", "extends", "derives"), folded).otherwise(F.lit(default))
 
 
+def predicate_or_default(predicate: Column) -> Column:
+    """An empty predicate of a candidate is `about`."""
+    return F.coalesce(F.nullif(predicate, F.lit("")), F.lit("about"))
+
+
+def is_llm_only(relation: Column) -> Column:
+    """Only a model may infer: no deterministic pass gives `derives` without review."""
+    return F.coalesce(~relation.isin("asserts", "supersedes", "extends"), F.lit(True))
+
+
+def triggers_versioning(relation: Column) -> Column:
+    """Only `supersedes` retires what a slot holds."""
+    return F.coalesce(relation == "supersedes", F.lit(False))
+
+
 def safe_namespace(namespace: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_replace(namespace, "[^A-Za-z0-9_.-]", "_"), F.lit("")), F.lit("default"))

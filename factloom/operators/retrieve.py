@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.functions import scoring
-from factloom.functions.text import query_terms, search_tokens
+from factloom.functions.text import plain_term, query_terms, search_tokens
 from factloom.functions.vectors import cosine, truncate
 from factloom.operators.spine import surface
+from factloom.shared import materialized
 
 #: Candidates an arm gives, the pools before checks, the rank offset of the fusion.
 ARM, COARSE_POOL, SPARSE_POOL, FUSED, RRF_K = 40, 320, 80, 40, 10
@@ -55,37 +56,83 @@ def _occurrences(tokens: str, word: str) -> Column:
     return F.size(F.filter(tokens, lambda t: t == F.lit(word)))
 
 
-def bm25_scores(docs: DataFrame, query: str, text: str = "text") -> DataFrame:
-    """Docs that hold a term of the query, with `bm25`. Statistics are of the whole table, by one partial aggregation."""
-    terms = query_terms(query)
-    if not terms:
-        return docs.where("false").withColumn("bm25", F.lit(0.0))
-    tokens = search_tokens(F.col(text))
-    counted = docs.withColumn("_tokens", tokens).withColumns(
-        {"_size": F.size("_tokens"), **{f"_tf{i}": _occurrences("_tokens", w) for i, w in enumerate(terms)}}
-    ).drop("_tokens")
-    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("_size").alias("size"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
-    n, size = stats["n"], stats["size"] or 1.0
+def _weigh(counted: DataFrame, terms: list[str], n: int, size: float, dfs: dict[str, int]) -> DataFrame:
+    """Rows (_size, _hits: the query's terms as often as they occur) with `bm25`."""
     parts = []
-    for i in range(len(terms)):
-        df = stats[f"df{i}"]
+    for w in terms:
+        df = dfs.get(w, 0)
         weight = math.log((n - df + 0.5) / (df + 0.5)) if n else 0.0
-        tf = F.col(f"_tf{i}")
-        parts.append((weight if weight > 0 else LEAST_IDF) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_size") / size)))
+        tf = _occurrences("_hits", w)
+        parts.append((weight if weight > 0 else LEAST_IDF) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_size") / (size or 1.0))))
     total = parts[0]
     for p in parts[1:]:
         total = total + p
-    hit = F.greatest(*[F.col(f"_tf{i}") for i in range(len(terms))], F.lit(0)) > 0
-    return counted.where(hit).withColumn("bm25", F.round(total, 9)).drop("_size", *[f"_tf{i}" for i in range(len(terms))])
+    return counted.where(F.size("_hits") > 0).withColumn("bm25", F.round(total, 9)).drop("_size", "_hits")
+
+
+def _statistics(counted: DataFrame) -> tuple[int, float]:
+    row = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("_size").alias("size")).first()
+    return row["n"], row["size"] or 1.0
+
+
+def _frequencies(counted: DataFrame) -> dict[str, int]:
+    """Of each of the query's terms, the documents that hold it."""
+    rows = counted.select(F.explode(F.array_distinct("_hits")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    return {r["w"]: r["n"] for r in rows.collect()}  # a row for each of the query's terms at most
+
 
+def bm25_scores(docs: DataFrame, query: str, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """Docs (columns in `carry`, all but the text and vectors by default) that hold a term of the query, with `bm25`.
 
-def sparse_arm(docs: DataFrame, query: str, id: str = "id", text: str = "fact_text", pool: int | None = SPARSE_POOL, k: int = ARM, check: Column | None = None) -> DataFrame:
-    """(id, bm25, sparse_rank). With a pool the best of the whole index come first, and `check` holds after them."""
-    scored = bm25_scores(docs, query, text)
+    Texts are split once: what is kept of each, its length and the terms it shares with the query, is written, and
+    statistics and scores are made of that.
+    """
+    terms = query_terms(query)
+    kept = [c for c in docs.columns if c not in (text, "embedding", "coarse")] if carry is None else carry
+    if not terms:
+        return docs.select(*kept).where("false").withColumn("bm25", F.lit(0.0))
+    tokens = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+", -1), lambda t: t != "")
+    split = docs.select(*kept, tokens.alias("_tokens"))
+    hits = F.filter(F.transform("_tokens", plain_term), lambda t: t.isin(*terms))
+    counted = materialized(split.select(*kept, F.size("_tokens").alias("_size"), hits.alias("_hits")), "terms")
+    return _weigh(counted, terms, *_statistics(counted), _frequencies(counted))
+
+
+def postings(facts: DataFrame, id: str = "id", text: str = "fact_text") -> DataFrame:
+    """(namespace, term, fact_id, tf, size) of the text index: a row for each distinct term of a fact, and one of the
+    empty term, which tells the fact's length. Texts are single statements, so terms are counted beside the row."""
+    tokens = facts.select("namespace", F.col(id).alias("fact_id"), search_tokens(F.col(text)).alias("_tokens"))
+    counted = F.transform(F.array_distinct("_tokens"), lambda t: F.struct(t.alias("term"), F.size(F.filter("_tokens", lambda x: x == t)).alias("tf")))
+    length = F.array(F.struct(F.lit("").alias("term"), F.size("_tokens").alias("tf")))
+    return tokens.select("namespace", "fact_id", F.size("_tokens").alias("size"), F.explode(F.concat(length, counted)).alias("x")).select(
+        "namespace", "x.term", "fact_id", "x.tf", "size"
+    )
+
+
+def bm25_of_postings(index: DataFrame, facts: DataFrame, query: str, id: str = "id") -> DataFrame:
+    """(id, bm25) of the facts that hold a term of the query, from their postings: only the query's terms are read, and
+    lengths for the statistics. `index` and `facts` are of one namespace; statistics are of these facts."""
+    terms = query_terms(query)
+    if not terms:
+        return facts.select(id).where("false").withColumn("bm25", F.lit(0.0))
+    ids = facts.select(F.col(id).alias("fact_id"))
+    row = index.where("term = ''").join(ids, "fact_id", "left_semi").agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("size")).first()
+    own = index.where(F.col("term").isin(*terms)).join(ids, "fact_id", "left_semi")
+    held = own.groupBy("fact_id").agg(F.max("size").alias("_size"), F.flatten(F.collect_list(F.array_repeat("term", F.col("tf")))).alias("_hits"))
+    counted = materialized(held.select(F.col("fact_id").alias(id), "_size", "_hits"), "terms")
+    return _weigh(counted, terms, row["n"], row["size"] or 1.0, _frequencies(counted))
+
+
+def sparse_arm(
+    docs: DataFrame, query: str, id: str = "id", text: str = "fact_text", pool: int | None = SPARSE_POOL, k: int = ARM, check: Column | None = None, index: DataFrame | None = None,
+) -> DataFrame:
+    """(id, bm25, sparse_rank). With a pool the best of the whole index come first, and `check` holds after them. With
+    `index` (see postings) scores are made of stored terms."""
+    scored = bm25_scores(docs, query, text, None if check is not None else [id]) if index is None else bm25_of_postings(index, docs, query, id)
     if pool is not None and check is not None:
         scored = scored.orderBy(F.desc("bm25"), id).limit(pool)
     if check is not None:
-        scored = scored.where(check)
+        scored = (scored if index is None else docs.join(F.broadcast(scored), id) if pool is not None else docs.join(scored, id)).where(check)
     best = scored.select(id, "bm25").orderBy(F.desc("bm25"), id).limit(k)
     return best.withColumn("sparse_rank", F.row_number().over(W.orderBy(F.desc("bm25"), id)))
 
@@ -126,9 +173,10 @@ def hits(reranked: DataFrame, facts: DataFrame, now: int, k: int = 5, id: str =
 
 def search(
     facts: DataFrame, query: str, vector: list[float], now: int, k: int = 5, as_of: int | None = None, is_latest_only: bool = True,
-    include_cold: bool = False, pool: str = "exact", coarse_dim: int = 256,
+    include_cold: bool = False, pool: str = "exact", coarse_dim: int = 256, index: DataFrame | None = None,
 ) -> DataFrame:
-    """Hybrid search over the fact view. pool="exact" filters before the arms; "parity" keeps the bounded pools."""
+    """Hybrid search over the fact view. pool="exact" filters before the arms; "parity" keeps the bounded pools. `index`
+    holds the facts' postings, if they are stored."""
     visible = surface(facts, as_of, is_latest_only, include_cold)
     if pool == "parity":
         check = F.lit(True) if as_of is None else (F.col("valid_at") <= as_of) & (F.col("valid_to").isNull() | (F.col("valid_to") > as_of))
@@ -138,10 +186,10 @@ def search(
             allowed = F.col("is_latest") == 1
             if as_of is None and not include_cold:
                 allowed = allowed & (F.col("tier") == "hot")
-        sparse = sparse_arm(facts, query, check=allowed & check)
+        sparse = sparse_arm(facts, query, check=allowed & check, index=index)
     else:
         dense = dense_arm(visible, vector, pool=None)
-        sparse = sparse_arm(visible, query, pool=None)
+        sparse = sparse_arm(visible, query, pool=None, index=index)
     return hits(identity_rerank(fuse(dense, sparse)), visible, now, k)
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.functions import scoring
-from factloom.functions.text import query_terms
 from factloom.functions.vectors import cosine, truncate
 from factloom.operators import retrieve
 from factloom.plans.inputs import EVENTS, NOW, event_facts, table
@@ -86,7 +85,8 @@ def search_bullets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _Q = "[" + ", ".join(f"{x}::DOUBLE" for x in QUERY_VECTOR) + "]"
 _C = "[" + ", ".join(f"{x!r}::DOUBLE" for x in retrieve.coarse_vector(QUERY_VECTOR, COARSE)) + "]"
-_TERMS = query_terms(QUERY)
+#: The query's terms, spelled out for SQL.
+_TERMS = ["the", "anon", "thor", "of", "heeat", "reed", "dieein"]
 _VEC = "ve AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings)"
 
 
@@ -96,13 +96,14 @@ def _cos(a: str, b: str) -> str:
 
 _DENSE = f"""{_VEC},
 dn AS (SELECT id, distance, row_number() OVER (ORDER BY distance, id) AS dense_rank FROM (SELECT id, round(1 - {_cos("e", _Q)}, 9) AS distance FROM ve) ORDER BY distance, id LIMIT 40)"""
-_SPARSE = f"""tk AS (SELECT doc_id AS id, list_filter(string_split_regex(strip_accents(lower(coalesce(text, ''))), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS ts FROM documents),
+_SPARSE_ALL = f"""tk AS (SELECT doc_id AS id, list_filter(string_split_regex(strip_accents(lower(coalesce(text, ''))), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS ts FROM documents),
 st AS (SELECT count(*) AS n, avg(len(ts)) AS size FROM tk),
 tf AS (SELECT id, len(ts) AS size, w, len(list_filter(ts, lambda t: t = w)) AS tf FROM tk, (SELECT unnest({_TERMS}) AS w)),
 df AS (SELECT w, count(*) AS df FROM tf WHERE tf > 0 GROUP BY w),
 bm AS (
   SELECT id, round(sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * tf.size / st.size))), 9) AS bm25
-  FROM tf JOIN df USING (w), st WHERE tf > 0 GROUP BY id),
+  FROM tf JOIN df USING (w), st WHERE tf > 0 GROUP BY id)"""
+_SPARSE = f"""{_SPARSE_ALL},
 sp AS (SELECT id, bm25, row_number() OVER (ORDER BY bm25 DESC, id) AS sparse_rank FROM bm ORDER BY bm25 DESC, id LIMIT 40)"""
 _FUSED = f"""{_DENSE}, {_SPARSE},
 fj AS (SELECT id, dense_rank, sparse_rank, round(coalesce(1.0::DOUBLE / (10 + dense_rank), 0) + coalesce(1.0::DOUBLE / (10 + sparse_rank), 0), 12) AS rrf FROM dn FULL JOIN sp USING (id)),
