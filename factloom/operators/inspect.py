@@ -9,13 +9,28 @@ from pyspark.sql import functions as F
 from factloom.functions.text import query_terms, search_tokens
 
 
-def overview(facts: DataFrame) -> DataFrame:
-    """Latest, retired and superseding counts of each namespace, in one pass."""
-    return facts.groupBy("namespace").agg(
+def overview(facts: DataFrame, entities: DataFrame | None = None, episodes: DataFrame | None = None) -> DataFrame:
+    """Latest, retired and superseding counts of each namespace, in one pass, with those of entities and episodes if given."""
+    found = facts.groupBy("namespace").agg(
         F.count_if(F.col("is_latest") == 1).alias("facts_latest"),
         F.count_if(F.col("is_latest") == 0).alias("facts_retired"),
         F.count_if(F.col("superseded_by").isNotNull()).alias("chains"),
     )
+    for name, rows in (("entities", entities), ("episodes", episodes)):
+        if rows is not None:
+            found = found.join(rows.groupBy("namespace").agg(F.count(F.lit(1)).alias(name)), "namespace", "full_outer")
+    return found.na.fill(0, [c for c in found.columns if c != "namespace"])
+
+
+def ranked(over: DataFrame) -> DataFrame:
+    """Namespaces with the most facts first, ties by name."""
+    return over.orderBy(F.desc(F.col("facts_latest") + F.col("facts_retired")), "namespace")
+
+
+def facts_per_add(over: DataFrame, adds: DataFrame) -> DataFrame:
+    """Facts for each add (namespace, adds), rounded to tenths; null where there was none."""
+    total = F.col("facts_latest") + F.col("facts_retired")
+    return over.join(adds.select("namespace", "adds"), "namespace", "left").withColumn("facts_per_add", total / F.nullif(F.col("adds"), F.lit(0)))
 
 
 def supersession_rate(over: DataFrame) -> DataFrame:
@@ -63,6 +78,19 @@ def activity(events: DataFrame, now: int, days: int = 7) -> DataFrame:
     )
 
 
+def list_events(events: DataFrame, namespace, kind: str | None = None, page: int = 1, page_size: int = 50) -> DataFrame:
+    """A page of a namespace's events, newest first."""
+    rows = events.where(F.col("namespace") == namespace)
+    rows = rows if kind is None else rows.where(F.col("kind") == kind)
+    size = min(max(page_size, 1), 200)
+    return rows.orderBy(F.desc("ts"), F.desc("id")).offset((max(page, 1) - 1) * size).limit(size)
+
+
+def open_namespaces(rows: DataFrame) -> DataFrame:
+    """Namespaces that rows name, without reserved ones."""
+    return rows.select("namespace").distinct().where(~F.startswith("namespace", F.lit("_")))
+
+
 def retained(events: DataFrame, keep: int = 10_000) -> DataFrame:
     """The newest events of each namespace."""
     newest = W.partitionBy("namespace").orderBy(F.desc("ts"), F.desc("id"))

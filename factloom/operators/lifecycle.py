@@ -41,9 +41,9 @@ def signatures(proposals: DataFrame, ids: str = "fact_ids") -> DataFrame:
     return proposals.withColumn("signature", F.array_join(F.array_sort(F.array_distinct(ids)), "\u0001"))
 
 
-def not_pending(found: DataFrame, pending: DataFrame, ids: str = "fact_ids") -> DataFrame:
+def not_pending(found: DataFrame, pending: DataFrame, ids: str = "fact_ids", pending_ids: str | None = None) -> DataFrame:
     """Proposals whose facts aren't those of a pending one."""
-    return signatures(found, ids).join(signatures(pending, ids).select("signature").distinct(), "signature", "left_anti").drop("signature")
+    return signatures(found, ids).join(signatures(pending, pending_ids or ids).select("signature").distinct(), "signature", "left_anti").drop("signature")
 
 
 def valid_merges(merges: DataFrame, facts: DataFrame) -> DataFrame:
@@ -53,6 +53,21 @@ def valid_merges(merges: DataFrame, facts: DataFrame) -> DataFrame:
     return merges.join(a, "a", "left").join(b, "b", "left").withColumn("ok", F.coalesce(F.col("slot_a") == F.col("slot_b"), F.lit(False))).drop("slot_a", "slot_b")
 
 
+def canonical_merges(merges: DataFrame, facts: DataFrame) -> DataFrame:
+    """Merges whose survivors are live: a retired survivor stands for the fact it points at, one step on. A merge that
+    then has no other loser goes."""
+    on = facts.where("is_latest = 0 AND superseded_by IS NOT NULL").select(F.col("id").alias("survivor_id"), F.col("superseded_by").alias("_on"))
+    moved = merges.join(on, "survivor_id", "left").withColumn("survivor_id", F.coalesce("_on", "survivor_id")).drop("_on")
+    return moved.withColumn("loser_ids", F.array_remove("loser_ids", F.col("survivor_id"))).where(F.size("loser_ids") > 0)
+
+
+def repoint_events(merges: DataFrame, facts: DataFrame, now: int) -> DataFrame:
+    """Open duplicates that point at a loser point at its survivor from now on, so that each points at a live fact."""
+    losers = merges.select(F.explode("loser_ids").alias("superseded_by"), F.col("survivor_id").alias("ref_id"))
+    held = facts.where("is_latest = 0 AND valid_to IS NULL AND superseded_by IS NOT NULL").select("id", "superseded_by")
+    return held.join(losers, "superseded_by").select(F.col("id").alias("fact_id"), F.lit("repoint").alias("kind"), F.lit(now).alias("at_ms"), "ref_id", F.lit(None).cast("string").alias("val"))
+
+
 def merge_events(merges: DataFrame, now: int) -> DataFrame:
     """Exact merges (survivor_id, loser_ids, merged_access_count, merged_last_access) as events."""
     retire = merges.select(F.explode("loser_ids").alias("fact_id"), F.lit("retire_duplicate").alias("kind"), F.lit(now).alias("at_ms"), F.col("survivor_id").alias("ref_id"), F.lit(None).cast("string").alias("val"))

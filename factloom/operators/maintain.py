@@ -10,11 +10,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.functions import scoring
 from factloom.functions.text import MULTIVALUED, normalize_text
+from factloom.operators.lifecycle import not_pending
 from factloom.schema import MS_PER_DAY
 
 SLOT = ["subject_id", "predicate"]
@@ -74,8 +74,10 @@ def near_pairs(facts: DataFrame, tau: float, slot: list[str] | None = None, embe
         name.alias("slot"), F.col(id).alias("id"), "valid_at", F.col(embedding).cast("array<double>").alias("v"),
         (normalize_text(text) if text else F.col(id).cast("string")).alias("norm"),
     )
-    blocks = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)).over(W.partitionBy("slot")) / BLOCK)).cast("int")
-    placed = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # slots are counted without their vectors; only those of several blocks are joined back
+    wide = rows.groupBy("slot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    placed = rows.join(wide, "slot", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("x"), F.greatest(o, F.col("block")).alias("y")))
     pairs = placed.withColumn("pair", F.explode(F.array_distinct(other)))
     kind = dict(rows.dtypes)["id"]
@@ -98,12 +100,6 @@ def near_pairs(facts: DataFrame, tau: float, slot: list[str] | None = None, embe
     return pairs.groupBy("slot", "pair").applyInPandas(compare, f"slot string, a {kind}, b {kind}, cosine double")
 
 
-def within_budget(found: DataFrame, order: list[Column], budget: int) -> DataFrame:
-    """Mark the first `budget` rows as staged; the others are only counted."""
-    best = found.orderBy(*order).limit(budget).withColumn("staged", F.lit(True))
-    return best
-
-
 def summarize(facts: DataFrame, now: int, config: Config = Config()) -> DataFrame:  # noqa: B008
     """Subjects with enough old facts in a slot: heat over all their old facts, sources, the extractive summary."""
     old = live(facts).where(F.lit(now) - F.col("valid_at") >= config.age_floor_days * MS_PER_DAY)
@@ -143,19 +139,29 @@ def evict_propose(facts: DataFrame, now: int, config: Config = Config()) -> Data
 
 def transforms(facts: DataFrame, now: int, config: Config = Config(), pending: DataFrame | None = None) -> dict[str, DataFrame]:  # noqa: B008
     """One run over a snapshot: proposals first, under one budget (near, summarize, evict), then what applies by itself,
-    without any fact that a proposal names. The budget bounds what is counted here."""
-    near = near_pairs(live(facts), config.tau_near).withColumn("multivalued", F.element_at(F.split("slot", "\u0001"), -1).isin(*MULTIVALUED))
+    without any fact that a proposal names. The budget bounds what is counted here.
+
+    `pending` (kind, ids) holds what earlier runs proposed and nobody has decided: the same evidence isn't proposed again.
+    """
+    multivalued = F.element_at(F.split("slot", "\u0001"), -1).isin(*MULTIVALUED)
+    near = near_pairs(live(facts), config.tau_near).withColumns({"multivalued": multivalued, "fact_ids": F.array("a", "b")})
+    summaries = summarize(facts, now, config)
+    evictions = evict_propose(facts, now, config)
+    waiting = None
+    if pending is not None:
+        near = not_pending(near, pending.where("kind = 'dedup_near'"), "fact_ids", "ids")
+        summaries = not_pending(summaries, pending.where("kind = 'summarize'"), "source_fact_ids", "ids")
+        waiting = pending.select(F.explode("ids").alias("id")).distinct()
+        evictions = evictions.join(waiting, "id", "left_anti")
+    all_found = {"near": near, "summaries": summaries, "evictions": evictions}
     near = near.orderBy("slot", "a", "b").limit(config.budget)
     left = config.budget - near.count()
-    summaries = summarize(facts, now, config).orderBy(F.desc("heat"), "subject_id").limit(left)
+    summaries = summaries.orderBy(F.desc("heat"), "subject_id").limit(left)
     left -= summaries.count()
-    evictions = evict_propose(facts, now, config)
-    if pending is not None:
-        evictions = evictions.join(pending.select("id"), "id", "left_anti")
     evictions = evictions.orderBy("value", "id").limit(left)
-    named = near.select(F.explode(F.array("a", "b")).alias("id")).unionByName(summaries.select(F.explode("source_fact_ids").alias("id"))).unionByName(evictions.select("id"))
-    if pending is not None:
-        named = named.unionByName(pending.select("id"))
+    named = near.select(F.explode("fact_ids").alias("id")).unionByName(summaries.select(F.explode("source_fact_ids").alias("id"))).unionByName(evictions.select("id"))
+    if waiting is not None:
+        named = named.unionByName(waiting)
     named = named.distinct()
     return {
         "dedup_near": near,
@@ -163,6 +169,7 @@ def transforms(facts: DataFrame, now: int, config: Config = Config(), pending: D
         "evict": evictions,
         "merges": dedup_exact(facts, named),
         "demotions": evict_auto(facts, now, config).join(named, "id", "left_anti"),
+        "found": all_found["near"].select(F.lit("dedup_near").alias("kind")).unionByName(all_found["summaries"].select(F.lit("summarize").alias("kind"))).unionByName(all_found["evictions"].select(F.lit("evict").alias("kind"))),
     }
 
 

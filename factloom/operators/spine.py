@@ -45,8 +45,9 @@ def as_of_grid(facts: DataFrame, times: list[int], keys: list[str] | None = None
 def current(asserts: DataFrame, events: DataFrame) -> DataFrame:
     """The fact view: assertions with their events folded. Later events win; usage counts restart at a merge."""
     last = lambda value, kinds: F.max_by(F.when(F.col("kind").isin(*kinds), value), F.when(F.col("kind").isin(*kinds), F.col("seq")))
-    merged = F.max(F.when(F.col("kind") == "usage_merge", F.col("seq")))
-    marked = events.withColumn("merge_seq", F.max(F.when(F.col("kind") == "usage_merge", F.col("seq"))).over(W.partitionBy("fact_id")))
+    # merges are few beside touches: their last one is told to the events before these are added up partially
+    merges = events.where("kind = 'usage_merge'").groupBy(F.col("fact_id").alias("merged_id")).agg(F.max("seq").alias("merge_seq"))
+    marked = events.join(merges, events["fact_id"] == merges["merged_id"], "left")
     folded = marked.groupBy("fact_id").agg(
         last(F.col("at_ms"), ("supersede", "cascade_close", "invalidate")).alias("valid_to"),
         last(F.col("ref_id"), ("supersede", "retire_duplicate", "repoint")).alias("superseded_by"),
@@ -56,7 +57,6 @@ def current(asserts: DataFrame, events: DataFrame) -> DataFrame:
         last(F.col("val").cast("long"), ("usage_merge",)).alias("merged_count"),
         F.count_if((F.col("kind") == "touch") & (F.col("seq") > F.coalesce("merge_seq", F.lit(-1)))).alias("touches"),
         F.max(F.when(F.col("kind").isin("touch", "usage_merge"), F.col("at_ms"))).alias("last_access"),
-        merged.alias("last_merge"),
     )
     return (
         asserts.join(folded, asserts["id"] == folded["fact_id"], "left")
@@ -67,7 +67,7 @@ def current(asserts: DataFrame, events: DataFrame) -> DataFrame:
                 "access_count": F.coalesce("merged_count", F.lit(0)) + F.coalesce("touches", F.lit(0)),
             }
         )
-        .drop("fact_id", "retired", "merged_count", "touches", "last_merge")
+        .drop("fact_id", "retired", "merged_count", "touches")
     )
 
 

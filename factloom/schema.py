@@ -20,8 +20,9 @@ FACT_ASSERT = _struct(
     "episode_id string, valid_at long, ingested_at long, confidence double, salience double, is_inference int, "
     "record_kind string, embedding array<float>, coarse array<float>"
 )
-#: kinds: supersede, cascade_close, retire_duplicate, invalidate, tier, usage_merge, touch
+#: kinds: supersede, cascade_close, retire_duplicate, invalidate, tier, usage_merge, touch, repoint
 FACT_EVENT = _struct("seq long, fact_id string, kind string, at_ms long, ref_id string, val string")
+POSTING = _struct("namespace string, term string, fact_id string, tf int, size int")
 DERIVATION = _struct("summary_id string, source_id string")
 RUN = _struct("id string, namespace string, started_at long, heartbeat_at long, finished_at long, status string, cursor long, stats_json string")
 PROPOSAL = _struct("id string, run_id string, namespace string, kind string, payload_json string, created_at long, expires_at long, evidence_backend string")

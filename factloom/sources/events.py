@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators.inspect import activity, retained
+from factloom.operators.inspect import activity, list_events, retained
 from factloom.sources.store import Store
 
 
@@ -30,10 +30,7 @@ class EventLog:
         return retained(self.store.read("event"), self.keep)
 
     def page(self, namespace: str, kind: str | None = None, page: int = 1, page_size: int = 50) -> DataFrame:
-        rows = self.events().where(F.col("namespace") == namespace)
-        rows = rows if kind is None else rows.where(F.col("kind") == kind)
-        size = min(max(page_size, 1), 200)
-        return rows.orderBy(F.desc("ts"), F.desc("id")).offset((max(page, 1) - 1) * size).limit(size)
+        return list_events(self.events(), namespace, kind, page, page_size)
 
     def activity(self, now: int, days: int = 7) -> DataFrame:
         return activity(self.events(), now, days)

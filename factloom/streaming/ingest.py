@@ -10,16 +10,11 @@ from factloom.memory import Memory
 
 
 def ingest(stream: DataFrame, memory: Memory, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Add a stream of episodes (namespace, raw, t_ref, source) batch by batch. A batch that is replayed after a crash
-    is skipped where its mark is already in the store."""
+    """Add a stream of episodes (namespace, raw, t_ref, source) batch by batch. A batch's mark is committed with its
+    rows, so one that is replayed after a crash is skipped."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        store = memory.store
-        mark = store._path(f"_streams/{_name(checkpoint)}-{batch_id:012d}")
-        if not store._fs.exists(mark):
-            memory.add_batch(batch)
-            store._fs.mkdirs(mark.getParent())
-            store._fs.createNewFile(mark)
+        memory.add_batch(batch, mark=f"{_name(checkpoint)}-{batch_id:012d}")
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

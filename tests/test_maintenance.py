@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from factloom.functions.embed import FakeEmbedder
 from factloom.memory import Memory
 from factloom.operators import maintain
 
@@ -84,14 +85,107 @@ def test_near_pairs_in_blocks_equal_brute_force(spark, monkeypatch):
 
 
 def test_summary_is_never_backdated(spark, tmp_path):
-    memory = Memory(spark, f"file://{tmp_path}", config=maintain.Config(tau_near=1.1))
+    memory = Memory(spark, f"file://{tmp_path}", embedder=FakeEmbedder(2, 1), config=maintain.Config(tau_near=1.1))
     rows = [fact(i, "likes", f"likes thing{i}", 200 + i, salience=5.0) for i in range(1, 7)]
     memory.store.append("fact_assert", spark.createDataFrame(rows, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in memory.store.read("fact_assert").schema)))
     assert memory.maintain("n", now=NOW)["summarize"] == 1
     proposal = memory.proposals("n", NOW).first()
+    with pytest.raises(ValueError, match="dimensions"):
+        Memory(spark, f"file://{tmp_path}", config=memory.config).decide("n", proposal["id"], "approve", NOW)
     assert memory.decide("n", proposal["id"], "approve", NOW) == "approved"
     facts = memory.history("n").collect()
     summary = [f for f in facts if f["record_kind"] == "summary"]
     assert len(summary) == 1 and summary[0]["valid_at"] == NOW and summary[0]["fact_text"].startswith("Summary (extractive): ")
     assert {f["tier"] for f in facts if f["record_kind"] == "fact"} == {"cold"}
     assert memory.history("n", as_of=NOW - 1).where(F.col("record_kind") == "summary").count() == 0
+
+
+def test_a_second_run_proposes_nothing_twice(memory):
+    memory.config = maintain.Config(tau_near=0.7, min_cluster=2, age_floor_days=1)
+    first = memory.maintain("n", now=NOW)
+    assert first["dedup_near"] + first["summarize"] + first["evict"] > 0
+    staged = memory.proposals("n", NOW).count()
+    assert memory.maintain("n", now=NOW + DAY) == {"below_threshold": 1}
+    second = memory.maintain("n", now=NOW + DAY, force=True)
+    assert second["dedup_near"] == second["summarize"] == second["evict"] == 0 and memory.proposals("n", NOW).count() == staged
+    assert memory.maintain("n", now=NOW + 9 * DAY, dry_run=True)["dropped"] == 0
+    ledger = [(r["status"], r["cursor"]) for r in memory.store.read("maintenance_run").collect()]
+    assert len(ledger) == 3 and {c for _, c in ledger} == {ledger[0][1]}
+    assert memory.status(NOW).first()["pending"] == staged
+
+
+def test_a_budget_tells_what_it_drops(memory):
+    memory.config = maintain.Config(tau_near=0.0, budget=1)
+    counts = memory.maintain("n", now=NOW, dry_run=True)
+    assert counts["dedup_near"] == 1 and counts["dropped"] >= 1
+
+
+def test_edit_and_promote(memory, spark):
+    memory.embedder = FakeEmbedder(2, 1)
+    memory.config = maintain.Config(tau_near=1.1, min_cluster=2, age_floor_days=1, evict_threshold=0.5, auto_salience=0.0)
+    memory.maintain("n", now=NOW)
+    queue = {p["kind"]: p["id"] for p in memory.proposals("n", NOW).collect()}
+    assert {"summarize", "evict"} <= set(queue)
+    assert memory.decide("n", queue["summarize"], "promote", NOW) == memory.decide("n", queue["evict"], "edit", NOW, "x") == "invalid_decision"
+    assert memory.decide("n", queue["evict"], "promote", NOW) == "promoted" and memory.decide("n", queue["evict"], "approve", NOW) == "rejected"
+    assert memory.decide("n", queue["summarize"], "edit", NOW, "in own words") == "edited"
+    facts = {f["fact_text"]: f for f in memory.history("n").collect()}
+    assert facts["in own words"]["record_kind"] == "summary"
+    cold = next(f["id"] for f in facts.values() if f["tier"] == "cold")
+    assert memory.promote("n", cold, NOW) == "promoted" and memory.promote("n", "nothing", NOW) == "not_found"
+    assert memory.history("n").where(F.col("id") == cold).first()["tier"] == "hot"
+    assert memory.store.read("episode").where("source = 'maintenance'").count() == 1
+
+
+def test_duplicates_point_at_live_facts(spark):
+    """b was merged into a; then a is merged into d: b points at d. A survivor that was merged already stands for its canonical."""
+    from factloom.operators import lifecycle
+
+    facts = spark.createDataFrame([("a", 1, None, None), ("b", 0, "a", None), ("c", 0, "a", 5), ("d", 1, None, None), ("e", 1, None, None)], "id string, is_latest int, superseded_by string, valid_to long")
+    merges = spark.createDataFrame([("d", ["a"]), ("b", ["e", "a"])], "survivor_id string, loser_ids array<string>")
+    found = lifecycle.canonical_merges(merges, facts)
+    assert sorted((r["survivor_id"], r["loser_ids"]) for r in found.collect()) == [("a", ["e"]), ("d", ["a"])]
+    assert [(r["fact_id"], r["ref_id"]) for r in lifecycle.repoint_events(found.where("survivor_id = 'd'"), facts, 9).collect()] == [("b", "d")]
+
+
+def test_a_unit_of_work_is_seen_whole_or_not_at_all(spark, tmp_path):
+    from factloom.sources.store import LeaseHeld, Store
+
+    store, other = Store(spark, f"file://{tmp_path}"), Store(spark, f"file://{tmp_path}")
+    row = spark.createDataFrame([("a", "n")], "id string, namespace string")
+    with pytest.raises(KeyError):
+        with store.unit("one"):
+            store.append("episode", row)
+            raise KeyError
+    assert store.read("episode").count() == 0
+    with store.unit("one") as fresh:
+        store.append("episode", row)
+        assert fresh and other.read("episode").count() == 0
+        with pytest.raises(RuntimeError):
+            with store.unit():
+                pass
+        with pytest.raises(LeaseHeld):
+            with other.unit():
+                pass
+    with other.unit("one") as fresh:
+        assert not fresh
+    assert other.read("episode").count() == 1
+    # a writer lost between commit and move: the next one moves what it left
+    row.write.parquet(f"file://{tmp_path}/_units/lost/episode")
+    (tmp_path / "_units/lost/_COMMITTED").touch()
+    row.write.parquet(f"file://{tmp_path}/_units/open/episode")
+    with other.unit():
+        pass
+    assert other.read("episode").count() == 2
+
+
+def test_a_writer_taken_over_leaves_its_successors_lease(spark, tmp_path):
+    from factloom.sources.store import LeaseHeld, Store
+
+    store, other = Store(spark, f"file://{tmp_path}"), Store(spark, f"file://{tmp_path}")
+    with store.lease():
+        store.heartbeat()
+        with other.lease(stale_s=-1):
+            with pytest.raises(LeaseHeld):
+                store.heartbeat()
+            assert other.holds() and not store.holds()

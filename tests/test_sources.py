@@ -63,6 +63,18 @@ def test_stream_of_episodes(spark, tmp_path):
     spark.createDataFrame(rows[1:], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     run()
     assert [f["object_literal"] for f in memory.facts().where("is_latest = 1").collect()] == ["Zorbex"]
+    # a batch that is replayed finds its mark, which was committed with its rows
+    marks = sorted(p.name for p in (tmp_path / "store" / "_marks").iterdir() if not p.name.startswith("."))
+    assert len(marks) == 2 and memory.add_batch(spark.createDataFrame(rows, schema), mark=marks[0]).count() == 0
+    assert memory.store.read("episode").count() == 2
+
+
+def test_episodes_of_one_time_are_taken_as_they_arrive(spark, tmp_path):
+    names = ["Acme", "Zorbex", "Initech", "Globex", "Hooli"]
+    rows = [("s", f"I work at {n}.", 1000, "user", i) for i, n in enumerate(names)]
+    memory = Memory(spark, f"file://{tmp_path}")
+    memory.add_batch(spark.createDataFrame(rows, "namespace string, raw string, t_ref long, source string, arrival long").repartition(3))
+    assert [f["object_literal"] for f in memory.facts().where("is_latest = 1").collect()] == ["Hooli"]
 
 
 def test_windowed_activity(spark, tmp_path):
