@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def confusion(rows: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
@@ -43,23 +48,42 @@ def accuracy(rows: DataFrame, correct: str, by: str | None = None) -> DataFrame:
     return found.withColumn("ci", wilson(F.col("wins"), F.col("n"))).select(*([by] if by else []), "wins", "n", "ci.rate", "ci.lo", "ci.hi")
 
 
-def bootstrap(rows: DataFrame, statistic, n: int = 1000, seed: int = 20260620, case: str = "case") -> DataFrame:
-    """Percentile interval of a statistic over resamples of cases.
+def bootstrap(rows: DataFrame, cells: list[str], statistic: Callable[[DataFrame], DataFrame], n: int = 1000, seed: int = 20260620) -> DataFrame:
+    """(lo, hi): the percentile interval of a statistic over n resamples of the rows.
 
-    `case` numbers the cases from 0. Each replicate draws by a hash of (seed, replicate, draw), so it can be repeated;
-    draws meet cases by an equi-join. `statistic` maps (replicate, case columns) rows to (replicate, value).
+    Rows count by the columns in `cells` alone, so they are added up by these first, and each replicate draws how often a
+    cell occurs from a Poisson distribution of its count: the sum of one draw a row. All that is kept is n rows a cell,
+    whatever the table's size. `statistic` maps (replicate, cells, n) to (replicate, value); arms that share cells share
+    the draws, which makes differences of theirs paired.
     """
-    total = rows.count()
-    drawn = rows.sparkSession.range(n * total).select(
-        F.floor(F.col("id") / total).alias("replicate"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(total)).alias(case)
-    )
-    values = statistic(drawn.join(rows, case))
-    place = F.row_number().over(W.orderBy("value"))
-    ranked = values.select("value", (place - 1).alias("place"))
-    return ranked.agg(
-        F.max(F.when(F.col("place") == int(0.025 * n), F.col("value"))).alias("lo"),
-        F.max(F.when(F.col("place") == min(n - 1, int(0.975 * n)), F.col("value"))).alias("hi"),
-    )
+
+    @F.arrow_udf(T.LongType())
+    def drawn(counts: pa.Array, key: pa.Array) -> pa.Array:
+        pairs = zip(counts.to_pylist(), key.to_pylist(), strict=True)
+        return pa.array([int(np.random.default_rng(k & ((1 << 63) - 1)).poisson(c)) for c, k in pairs], pa.int64())
+
+    counts = rows.groupBy(*cells).agg(F.count(F.lit(1)).alias("count"))
+    each = counts.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    each = each.withColumn("n", drawn("count", F.xxhash64(F.lit(seed), "replicate", *cells))).where("n > 0").drop("count")
+    values = statistic(each)
+    place = lambda share: F.least(F.size("v") - 1, F.floor(share * F.size("v")).cast("int"))
+    ranked = values.agg(F.sort_array(F.collect_list("value")).alias("v"))  # n values
+    return ranked.select(F.get("v", place(0.025)).alias("lo"), F.get("v", place(0.975)).alias("hi"))
+
+
+def f1_delta(rows: DataFrame, pred: str, other: str, gold: str = "gold", by: list[str] | None = None) -> DataFrame:
+    """(by, value): macro-F1 of `pred` less that of `other` over rows (gold, pred, other, n), in hundredths."""
+    by = by or []
+    arm = lambda c: macro_f1(rows.groupBy(*by, gold, F.col(c).alias("_pred")).agg(F.sum("n").alias("n")), gold, "_pred", by)
+    one, two = arm(pred), arm(other).withColumnRenamed("macro_f1", "_other")
+    both = one.join(two, by) if by else one.join(F.broadcast(two))  # without `by` two single rows
+    return both.select(*by, (100 * (F.col("macro_f1") - F.col("_other"))).alias("value"))
+
+
+def accuracy_delta(rows: DataFrame, correct: str, other: str, by: list[str] | None = None) -> DataFrame:
+    """(by, value): the share of rows (correct, other, n) that `correct` has right, less that of `other`."""
+    right = lambda c: F.sum(F.when(F.col(c), F.col("n")).otherwise(0))
+    return rows.groupBy(*(by or [])).agg(((right(correct) - right(other)) / F.sum("n")).alias("value"))
 
 
 def nearest_rank(rows: DataFrame, value: str, p: float, by: list[str] | None = None) -> DataFrame:

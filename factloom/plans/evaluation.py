@@ -42,16 +42,30 @@ def acc_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A percentile interval of the macro-F1 over 200 resamples."""
-    from pyspark.sql import Window as W
+    """A percentile interval of the macro-F1 over 1000 resamples."""
+    return evaluate.bootstrap(_judged(spark, sf_dir), ["gold", "pred"], lambda d: evaluate.macro_f1(d, by=["replicate"]).withColumnRenamed("macro_f1", "value"))
 
-    cases = _judged(spark, sf_dir).withColumn("case", (F.row_number().over(W.orderBy("doc_id")) - 1).cast("long")).select("case", "gold", "pred")
 
-    def statistic(drawn: DataFrame) -> DataFrame:
-        counts = drawn.groupBy("replicate", "gold", "pred").agg(F.count(F.lit(1)).alias("n"))
-        return evaluate.macro_f1(counts, by=["replicate"]).withColumnRenamed("macro_f1", "value")
+def _arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule, and a second arm that calls every document good."""
+    return _judged(spark, sf_dir).withColumn("other", F.lit(1))
 
-    return evaluate.bootstrap(cases, statistic, n=200)
+
+def paired_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences of macro-F1 and of accuracy between two arms on the same cases."""
+    cells = _arms(spark, sf_dir).groupBy("gold", "pred", "other").agg(F.count(F.lit(1)).alias("n"))
+    right = cells.withColumns({"a": F.col("gold") == F.col("pred"), "b": F.col("gold") == F.col("other")})
+    named = lambda df, name: df.select(F.lit(name).alias("statistic"), F.round("value", 6).alias("value"))
+    return named(evaluate.f1_delta(cells, "pred", "other"), "macro_f1").unionByName(named(evaluate.accuracy_delta(right, "a", "b"), "accuracy"))
+
+
+def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentile intervals of these differences over 1000 resamples that both arms share."""
+    arms = _arms(spark, sf_dir)
+    f1 = evaluate.bootstrap(arms, ["gold", "pred", "other"], lambda d: evaluate.f1_delta(d, "pred", "other", by=["replicate"]))
+    right = arms.select((F.col("gold") == F.col("pred")).alias("a"), (F.col("gold") == F.col("other")).alias("b"))
+    share = evaluate.bootstrap(right, ["a", "b"], lambda d: evaluate.accuracy_delta(d, "a", "b", ["replicate"]))
+    return f1.select(F.lit("macro_f1").alias("statistic"), "lo", "hi").unionByName(share.select(F.lit("accuracy").alias("statistic"), "lo", "hi"))
 
 
 def percentile_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +101,7 @@ def _wilson(wins: str, n: str) -> str:
     return f"round({p}, 9) AS rate, round(greatest(0, {centre} - {half}), 9) AS lo, round(least(1, {centre} + {half}), 9) AS hi"
 
 
-QUERIES = {f.__name__: f for f in (confusion, macro_f1, recall, wilson_ci, acc_by_type, bootstrap_ci, percentile_nearest, judge_join, judge_gap)}
+QUERIES = {f.__name__: f for f in (confusion, macro_f1, recall, wilson_ci, acc_by_type, bootstrap_ci, paired_delta, paired_bootstrap, percentile_nearest, judge_join, judge_gap)}
 ORACLES = {
     "confusion": f"WITH {_JUDGED} SELECT gold, pred, count(*) AS n FROM ju GROUP BY ALL",
     "macro_f1": f"""WITH {_JUDGED}, g AS (SELECT gold AS label, count(*) AS s, sum((gold = pred)::INT) AS tp FROM ju GROUP BY 1), p AS (SELECT pred AS label, count(*) AS p FROM ju GROUP BY 1)
@@ -95,6 +109,11 @@ SELECT round(avg(2.0::DOUBLE * tp / (s + coalesce(p, 0))), 9) AS macro_f1 FROM g
     "recall": f"WITH {_JUDGED} SELECT round(avg((pred = 0)::INT::DOUBLE), 9) AS recall FROM ju WHERE gold = 0",
     "wilson_ci": f"WITH {_JUDGED}, c AS (SELECT count_if(gold = pred)::BIGINT AS wins, count(*) AS n FROM ju) SELECT wins, n, {_wilson('wins', 'n')} FROM c",
     "acc_by_type": f"WITH {_JUDGED}, c AS (SELECT lang, count_if(gold = pred)::BIGINT AS wins, count(*) AS n FROM ju GROUP BY lang) SELECT lang, wins, n, {_wilson('wins', 'n')} FROM c",
+    "paired_delta": f"""WITH {_JUDGED}, ar AS (SELECT gold, pred AS p, 'a' AS arm FROM ju UNION ALL SELECT gold, 1, 'b' FROM ju),
+g AS (SELECT arm, gold AS label, count(*) AS s, sum((gold = p)::INT) AS tp FROM ar GROUP BY ALL), p AS (SELECT arm, p AS label, count(*) AS n FROM ar GROUP BY ALL),
+f AS (SELECT arm, avg(2.0::DOUBLE * tp / (s + coalesce(n, 0))) AS f1 FROM g LEFT JOIN p USING (arm, label) GROUP BY arm)
+SELECT 'macro_f1' AS statistic, round(100 * (max(CASE WHEN arm = 'a' THEN f1 END) - max(CASE WHEN arm = 'b' THEN f1 END)), 6) AS value FROM f
+UNION ALL SELECT 'accuracy', round(avg((gold = pred)::INT::DOUBLE) - avg((gold = 1)::INT::DOUBLE), 6) FROM ju""",
     "percentile_nearest": """
 WITH s AS (SELECT event_type, list_sort(list(value)) AS v FROM events GROUP BY event_type)
 SELECT event_type, v[1 + round_even(0.95 * (len(v) - 1), 0)::BIGINT] AS value FROM s UNION ALL SELECT 'p50 ' || event_type, v[1 + round_even(0.5 * (len(v) - 1), 0)::BIGINT] FROM s""",
