@@ -35,27 +35,55 @@ def same_object(a: str, b: str, va: object, vb: object) -> float:
 
 
 class Slot:
-    """The current facts of one slot: (seq, key, object, vector)."""
+    """The current facts of one slot, by seq in the order of their coming: (key, object, vector).
 
-    def __init__(self, similarity: Callable = same_object, high: float = HIGH, low: float = LOW):
-        self.now: list[tuple[int, str, str, object]] = []
-        self.similarity, self.high, self.low = similarity, high, low
+    Keys and objects have indexes, so without vectors a fact costs the same however many are current.
+    """
+
+    def __init__(self, similarity: Callable = same_object, high: float = HIGH, low: float = LOW, judge: Callable[[str, str], str] | None = None):
+        self.now: dict[int, tuple[str, str, object]] = {}
+        self.keys: dict[str, int] = {}
+        self.objects: dict[str, dict[int, None]] = {}
+        self.vectors = 0
+        self.similarity, self.high, self.low, self.model = similarity, high, low, judge
 
     def take(self, seq: int, key: str, obj: str, is_additive: bool, is_multivalued: bool, vector: object = None) -> tuple[str, str, int | None, float | None, list[int]]:
         """(label, route, target, similarity, closed) of a fact, which is current afterwards unless skipped."""
-        if key and any(k == key for _, k, _, _ in self.now):
+        if key and self.keys.get(key):
             return "skip", "restatement", None, None, []
         label, route, target, sim, closed = "asserts", "no_slot", None, None, []
         if self.now:
-            best = max(self.now, key=lambda f: (self.similarity(obj, f[2], vector, f[3]), -f[0]))
-            sim, target = self.similarity(obj, best[2], vector, best[3]), best[0]
-            label, route = self.judge(sim, obj, best[2], is_additive, is_multivalued)
+            target, sim = self.nearest(obj, vector)
+            label, route = self.judge(sim, obj, self.now[target][1], is_additive, is_multivalued)
             if label == "supersedes":
-                closed = [best[0]] if is_multivalued else [f[0] for f in self.now]
-                self.now = [f for f in self.now if f[0] not in closed]
-        self.now.append((seq, key, obj, vector))
+                closed = [target] if is_multivalued else list(self.now)
+                for s in closed:
+                    self.drop(s)
+        self.hold(seq, key, obj, vector)
         return label, route, target, sim, closed
 
+    def nearest(self, obj: str, vector: object) -> tuple[int, float]:
+        """The current fact most alike, the first of equals, and its similarity."""
+        if self.similarity is same_object and (vector is None or not self.vectors):
+            same = self.objects.get(obj)
+            return (next(iter(same)), 1.0) if same else (next(iter(self.now)), 0.0)
+        return max(((s, self.similarity(obj, f[1], vector, f[2])) for s, f in self.now.items()), key=lambda x: (x[1], -x[0]))
+
+    def hold(self, seq: int, key: str, obj: str, vector: object) -> None:
+        """Make a fact current."""
+        self.now[seq] = (key, obj, vector)
+        self.keys[key] = self.keys.get(key, 0) + 1
+        self.objects.setdefault(obj, {})[seq] = None
+        self.vectors += vector is not None
+
+    def drop(self, seq: int) -> None:
+        key, obj, vector = self.now.pop(seq)
+        self.keys[key] -= 1
+        del self.objects[obj][seq]
+        if not self.objects[obj]:
+            del self.objects[obj]
+        self.vectors -= vector is not None
+
     def judge(self, sim: float, obj: str, old: str, is_additive: bool, is_multivalued: bool) -> tuple[str, str]:
         if sim >= self.high:
             a, b = set(_WORD.findall(obj.lower())), set(_WORD.findall(old.lower()))
@@ -64,13 +92,21 @@ class Slot:
             return ("extends", "high_extends_additive") if is_multivalued else ("supersedes", "high_supersedes")
         if sim <= self.low:
             return ("extends", "low_extends") if is_additive else ("supersedes", "low_supersedes")
-        return ("extends", "mid_extends") if is_additive else ("supersedes", "ambiguous_default")
-
-
-def fold(facts: DataFrame, slot: list[str], vector: str | None = None, high: float = HIGH, low: float = LOW, prior: DataFrame | None = None) -> DataFrame:
+        if is_additive:
+            return "extends", "mid_extends"
+        if self.model is not None:
+            label = self.model(obj, old)
+            return (label if label in ("extends", "supersedes") else "supersedes"), "llm"
+        return "supersedes", "ambiguous_default"
+
+
+def fold(
+    facts: DataFrame, slot: list[str], vector: str | None = None, high: float = HIGH, low: float = LOW, prior: DataFrame | None = None,
+    judge: Callable[[str, str], str] | None = None,
+) -> DataFrame:
     """Decisions for facts with columns seq, key, object, additive, multivalued: see SCHEMA.
 
-    `prior` holds facts that are current already, of the same columns; they come first and give no row.
+    `judge`, a model, labels (new object, old object) between LOW and HIGH as extends or supersedes. `prior` holds facts that are current already, of the same columns; they come first and give no row.
     """
     columns = ["seq", "key", "object", "additive", "multivalued"]
     named = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in slot]).alias("slot")
@@ -80,14 +116,14 @@ def fold(facts: DataFrame, slot: list[str], vector: str | None = None, high: flo
         rows = rows.unionByName(prior.select(named, *columns, vec.alias("vector"), F.lit(True).alias("seed")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, state = None, Slot()
+        name, state = None, Slot(same_object, high, low, judge)
         for batch in batches:
             out: list[tuple] = []
             for r in batch.to_pylist():
                 if r["slot"] != name:
-                    name, state = r["slot"], Slot(same_object, high, low)
+                    name, state = r["slot"], Slot(same_object, high, low, judge)
                 if r["seed"]:
-                    state.now.append((r["seq"], r["key"], r["object"], r["vector"]))
+                    state.hold(r["seq"], r["key"], r["object"], r["vector"])
                 else:
                     out.append((name, r["seq"], *state.take(r["seq"], r["key"], r["object"], r["additive"], r["multivalued"], r["vector"])))
             kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.list_(pa.int64()))

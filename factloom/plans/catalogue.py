@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.plans import evaluation, maintenance, retrieval, spine, text
+from factloom.plans import evaluation, maintenance, records, retrieval, spine, text
 
-MODULES = (text, spine, retrieval, maintenance, evaluation)
+MODULES = (text, spine, retrieval, maintenance, evaluation, records)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

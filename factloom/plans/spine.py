@@ -97,7 +97,7 @@ def superseded_in(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def touched_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_facts(spark, sf_dir).where(F.col("valid_at") > MID).select("subject_id", "predicate").distinct()
+    return lookup.slots_touched(event_facts(spark, sf_dir).withColumn("seq", F.col("valid_at")), MID)
 
 
 def ns_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,8 +193,8 @@ UNION ALL SELECT 'as_of_latest', count(*) FROM ev WHERE is_latest = 1 AND {_VISI
 UNION ALL SELECT 'history', count(*) FROM ev""",
     "supersession_chain": f"""WITH RECURSIVE {EVENTS},
 s AS (SELECT id FROM ev WHERE id NOT IN (SELECT superseded_by FROM ev WHERE superseded_by IS NOT NULL)),
-fw AS (SELECT id AS start_id, id, 0::BIGINT AS step FROM s UNION ALL SELECT fw.start_id, e.superseded_by, fw.step + 1 FROM fw JOIN ev e ON e.id = fw.id WHERE e.superseded_by IS NOT NULL AND fw.step < 64),
-bw AS (SELECT id AS start_id, id, 0::BIGINT AS step FROM s UNION ALL SELECT bw.start_id, e.id, bw.step - 1 FROM bw JOIN ev e ON e.superseded_by = bw.id WHERE bw.step > -64)
+fw AS (SELECT id AS start_id, id, 0::BIGINT AS step FROM s UNION ALL SELECT fw.start_id, e.superseded_by, fw.step + 1 FROM fw JOIN ev e ON e.id = fw.id WHERE e.superseded_by IS NOT NULL),
+bw AS (SELECT id AS start_id, id, 0::BIGINT AS step FROM s UNION ALL SELECT bw.start_id, e.id, bw.step - 1 FROM bw JOIN ev e ON e.superseded_by = bw.id)
 SELECT * FROM fw UNION ALL SELECT * FROM bw WHERE step < 0""",
     "superseded_in": f"WITH {EVENTS} SELECT id, superseded_by FROM ev WHERE superseded_by IN (SELECT id FROM ev WHERE tier = 'cold')",
     "touched_slots": f"WITH {EVENTS} SELECT DISTINCT subject_id, predicate FROM ev WHERE valid_at > {MID}",
