@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import string
 import unicodedata
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -170,27 +171,36 @@ def additive(text: Column, predicate: Column) -> Column:
     return has_word(F.coalesce(text, F.lit("")), ADDITIVE_CUES) | F.coalesce(predicate.isin(*MULTIVALUED), F.lit(False))
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once a row however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def salience(text: Column, is_user: Column, is_inference: Column) -> Column:
     """0 to 10: what a statement is worth, by dates, numbers, names, length and where it comes from."""
-    t = strip_spaces(F.coalesce(text, F.lit("")))
-    date = t.rlike(
-        rf"(?iu){BEFORE}(?:\p{{Nd}}{{4}}-\p{{Nd}}{{2}}-\p{{Nd}}{{2}}|\p{{Nd}}{{1,2}}[/-]\p{{Nd}}{{1,2}}(?:[/-]\p{{Nd}}{{2,4}})?|\p{{Nd}}{{1,2}}:\p{{Nd}}{{2}}"
-        rf"|(?:{MONTHS})[a-z]*\.?{SPACE}+\p{{Nd}}{{1,2}}){AFTER}"
-    )
-    number = t.rlike(rf"{BEFORE}\p{{Nd}}+(?:[.,]\p{{Nd}}+)?{AFTER}")
-    rest = F.regexp_replace(t, rf"(?s)^[^\p{{L}}\p{{N}}_]*{WORD_CHAR}+{SPACE}*", "")
-    proper = rest.rlike(rf"(?s)(?<!^){BEFORE}[A-Z][a-zA-Z]+{AFTER}")
-    words = F.size(F.split(t, rf"{SPACE}+", -1))
-    score = (
-        F.lit(4.0)
-        + F.when(date, 1.6).otherwise(0.0)
-        + F.when(number, 0.9).otherwise(0.0)
-        + F.when(proper, 1.2).otherwise(0.0)
-        + F.when(words <= 3, F.lit(-2.5)).otherwise(F.least(F.lit(1.8), (words - 3) * 0.18))
-        - F.when(is_inference, 2.0).otherwise(0.0)
-        - F.when(is_user, 0.0).otherwise(1.0)
-    )
-    return F.when(t == "", F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(10.0), score)))
+
+    def score(t: Column) -> Column:
+        date = t.rlike(
+            rf"(?iu){BEFORE}(?:\p{{Nd}}{{4}}-\p{{Nd}}{{2}}-\p{{Nd}}{{2}}|\p{{Nd}}{{1,2}}[/-]\p{{Nd}}{{1,2}}(?:[/-]\p{{Nd}}{{2,4}})?|\p{{Nd}}{{1,2}}:\p{{Nd}}{{2}}"
+            rf"|(?:{MONTHS})[a-z]*\.?{SPACE}+\p{{Nd}}{{1,2}}){AFTER}"
+        )
+        digits = t.rlike(r"\p{Nd}")  # dates and numbers hold one; most texts need no further look
+        number = t.rlike(rf"{BEFORE}\p{{Nd}}+(?:[.,]\p{{Nd}}+)?{AFTER}")
+        rest = F.regexp_replace(t, rf"(?s)^[^\p{{L}}\p{{N}}_]*{WORD_CHAR}+{SPACE}*", "")
+        proper = rest.rlike(rf"(?s)(?<!^){BEFORE}[A-Z][a-zA-Z]+{AFTER}")
+        length = _bound(F.size(F.split(t, rf"{SPACE}+", -1)), lambda n: F.when(n <= 3, F.lit(-2.5)).otherwise(F.least(F.lit(1.8), (n - 3) * 0.18)))
+        total = (
+            F.lit(4.0)
+            + F.when(digits & date, 1.6).otherwise(0.0)
+            + F.when(digits & number, 0.9).otherwise(0.0)
+            + F.when(proper, 1.2).otherwise(0.0)
+            + length
+            - F.when(is_inference, 2.0).otherwise(0.0)
+            - F.when(is_user, 0.0).otherwise(1.0)
+        )
+        return F.when(t == "", F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(10.0), total)))
+
+    return _bound(strip_spaces(F.coalesce(text, F.lit(""))), score)
 
 
 @F.arrow_udf(T.StringType())
