@@ -153,8 +153,11 @@ def fit(found: list[np.ndarray], quality: list[int]) -> Model:
     if len(set(labels.tolist())) < 2:
         share = 0.5 if not len(labels) else float(labels[0] > 0)
         return Model(slope=0.0, shift=float(np.log((share + 1e-6) / (1 - share + 1e-6))))
-    grams, counts = np.unique(np.concatenate(found), return_counts=True)
-    grams = grams[counts >= MIN_DOCUMENTS]
+    grams = np.concatenate(found)
+    grams.sort()
+    # a text names an n-gram once, so one that occurs often enough is equal to what stands MIN_DOCUMENTS - 1 places on
+    often = grams[MIN_DOCUMENTS - 1 :] == grams[: len(grams) - MIN_DOCUMENTS + 1]
+    grams = np.unique(grams[: len(often)][often])
     rows = []
     for f in found:
         at = np.searchsorted(grams, f)
@@ -191,8 +194,8 @@ def learn(docs: DataFrame, labels: DataFrame, use: Column, label: str = "quality
     texts = docs.select(docs[doc_id].cast("long").alias("_k"), docs[text].alias("_t"))
     # at most `most` rows are sent to all executors; of rows that repeat an id one is taken before any come back
     found = texts.join(F.broadcast(marked), "_k").select("_k", "_y", grams("_t").alias("f"))
-    rows = sorted(found.groupBy("_k", "_y").agg(F.max("f").alias("f")).collect(), key=lambda r: r["_k"])
-    return fit([np.frombuffer(bytes(r["f"]), np.int64) for r in rows], [r["_y"] for r in rows])
+    rows = found.groupBy("_k", "_y").agg(F.max("f").alias("f")).toArrow().sort_by("_k")
+    return fit([np.frombuffer(x.as_buffer(), np.int64) for x in rows["f"]], rows["_y"].to_pylist())
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
