@@ -57,6 +57,18 @@ VERB_LEADS = "works?|lives?|moved|joined|left|likes?|loves?|hates?|uses?|has|had
 FIRST_PERSON = "I|I'm|my|me|mine"
 MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
 
+#: The verbs of the older extractor, in its order, and its first person.
+RULE_VERBS = (
+    ("works_at", r"(?:works?|working)\s+(?:at|for)"),
+    ("lives_in", r"(?:lives?|living|based)\s+in"),
+    ("likes", r"(?:likes?|loves?|enjoys?|prefers?)"),
+    ("dislikes", r"(?:dislikes?|hates?)"),
+    ("is_a", r"(?:is|am|are)\s+(?:a|an)"),
+    ("has", r"(?:has|have|owns?)"),
+    ("uses", r"(?:uses?|using)"),
+)
+RULE_FIRST_PERSON = "I|I'm|I am|my|me|mine"
+
 CAP_RUN = rf"{BEFORE}[A-Z][\p{{L}}\p{{N}}_.&-]*(?:{SPACE}+[A-Z][\p{{L}}\p{{N}}_.&-]*)*"
 
 

@@ -15,6 +15,7 @@ from factloom.functions import text as X
 from factloom.functions.embed import Embedder, FakeEmbedder
 from factloom.functions.vectors import truncate
 from factloom.operators import extract, inspect, lifecycle, maintain, resolve, retrieve, spine
+from factloom.operators.plugins import Strategies, summarized_by
 from factloom.schema import MS_PER_DAY
 from factloom.shared import materialized
 from factloom.sources.store import BATCH, Store
@@ -31,8 +32,9 @@ def _hash(*parts: str | Column) -> Column:
 
 
 class Memory:
-    def __init__(self, spark: SparkSession, root: str, embedder: Embedder | None = None, config: maintain.Config | None = None):
-        self.spark, self.store = spark, Store(spark, root)
+    def __init__(self, spark: SparkSession, root: str, embedder: Embedder | None = None, config: maintain.Config | None = None, strategies: Strategies | None = None, store: Store | None = None):
+        self.spark, self.store = spark, store or Store(spark, root)
+        self.strategies = strategies or Strategies()
         self.embedder, self.config = embedder or FakeEmbedder(64, 16), config or maintain.Config()
 
     # ── ingest ──
@@ -54,7 +56,9 @@ class Memory:
             rows = rows.withColumn("id", _hash("namespace", "t_ref", "source", "raw", "arrival", F.lit(str(base))))
             rows = materialized(rows, "episodes")
             self.store.append("episode", rows.withColumns({"created_at": F.col("t_ref"), "seq": F.lit(base)}))
-            found = extract.typed(extract.route(extract.candidates(rows.select("namespace", F.col("id").alias("episode_id"), "raw", "t_ref", "arrival"))))
+            steps = self.strategies
+            made = (steps.generate or extract.candidates)(rows.select("namespace", F.col("id").alias("episode_id"), "raw", "t_ref", "arrival"))
+            found = (steps.typed or extract.typed)((steps.route or extract.route)(made))
             found = found.withColumn("predicate", X.predicate_or_default(F.col("predicate"))).withColumn("name_key", X.entity_key("subject_name")).withColumn("subject_id", _hash("namespace", "name_key"))
             order = F.struct("t_ref", "arrival", "episode_id", (~F.col("escalated")).alias("direct"), "pos")
             slot_order = F.row_number().over(_window(SLOT, order))
@@ -65,7 +69,7 @@ class Memory:
             facts = materialized(facts, "candidates")
             current = self.facts()
             prior = _for_fold(current.where("is_latest = 1").join(facts.select(*SLOT).distinct(), SLOT, "left_semi"))
-            folded = materialized(resolve.fold(_for_fold(facts), SLOT, prior=prior), "folded").where("label <> 'skip'")
+            folded = materialized(resolve.fold(_for_fold(facts), SLOT, prior=prior, judge=steps.adjudicate), "folded").where("label <> 'skip'")
             keyed = facts.withColumn("slot", F.concat_ws("\u0001", *SLOT))
             written = keyed.join(folded.select("slot", "seq"), ["slot", "seq"], "left_semi").drop("slot")
             embedded = written.withColumn("embedding", self.embedder.column(F.col("fact_text")))
@@ -115,7 +119,7 @@ class Memory:
         """Ranked hits, whose use is recorded unless touch=False. As in the engine's contract as_of alone still asks for latest facts; history needs is_latest_only=False."""
         at = now_ms() if now is None else now
         mine = self.facts(namespace)
-        found = retrieve.search(mine, query, self.embedder.one(query), at, k, as_of, is_latest_only, include_cold, pool, self.embedder.coarse, self.index(namespace))
+        found = retrieve.search(mine, query, self.embedder.one(query), at, k, as_of, is_latest_only, include_cold, pool, self.embedder.coarse, self.index(namespace), self.strategies.rerank)
         if touch:
             found = materialized(found, "hits")
             self.store.append("fact_event", retrieve.touches(found, at).withColumn("seq", F.lit(self.store.next_batch() * BATCH)))
@@ -154,7 +158,10 @@ class Memory:
             F.array_compact(F.array(named("evict")["fact_id"])),
         ))
         pending = queue.select("kind", ids.alias("ids"))
-        found = {k: materialized(v, k) for k, v in maintain.transforms(facts, at, self.config, pending).items()}
+        transformed = maintain.transforms(facts, at, self.config, pending)
+        if self.strategies.summarize is not None:
+            transformed["summarize"] = summarized_by(transformed["summarize"], facts, self.strategies.summarize)
+        found = {k: materialized(v, k) for k, v in transformed.items()}
         all_found = found.pop("found").count()
         counts = {k: v.count() for k, v in found.items()}
         counts["dropped"] = all_found - counts["dedup_near"] - counts["summarize"] - counts["evict"]
@@ -191,7 +198,7 @@ class Memory:
                 F.struct(F.get(slot, F.lit(0)).alias("subject_id"), F.get(slot, F.lit(1)).alias("predicate")).alias("slot"), F.array("a", "b").alias("fact_ids"),
                 F.create_map("a", "ta", "b", "tb").alias("fact_texts"), "cosine", "multivalued", F.col("a").alias("proposed_survivor"), F.lit("stored").alias("evidence_backend"),
             )).alias("payload_json")),
-            found["summarize"].select(F.lit("summarize").alias("kind"), F.to_json(F.struct("subject_id", "source_fact_ids", "summary_text", F.lit("stub").alias("evidence_backend"))).alias("payload_json")),
+            found["summarize"].select(F.lit("summarize").alias("kind"), F.to_json(F.struct("subject_id", "source_fact_ids", "summary_text", F.lit(self.strategies.summarize.backend_id if self.strategies.summarize else "stub").alias("evidence_backend"))).alias("payload_json")),
             found["evict"].select(F.lit("evict").alias("kind"), F.to_json(F.struct(F.col("id").alias("fact_id"), "fact_text", "value", "salience", "access_count", F.lit("stored").alias("evidence_backend"))).alias("payload_json")),
         ]
         staged = payloads[0].unionByName(payloads[1]).unionByName(payloads[2])

@@ -28,6 +28,30 @@ def candidates(episodes: DataFrame, raw: str = "raw") -> DataFrame:
     ).drop("subject", "verb_end")
 
 
+def rules_candidates(episodes: DataFrame, raw: str = "raw", t_ref: str = "t_ref", default: str = "user") -> DataFrame:
+    """The older extractor: a candidate for each sentence with one of its verbs, of confidence 0.6 and without an object.
+
+    The subject is the speaker, else the first word that starts with a capital, else the first word. A date in the
+    sentence (year-month-day) is when it holds, at the episode's time of day; else the episode's own time is.
+    """
+    rows = split_sentences(episodes, raw)
+    s = F.col("sentence")
+    predicate = F.coalesce(*[F.when(X.has_word(s, pattern), F.lit(name)) for name, pattern in X.RULE_VERBS])
+    rows = rows.withColumn("predicate", predicate).where("predicate IS NOT NULL")
+    words = F.transform(F.split(X.strip_spaces(s), rf"{X.SPACE}+", -1), lambda w: F.regexp_replace(w, rf"^{X.EDGE_CLASS}+|{X.EDGE_CLASS}+$", ""))
+    lead = F.coalesce(F.get(F.filter(words, lambda w: w.rlike(r"^\p{Lu}")), F.lit(0)), F.get(words, F.lit(0)))
+    day = F.regexp_extract(s, rf"{X.BEFORE}(\d{{4}}-\d{{2}}-\d{{2}}){X.AFTER}", 1)
+    at = F.unix_date(F.try_to_date(F.nullif(day, F.lit("")))).cast("long") * 86_400_000 + F.pmod(F.col(t_ref), F.lit(86_400_000))
+    return rows.withColumns(
+        {
+            "subject_name": F.when(X.has_word(s, X.RULE_FIRST_PERSON), F.lit(default)).otherwise(lead),
+            "fact_text": X.strip_spaces(s),
+            "valid_at": F.coalesce(at, F.col(t_ref)),
+            "confidence": F.lit(0.6),
+        }
+    )
+
+
 def route(found: DataFrame, threshold: float = 0.4) -> DataFrame:
     """Add `reasons` and `escalated`."""
     reasons = X.router_reasons(

@@ -174,9 +174,10 @@ def hits(reranked: DataFrame, facts: DataFrame, now: int, k: int = 5, id: str =
 def search(
     facts: DataFrame, query: str, vector: list[float], now: int, k: int = 5, as_of: int | None = None, is_latest_only: bool = True,
     include_cold: bool = False, pool: str = "exact", coarse_dim: int = 256, index: DataFrame | None = None,
+    model: Callable[[str, list[str]], list[float]] | None = None,
 ) -> DataFrame:
     """Hybrid search over the fact view. pool="exact" filters before the arms; "parity" keeps the bounded pools. `index`
-    holds the facts' postings, if they are stored."""
+    holds the facts' postings, if they are stored; `model` scores the fused candidates."""
     visible = surface(facts, as_of, is_latest_only, include_cold)
     if pool == "parity":
         check = F.lit(True) if as_of is None else (F.col("valid_at") <= as_of) & (F.col("valid_to").isNull() | (F.col("valid_to") > as_of))
@@ -190,7 +191,8 @@ def search(
     else:
         dense = dense_arm(visible, vector, pool=None)
         sparse = sparse_arm(visible, query, pool=None, index=index)
-    return hits(identity_rerank(fuse(dense, sparse)), visible, now, k)
+    fused = fuse(dense, sparse)
+    return hits(identity_rerank(fused) if model is None else rerank(fused, visible, query, model), visible, now, k)
 
 
 def touches(found: DataFrame, now: int) -> DataFrame:

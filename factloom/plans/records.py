@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as X
 from factloom.functions.embed import FakeEmbedder
-from factloom.operators import evaluate, inspect, lifecycle, lookup, maintain, resolve, retrieve, spine
-from factloom.plans.inputs import EPISODES, EVENTS, NOW, epoch_ms, episodes, event_facts, table
+from factloom.operators import evaluate, extract, inspect, lifecycle, lookup, maintain, resolve, retrieve, spine
+from factloom.plans.inputs import EPISODES, EVENTS, NOW, SENTENCES, epoch_ms, episodes, event_facts, table
 from factloom.plans.retrieval import _C, _Q, _VEC, COARSE, QUERY, QUERY_VECTOR, _cos, _RECENCY, _SPARSE_ALL
+from factloom.plans.text import WORD
 from factloom.sources import datasets, migrate
 
 FACT, CURSOR = 137, 400
@@ -274,6 +275,12 @@ def relation_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rules_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older extractor over conversations, every fifth turn with a date."""
+    rows = episodes(spark, sf_dir).withColumn("raw", F.when(F.col("seq") % 5 == 0, F.concat(F.lit("I live in Rome since 2023-02-03. Then Anna works at Acme. "), "raw")).otherwise(F.col("raw")))
+    return extract.rules_candidates(rows).select("namespace", "seq", F.col("pos").cast("long").alias("pos"), "subject_name", "predicate", "valid_at", "confidence")
+
+
 def fake_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stand-in's vectors: of unit length, and equal for equal texts alone."""
     rows = table(spark, sf_dir, "part").select(F.col("p_type").alias("t")).withColumn("v", FakeEmbedder(16, 4).column(F.col("t")))
@@ -286,7 +293,7 @@ QUERIES = {
     for f in (
         fact_lookup, entity_lookup, hydrate_ids, stored_embedding, latest_scan, slot_current, fact_chain, episode_page, episode_detail, derived_from, retired_value, text_filter, namespace_list,
         namespace_totals, event_page, upgraded, current_view, supersede_cascade, merge_validation, retire_repoint, pending_signatures, tier_changes, resolver_bands, resolver_escalation,
-        parity_search, touched_facts, run_ledger, fact_ids, payloads_read, session_dates, pending_units, judge_labels, reader_prompt, relation_flags, fake_embeddings,
+        parity_search, touched_facts, run_ledger, fact_ids, payloads_read, session_dates, pending_units, judge_labels, reader_prompt, relation_flags, rules_extract, fake_embeddings,
     )
 }
 _DERIVED = "dv AS (SELECT id AS summary_id, unnest([id - 1, id - 2]) AS source_id FROM ev WHERE record_kind = 'summary')"
@@ -303,6 +310,12 @@ rb AS (
 _LOG = """ln AS (SELECT l_orderkey AS id, l_linenumber AS n, max(l_partkey) AS part, max(l_suppkey) AS supp FROM lineitem GROUP BY ALL),
 mg AS (SELECT id, part * 10 + 2 AS seq, supp FROM ln WHERE n = 2)"""
 _SEEN = "valid_at <= {0} AND (valid_to IS NULL OR valid_to > {0})".format(SOON)
+_RULES = rf"""WITH {SENTENCES.replace("coalesce(text, '') AS raw", "CASE WHEN turn % 5 = 0 THEN 'I live in Rome since 2023-02-03. Then Anna works at Acme. ' ELSE '' END || coalesce(text, '') AS raw")},
+ru AS (
+  SELECT *, CASE {" ".join(f"WHEN {WORD(p)} THEN '{n}'" for n, p in X.RULE_VERBS)} END AS predicate,
+    list_transform(string_split_regex(trim(sentence, E' \n\t\r'), '\s+'), lambda w: trim(w, '.,!?;:''"')) AS ws, nullif(regexp_extract(sentence, '(?:^|[^\w])(\d{{4}}-\d{{2}}-\d{{2}})(?:[^\w]|$)', 1), '') AS day FROM sp)
+SELECT namespace, seq, pos, CASE WHEN {WORD(X.RULE_FIRST_PERSON)} THEN 'user' ELSE coalesce(list_filter(ws, lambda w: regexp_matches(w, '^\p{{Lu}}'))[1], ws[1]) END AS subject_name, predicate,
+  coalesce(epoch_ms(day::TIMESTAMP) + t_ref % 86400000, t_ref) AS valid_at, 0.6::DOUBLE AS confidence FROM ru WHERE predicate IS NOT NULL"""
 ORACLES = {
     "fact_lookup": f"WITH {EVENTS} SELECT id, subject_id, predicate, fact_text, valid_at FROM ev WHERE id = {FACT}",
     "entity_lookup": f"SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey = {FACT}",
@@ -374,5 +387,6 @@ SELECT namespace, runs, last_run, last_status, last_ok, last_ok IS NULL OR 90100
     "reader_prompt": f"""WITH {EVENTS} SELECT string_agg('- [' || strftime(make_timestamp(valid_at * 1000), '%Y-%m-%d') || '] ' || fact_text, chr(10) ORDER BY -id) || chr(10) || chr(10) || 'Question: what was it?' AS prompt FROM ev WHERE id < 12""",
     "relation_flags": """SELECT p_partkey, ['asserts', 'supersedes', 'extends', 'derives', 'asserts'][p_partkey % 5 + 1] AS relation, p_partkey % 5 = 3 AS llm_only, p_partkey % 5 = 1 AS versioning,
   CASE WHEN p_partkey % 3 = 1 THEN p_brand ELSE 'about' END AS predicate FROM part""",
+    "rules_extract": _RULES,
     "fake_embeddings": "SELECT DISTINCT p_type AS t, 1 AS vectors, 1.0::DOUBLE AS length, 16 AS dim FROM part",
 }

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.operators import extract
+from factloom.operators.evaluate import nearest_rank
+
 #: Categories of the conversation dataset's questions.
 CATEGORIES = {1: "multi-hop", 2: "temporal", 3: "open-domain", 4: "single-hop", 5: "adversarial"}
 TURN_STEP_MS = 1_000
@@ -87,6 +92,43 @@ def read_dialogues(spark: SparkSession, path: str, slice: str = "all") -> tuple[
     return turns, questions
 
 
+def ingest_units(memory, turns: DataFrame, engine: str, at_once: int = 50, limit: int | None = None) -> DataFrame:
+    """Ingest namespaces of turns (namespace, raw, source, t_ref) that aren't done, some at once; the manifest.
+
+    A namespace that an earlier run left in parts is removed first. The manifest has a row for each namespace that is
+    done: its turns, facts, supersessions and escalations, and the milliseconds a turn took in its batch, of which
+    `timing` makes percentiles. One that another engine wrote is refused.
+    """
+    store, spark = memory.store, memory.spark
+    path = f"{store.root}/_manifest"
+    schema = "namespace string, engine string, turns long, facts long, supersessions long, seen long, escalated long, add_ms double"
+    kept = spark.read.schema(schema).json(path) if store._fs.exists(store._path("_manifest")) else spark.createDataFrame([], schema)
+    if not kept.where(F.col("engine") != engine).isEmpty():
+        raise ValueError(f"{store.root} was built by another engine than {engine}")
+    todo = [r["namespace"] for r in pending(turns.select("namespace").distinct(), kept, "namespace").orderBy("namespace").limit(limit or 1_000_000).collect()]
+    for a in range(0, len(todo), at_once):
+        names = todo[a : a + at_once]
+        mine = F.col("namespace").isin(*names)
+        for r in store.read("episode").where(mine).select("namespace").distinct().collect():
+            store.clear(r["namespace"])
+        batch = turns.where(mine)
+        began = time.perf_counter()
+        memory.add_batch(batch)
+        n = batch.groupBy("namespace").agg(F.count(F.lit(1)).alias("turns"))
+        took = 1000 * (time.perf_counter() - began) / max(1, batch.count())
+        routed = extract.route(extract.candidates(batch)).groupBy("namespace").agg(F.count(F.lit(1)).alias("seen"), F.count_if("escalated").alias("escalated"))
+        facts = memory.facts().where(mine).groupBy("namespace").agg(F.count(F.lit(1)).alias("facts"), F.count("superseded_by").alias("supersessions"))
+        rows = n.join(routed, "namespace", "left").join(facts, "namespace", "left").na.fill(0).withColumns({"engine": F.lit(engine), "add_ms": F.lit(took)})
+        rows.select(*[c.split()[0] for c in schema.split(", ")]).coalesce(1).write.mode("append").json(path)
+    return spark.read.schema(schema).json(path) if store._fs.exists(store._path("_manifest")) else kept
+
+
+def timing(manifest: DataFrame) -> DataFrame:
+    """The 50th and 95th percentile of the milliseconds a turn took, by nearest rank."""
+    half, most = (nearest_rank(manifest, "add_ms", p).select(F.round("value", 2).alias(f"add_ms_p{round(100 * p)}")) for p in (0.5, 0.95))
+    return half.join(F.broadcast(most))  # two single rows
+
+
 def pending(units: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Units whose key isn't in the done set: what a resumed job still has to do."""
     return units.join(done.select(key).distinct(), key, "left_anti")
