@@ -66,3 +66,15 @@ def test_copies_side_by_side():
         words = licenses.WORD.findall(licenses.TEMPLATES[name])
         found = [m for m in licenses.matches(" ".join(words * 3), INDEX) if m[0] == name]
         assert [m[1] for m in found] == [len(words)] * 3
+
+
+def test_lines_in_whole_documents(spark):
+    """Every match of the table's texts is that of plain alignment at every place, and there is no other."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id % 7 = 0 OR text LIKE '%icense%'").collect()
+    reported = 0
+    for r in docs:
+        if 0 < len(licenses.WORD.findall(r["text"])) < 400:
+            expected = {n: m for n in LINES if (m := best_match(r["text"], n))}
+            assert {n: m for n, m in found_matches(r["text"]).items() if n in LINES} == expected, r["doc_id"]
+            reported += len(expected)
+    assert reported > 20
