@@ -1,12 +1,14 @@
 """Operator 4: exact top-k search by inner product with KD-trees per shard.
 
-Vectors are dealt to shards by a hash of their id. A shard's tree splits at the median of the widest dimension and keeps
-a tight box, and the smallest id, of every node. A query bounds a node's inner products by its box, takes nodes best
-first, and stops where no bound can beat its kth score. That score is propagated: a query first searches one shard, and
-carries what it found to all the others, which return only what can still be among the k best.
+Vectors are dealt to cells by the sides of the widest dimensions' means that they lie on, and a cell of many vectors to
+several shards by a hash of the id, so near vectors share shards and no vector that comes often makes a large one. A
+shard's tree splits at the median of the widest dimension and keeps a tight box, and the smallest id, of every node. A
+query bounds a node's inner products by its box, takes nodes best first, and stops where no bound can beat its kth
+score. That score is propagated: a query first searches its own shard, and carries what it found to those others whose
+root box can still beat it; these return only what can be among the k best.
 
-Queries go to the shards in blocks: a task holds one shard and one block. Nothing is broadcast, and no task's memory
-grows with the table.
+Queries go to the shards in blocks: a task holds one shard and one block, and no task's memory grows with the table.
+Root boxes are sent to the tasks where their counted bytes are few; beyond that queries go to all shards.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, nor do null ids; rows are
 searched for and found as often as they come, so one that repeats an id and a vector is a candidate of the other, and so
@@ -17,19 +19,23 @@ must be under 2**26, so that sums stay exact.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from factloom.llm.common import cut, prepare, table
+from factloom.llm.common import broadcast_if_small, cut, prepare, table
 
 #: Vectors of a shard, and queries of a block, on average.
 SHARD, BLOCK = 16384, 2048
 LEAF = 64
 SCALE = 256
+#: Bytes of root boxes up to which tasks hold them all, and shards of a cell at most.
+BOX_BYTES, PARTS = 32 << 20, 1 << 31
 
 
 class Tree:
@@ -64,7 +70,8 @@ class Tree:
         return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
 
     def search(self, query: np.ndarray, own_id: int, bounds: np.ndarray, k: int, found: list[tuple]) -> list[tuple]:
-        """The k best (score, -id, times) of `found` and this tree, as a heap; best-first by bound. `times` counts equal rows."""
+        """The k best (score, -id, times, new) of `found` and this tree, as a heap; best-first by bound. `times` counts
+        equal rows, `new` tells the tree's from those found before."""
         heap = list(found)
         heapq.heapify(heap)
         root = bounds[0]
@@ -91,9 +98,9 @@ class Tree:
                 keep &= scores >= heap[0][0]
             for s, i, n in zip(scores[keep].tolist(), ids[keep].tolist(), times[keep].tolist(), strict=True):
                 if len(heap) < k:
-                    heapq.heappush(heap, (s, -i, n))
+                    heapq.heappush(heap, (s, -i, n, True))
                 elif (s, -i) > heap[0][:2]:
-                    heapq.heapreplace(heap, (s, -i, n))
+                    heapq.heapreplace(heap, (s, -i, n, True))
         return heap
 
 
@@ -111,6 +118,56 @@ def _keys(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(n).alias(n) for n in names]).distinct()
 
 
+def _dealt(rows: DataFrame, shard: int) -> DataFrame:
+    """Rows (id, v, dim, ...) with `shard`, for about `shard` rows each."""
+    cell = F.lit(0).cast("long")
+    bits = (max(1, -(-rows.count() // shard)) - 1).bit_length()
+    if bits:
+        common = rows.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()["dim"]
+        spread = rows.where(F.col("dim") == common).select(F.posexplode("v").alias("d", "x")).groupBy("d").agg(F.avg("x").alias("mean"), F.var_pop("x").alias("var"))
+        for i, r in enumerate(spread.orderBy(F.desc("var"), "d").limit(bits).collect()):
+            cell = cell + F.when(F.get("v", F.lit(r["d"])) > r["mean"], F.lit(1 << i)).otherwise(0)
+        cell = F.when(F.col("dim") == common, cell).otherwise(0)
+    placed = rows.withColumn("cell", cell)
+    wide = cut(placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / shard).cast("long").alias("parts")).where("parts > 1"), "cells")
+    placed = placed.join(broadcast_if_small(wide, wide.count(), 32), "cell", "left")
+    return placed.withColumn("shard", F.col("cell") * PARTS + F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1)))).drop("cell", "parts")
+
+
+def _boxes(near: DataFrame) -> DataFrame:
+    """(dim, shard, low, high): the root box of each shard; sides are partial before the shuffle."""
+    sides = near.select("dim", "shard", F.posexplode("v").alias("d", "x")).groupBy("dim", "shard", "d").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    box = sides.groupBy("dim", "shard").agg(F.sort_array(F.collect_list(F.struct("d", "low", "high"))).alias("s"))
+    return cut(box.select("dim", "shard", F.transform("s", lambda x: x["low"]).alias("low"), F.transform("s", lambda x: x["high"]).alias("high")), "boxes")
+
+
+def _meeting(first: DataFrame, boxes: DataFrame, k: int) -> DataFrame:
+    """Rows of `first` with the other shards that may hold something better than what they have found."""
+    size = boxes.agg(F.coalesce(F.sum(16 * F.col("dim")), F.lit(0)).alias("n")).first()["n"]
+    if size > BOX_BYTES:
+        return first.join(boxes.select("dim", "shard"), "dim").where("shard != home")
+    sides = {}
+    for r in boxes.collect():  # their bytes are counted above
+        sides.setdefault(r["dim"], []).append((r["shard"], r["low"], r["high"]))
+    held = {d: (np.array([x[0] for x in s], np.int64), np.array([x[1] for x in s], float), np.array([x[2] for x in s], float)) for d, s in sides.items()}
+    sent = first.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for dim, own in batch.groupby("dim"):
+                shards, low, high = sent.value[dim]
+                found = own["times"].map(sum).to_numpy()
+                least = np.array([min(s) if len(s) and n >= k else -np.inf for s, n in zip(own["scores"], found, strict=True)])
+                for a in range(0, len(own), 256):
+                    part = own.iloc[a : a + 256]
+                    q = _matrix(part["qv"])
+                    bounds = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+                    at, to = np.nonzero((bounds >= least[a : a + 256, None]) & (shards[None, :] != part["home"].to_numpy()[:, None]))
+                    yield part.iloc[at].assign(shard=shards[to])
+
+    return first.mapInPandas(run, T.StructType([*first.schema.fields, T.StructField("shard", T.LongType())]))
+
+
 def top_k(vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """For every row for which `queries` (a condition on vec_id) holds, its k best others: query_id, rank, vec_id, score."""
     rows = (
@@ -120,12 +177,11 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id
         .agg(F.count(F.lit(1)).alias("times"))
         .withColumn("dim", F.size("v"))
     )
-    rows = cut(rows, "vectors")
-    count = rows.count()
-    shards, blocks = max(1, -(-count // shard)), max(1, -(-rows.where("q").count() // block))
-    near = rows.select(F.col("dim").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), F.col("id").alias("id"), F.col("v").alias("v"), F.col("times").alias("times"))
+    rows = cut(_dealt(cut(rows, "vectors"), shard), "dealt")
+    blocks = max(1, -(-rows.where("q").count() // block))
+    near = rows.select(F.col("dim").alias("dim"), F.col("shard").alias("shard"), F.col("id").alias("id"), F.col("v").alias("v"), F.col("times").alias("times"))
     asked = rows.where("q").select(
-        "dim", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("home"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).alias("block"), F.col("id").alias("query_id"), F.col("v").alias("qv"), F.col("times").alias("asked")
+        "dim", F.col("shard").alias("home"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).alias("block"), F.col("id").alias("query_id"), F.col("v").alias("qv"), F.col("times").alias("asked")
     )
     schema = "dim int, home long, block long, query_id long, qv array<bigint>, asked long, ids array<bigint>, scores array<bigint>, times array<bigint>"
 
@@ -140,13 +196,12 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id
             bounds = tree.bounds(q[a : a + 256]) if tree else None
             for i in range(a, min(a + 256, len(q))):
                 row = block_rows.iloc[i]
-                before = [(float(s), -int(x), int(n)) for s, x, n in zip(row["scores"], row["ids"], row["times"], strict=True)] if carried else []
+                before = [(float(s), -int(x), int(n), False) for s, x, n in zip(row["scores"], row["ids"], row["times"], strict=True)] if carried else []
                 heap = tree.search(q[i], int(row["query_id"]), bounds[i - a], k, before) if tree else before
-                held = set(before)  # of another shard, so of other ids
-                fresh = [x for x in heap if x not in held]
-                out_ids.append([-x for _, x, _ in fresh])
-                out_scores.append([int(s) for s, _, _ in fresh])
-                out_times.append([n for _, _, n in fresh])
+                fresh = [x for x in heap if x[3]]
+                out_ids.append([-x[1] for x in fresh])
+                out_scores.append([int(x[0]) for x in fresh])
+                out_times.append([x[2] for x in fresh])
         return block_rows.assign(ids=out_ids, scores=out_scores, times=out_times)[names]
 
     first = cut(
@@ -157,7 +212,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id
         .applyInPandas(lambda p, b: search(p, b, False), schema),
         "first",
     )
-    pairs = first.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard")).where("shard != home")
+    pairs = cut(_meeting(first, _boxes(near), k), "pairs")
     wanted = near.join(_keys(pairs, "dim", "shard", "block"), ["dim", "shard"])
     rest = wanted.groupBy("dim", "shard", "block").cogroup(pairs.groupBy("dim", "shard", "block")).applyInPandas(lambda p, b: search(p, b.drop(columns="shard"), True), schema)
     both = first.unionByName(rest).select("query_id", "qv", "asked", F.explode(F.arrays_zip("ids", "scores", "times")).alias("x"))

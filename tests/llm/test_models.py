@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from factloom.llm import classifier, licenses, topk
@@ -47,7 +48,9 @@ def test_op4_equals_sql(spark):
     assert_same(topk.exact_top_k(spark, DATA), topk.ORACLES["op4_exact_top_k"])
 
 
-def test_top_k_by_brute_force(spark):
+@pytest.mark.parametrize("box_bytes", [1 << 20, 0])
+def test_top_k_by_brute_force(spark, monkeypatch, box_bytes):
+    monkeypatch.setattr(topk, "BOX_BYTES", box_bytes)
     rng = np.random.default_rng(4)
     vectors = [(i, rng.normal(0, 0.1, 4).round(2).tolist()) for i in range(300)] + [(300 + i, [0.1, 0.1, 0.1, 0.1]) for i in range(150)]
     odd = [(900, None), (901, [1.0, None, 0.0, 0.0]), (902, [float("nan"), 0.0, 0.0, 0.0]), (903, [float("inf"), 0.0, 0.0, 0.0]), (904, []), (None, [1.0, 1.0, 1.0, 1.0]), (905, [1.0, 2.0]), (910, [3.0, 1.0])]
@@ -66,6 +69,19 @@ def test_top_k_by_brute_force(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
 
 
+def test_far_shards_are_left_out(spark):
+    """Vectors of two opposite clusters: no query is sent to a shard of the other one."""
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(0, 0.01, 6) + (1 if i % 2 else -1)).tolist()) for i in range(400)]
+    df = spark.createDataFrame([(i, [int(256 * x) for x in v], True, 6) for i, v in rows], "id long, v array<bigint>, q boolean, dim int")
+    dealt = topk._dealt(df, 100)
+    assert dealt.groupBy("shard").count().count() >= 3
+    first = dealt.select("dim", F.col("shard").alias("home"), F.col("id").alias("query_id"), F.col("v").alias("qv"), F.array(F.lit(100).cast("long")).alias("scores"), F.array(F.lit(9).cast("long")).alias("times"))
+    met = topk._meeting(first, topk._boxes(dealt), 5).groupBy("home", "shard").count().collect()
+    side = {r["shard"]: r["side"] for r in dealt.groupBy("shard").agg(F.max(F.col("id") % 2).alias("side")).collect()}
+    assert all(side[r["home"]] == side[r["shard"]] for r in met)
+
+
 def test_op4_in_several_shards_equals_sql(spark, monkeypatch):
     """As the query runs it, with so small shards and blocks that scores are carried between many."""
     data = "/root/testdata/sf0.01"
