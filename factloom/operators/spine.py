@@ -80,9 +80,9 @@ def chains(facts: DataFrame, start: DataFrame) -> DataFrame:
     """
     links = facts.where("superseded_by IS NOT NULL").select("id", F.col("superseded_by").alias("to")).distinct()
     here = start.select(F.col("id").alias("start_id"), "id", F.lit(0).alias("step")).distinct()
-    found = here
+    found, begun = here, here.count()
     for sign, hops in ((1, links), (-1, links.select(F.col("to").alias("id"), F.col("id").alias("to")))):
-        side, length, size = here, 1, None
+        side, length, size = here, 1, begun
         while True:
             hops = materialized(hops, "links")
             if hops.isEmpty():

@@ -49,8 +49,9 @@ class Store:
         """Append rows, inside a unit of work to what it will commit; columns that are missing are null, others are dropped."""
         columns = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES[name]]
         rows = rows.select(*columns)
-        if name == "posting":
-            rows = rows.sortWithinPartitions("namespace", "term")  # so that a term's rows lie together
+        # a namespace's rows lie together in a file, and in the index a term's, so that reads of one pass over the others
+        if order := [c for c in ("namespace", "term") if c in rows.columns]:
+            rows = rows.sortWithinPartitions(*order)
         if self._unit is None:
             rows.write.mode("append").parquet(f"{self.root}/{name}")
         else:
@@ -84,6 +85,9 @@ class Store:
 
     def recover(self) -> None:
         """Move what committed units hold into place, and remove the others. A file that is there already was moved before."""
+        for name in TABLES:
+            if self._fs.exists(self._path(f"_before/{name}")) and not self._fs.exists(self._path(name)):
+                self._fs.rename(self._path(f"_before/{name}"), self._path(name))
         units = self._path("_units")
         for unit in self._fs.listStatus(units) if self._fs.exists(units) else []:
             folder = unit.getPath().toString()
@@ -155,8 +159,10 @@ class Store:
         self._fs.setTimes(self._path(f"_{name}.lease"), int(time.time() * 1000), -1)
 
     def clear(self, namespace: str) -> None:
-        """Remove a namespace: every table is written again without it and then put in place. Refused under a live lease."""
+        """Remove a namespace: every table is written again without it, then swapped in by two renames; a table that a
+        lost writer left between the two is put back by the next one. Refused under a live lease."""
         with self.lease():
+            self.recover()
             facts = self.read("fact_assert").where(F.col("namespace") != namespace).select("id")
             proposals = self.read("maintenance_proposal").where(F.col("namespace") != namespace).select("id")
             kept_by = {
@@ -169,9 +175,11 @@ class Store:
                 rows = self.read(name)
                 rows = kept_by[name](rows) if name in kept_by else rows.where(F.col("namespace") != namespace)
                 rows.select(*TABLES[name].names).write.mode("overwrite").parquet(f"{self.root}/_staged/{name}")
+            self._fs.mkdirs(self._path("_before"))
             for name in there:
-                self._fs.delete(self._path(name), True)
+                self._fs.rename(self._path(name), self._path(f"_before/{name}"))
                 self._fs.rename(self._path(f"_staged/{name}"), self._path(name))
+            self._fs.delete(self._path("_before"), True)
 
     def namespaces(self) -> DataFrame:
         """Namespaces that have episodes, without reserved ones."""

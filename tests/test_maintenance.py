@@ -179,6 +179,20 @@ def test_a_unit_of_work_is_seen_whole_or_not_at_all(spark, tmp_path):
     assert other.read("episode").count() == 2
 
 
+def test_a_table_left_between_two_renames_comes_back(spark, tmp_path):
+    from factloom.sources.store import Store
+
+    store = Store(spark, f"file://{tmp_path}")
+    store.append("episode", spark.createDataFrame([("a", "n"), ("b", "m")], "id string, namespace string"))
+    store.clear("m")
+    assert [r["id"] for r in store.read("episode").collect()] == ["a"] and not (tmp_path / "_before").exists()
+    (tmp_path / "_before").mkdir()
+    (tmp_path / "episode").rename(tmp_path / "_before/episode")
+    with store.unit():
+        pass
+    assert store.read("episode").count() == 1
+
+
 def test_a_writer_taken_over_leaves_its_successors_lease(spark, tmp_path):
     from factloom.sources.store import LeaseHeld, Store
 
