@@ -63,10 +63,27 @@ def dedup_exact(facts: DataFrame, exclude: DataFrame | None = None) -> DataFrame
     return found.where("n > 1").withColumn("loser_ids", F.array_sort(F.array_remove("members", F.col("survivor_id")))).drop("members")
 
 
+def _dots(columns: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of vectors i and j, given by component, added up in the order of components: a matrix product's last
+    bits depend on what else is in the block."""
+    out = np.zeros(len(i))
+    for c in columns:
+        out += c[i] * c[j]
+    return out
+
+
+def _rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """Halves of x * 10**digits away from zero, as SQL rounds."""
+    scaled = np.abs(x) * 10.0**digits
+    whole = np.floor(scaled)
+    return np.copysign(whole + (scaled - whole >= 0.5), x) / 10.0**digits
+
+
 def near_pairs(facts: DataFrame, tau: float, slot: list[str] | None = None, embedding: str = "embedding", id: str = "id", text: str | None = "fact_text") -> DataFrame:
     """(slot..., a, b, cosine) with cosine >= tau and different normalised texts; a before b by (valid_at, id).
 
-    A slot's facts go into blocks; a task compares two blocks by one matrix product, and only pairs found leave it.
+    A slot's facts go into blocks; a task compares two blocks by one matrix product, and only pairs found leave it. The
+    cosine of what the product finds is computed again, rounded to 6 digits, and then compared with tau.
     """
     slot = slot or SLOT
     name = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in slot])
@@ -85,17 +102,26 @@ def near_pairs(facts: DataFrame, tau: float, slot: list[str] | None = None, embe
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["valid_at", "id"], ignore_index=True)
         v = np.stack(pdf["v"].to_numpy()).astype(float)
-        size = np.linalg.norm(v, axis=1)
-        v = v / np.where(size == 0, 1, size)[:, None]
+        columns = np.ascontiguousarray(v.T)
+        size = np.sqrt(_dots(columns, np.arange(len(v)), np.arange(len(v))))
+        unit = v / np.where(size == 0, 1, size)[:, None]
         block, norm, ids = pdf["block"].to_numpy(), pdf["norm"].to_numpy(), pdf["id"].to_numpy()
         one = block.min() == block.max() and pdf["pair"].iloc[0]["x"] == pdf["pair"].iloc[0]["y"]
         out = []
         for a in range(0, len(v), 512):
-            cos = v[a : a + 512] @ v.T
-            for i, j in zip(*np.nonzero(cos >= tau - 1e-9), strict=True):
-                if a + i < j and norm[a + i] != norm[j] and (one or block[a + i] != block[j]) and round(float(cos[i, j]), 6) >= tau:
-                    out.append((pdf["slot"].iloc[0], ids[a + i], ids[j], round(float(cos[i, j]), 6)))
-        return pd.DataFrame(out, columns=["slot", "a", "b", "cosine"])
+            i, j = np.nonzero(unit[a : a + 512] @ unit.T >= tau - 1e-6)  # half a millionth less can round to tau
+            i += a
+            fit = i < j
+            i, j = i[fit], j[fit]
+            fit = norm[i] != norm[j]
+            if not one:
+                fit &= block[i] != block[j]
+            i, j = i[fit], j[fit]
+            both = size[i] * size[j]
+            cosine = _rounded(_dots(columns, i, j) / np.where(both == 0, 1, both), 6)
+            fit = cosine >= tau
+            out.append(pd.DataFrame({"slot": pdf["slot"].iloc[0], "a": ids[i[fit]], "b": ids[j[fit]], "cosine": cosine[fit]}))
+        return pd.concat(out, ignore_index=True)
 
     return pairs.groupBy("slot", "pair").applyInPandas(compare, f"slot string, a {kind}, b {kind}, cosine double")
 

@@ -40,8 +40,11 @@ def usage_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label", (F.col("vec_id") % 13).alias("valid_at"))
-    return maintain.near_pairs(rows, 0.3, slot=["label"], text=None).select(F.col("slot").cast("int").alias("label"), "a", "b", F.round("cosine", 4).alias("cosine"))
+    rows = table(spark, sf_dir, "embeddings").where("vec_id IS NOT NULL AND label IS NOT NULL")
+    rows = rows.select(F.col("vec_id").alias("id"), "embedding", "label", (F.col("vec_id") % 13).alias("valid_at"))
+    # halves of the product, as in SQL: F.round takes them from the decimal digits, so 0.33795 would become 0.338
+    cosine = F.round(F.col("cosine") * 10_000) / 10_000
+    return maintain.near_pairs(rows, 0.3, slot=["label"], text=None).select(F.col("slot").cast("int").alias("label"), "a", "b", cosine.alias("cosine"))
 
 
 def summarize_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,6 +84,27 @@ def test_near_pairs_in_blocks_equal_brute_force(spark, monkeypatch):
     assert found == expected and expected
 
 
+def test_near_pairs_round_as_their_sql(spark, tmp_path):
+    from factloom.plans import maintenance
+    from tests.oracle import assert_same
+
+    cosines = [0.33795, 0.35505, 0.30365, 0.2999997, 0.2999994, -0.33795]  # halves, and what rounds to the threshold or not quite
+    rows = [(2 * i + j, v, i) for i, c in enumerate(cosines) for j, v in enumerate([[1.0, 0.0], [c, (1 - c * c) ** 0.5]])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = maintenance.dedup_near(spark, str(tmp_path))
+    assert {r["label"]: r["cosine"] for r in found.collect()} == {0: 0.3379, 1: 0.355, 2: 0.3036, 3: 0.3}
+    assert_same(found, maintenance.ORACLES["dedup_near"], tmp_path)
+
+
+def test_near_pairs_of_nulls_as_their_sql(spark, tmp_path):
+    from factloom.plans import maintenance
+    from tests.oracle import assert_same
+
+    rows = [(1, [1.0, 0.0], None), (2, [1.0, 0.0], None), (None, [1.0, 0.0], 7), (3, [1.0, 0.0], 7), (4, None, 7), (5, [1.0, 1.0], 7)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert_same(maintenance.dedup_near(spark, str(tmp_path)), maintenance.ORACLES["dedup_near"], tmp_path)
+
+
 def test_summary_is_never_backdated(spark, tmp_path):
     memory = Memory(spark, f"file://{tmp_path}", embedder=FakeEmbedder(2, 1), config=maintain.Config(tau_near=1.1))
     rows = [fact(i, "likes", f"likes thing{i}", 200 + i, salience=5.0) for i in range(1, 7)]
