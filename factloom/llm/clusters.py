@@ -1,10 +1,11 @@
 """Connected components of documents or lines that a costly test links, without pairs of all members of a group.
 
-`with_totals` tells each row about all rows of its key; `weak_edges` turns keys that several items share into a star for
-each key; `components` labels what edges connect; and `linked` tests inside each such weak component, in blocks of
-bounded size, each of which a function clusters exactly. All but small components have several blocks, so that none is a
-single task's work: where blocks give few clusters (a group of copies) their leaders meet, and the pairs of blocks that
-then still hold more than one cluster meet whole (texts that share a passage, say).
+`with_totals` tells each row about all rows of its key; `shared_keys` finds the keys that several items have;
+`weak_edges` turns such keys into a star for each key; `components` labels what edges connect; and `linked` tests inside
+each such weak component, in blocks of bounded size, each of which a function clusters exactly. All but small components
+have several blocks, so that none is a single task's work: where blocks give few clusters (a group of copies) their
+leaders meet, and the pairs of blocks that then still hold more than one cluster meet whole (texts that share a passage,
+say).
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ BLOCK_BYTES = 64 << 20
 WHOLE_BYTES, PART_BYTES, PARTS = 256 << 10, 64 << 10, 16
 #: A key is hot from so many rows on, as seen by one row in DRAWN; the MOST_HOT most frequent ones are dealt apart.
 HOT_ROWS, DRAWN, MOST_HOT = 4096, 64, 1024
+#: Parts that the rows of a hot key are dealt to by `parted`.
+SPREAD = 256
 #: Bytes of a block from which on a worker gives memory back after it.
 LARGE = 4 << 20
 
@@ -85,6 +88,30 @@ def with_totals(rows: DataFrame, key: str, totals: dict[str, Column], hot: DataF
     return cold.unionByName(warm.join(F.broadcast(sums), F.col(key) == F.col("_hot")).drop("_hot"))
 
 
+def parted(rows: DataFrame, key: str, hot: DataFrame, item: str = "item") -> DataFrame:
+    """Rows with `_part`: 0, or for keys of `hot` one of SPREAD numbers from 1 on, by the item.
+
+    What is dealt out by (key, _part) doesn't meet in one task, however hot the key, and all rows go one way: they are
+    read once and joined once, with the few keys of `hot`.
+    """
+    if hot.isEmpty():
+        return rows.withColumn("_part", F.lit(0))
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")  # at most MOST_HOT rows
+    return marked.withColumn("_part", F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(item), F.lit(SPREAD)) + 1).cast("int")).drop("_hot")
+
+
+def shared_keys(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """(item, size, key) rows -> the distinct ones of keys that several items have, with `df`, by which keys are ordered.
+
+    It is the number of the key's rows, or for hot keys, whose rows don't meet, a number above all others. A hot key that
+    one item alone has may stay: what it leads to is tested.
+    """
+    of = W.partitionBy("key", "_part")
+    totals = {"lo": F.min("item").over(of), "hi": F.max("item").over(of), "df": F.when(F.col("_part") > 0, 1 << 62).otherwise(F.count(F.lit(1)).over(of))}
+    several = parted(rows, "key", hot).withColumns(totals).where("_part > 0 OR lo < hi")
+    return several.select("item", "size", "key", "_part", "df").distinct().drop("_part")  # with _part, where they are
+
+
 def _least(rows: DataFrame) -> DataFrame:
     """(k, m): the least b of each a. Written, so that a join with it deals out both sides itself and Spark can split a
     hot node; broadcast where the counted rows are few."""
@@ -120,9 +147,18 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def weak_edges(shared: DataFrame, hot: DataFrame, key: str = "key", item: str = "item", may_lead: str | None = None) -> DataFrame:
-    """(key, item) rows of keys with several items -> star edges (a, b): each key's least item (of those that may lead) to the others."""
-    lead = F.min(F.when(F.col(may_lead), F.col(item)) if may_lead else F.col(item))
-    return with_totals(shared, key, {"_lead": lead}, hot).select(F.col(item).alias("a"), F.col("_lead").alias("b")).where("b IS NOT NULL AND a <> b").distinct()
+    """(key, item) rows of keys with several items -> star edges (a, b): each key's least item (of those that may lead) to the others.
+
+    Where all may lead, the items of a hot key go to the least one of their part, and these to the key's.
+    """
+    if may_lead:
+        lead = F.min(F.when(F.col(may_lead), F.col(item)))
+        return with_totals(shared, key, {"_lead": lead}, hot).select(F.col(item).alias("a"), F.col("_lead").alias("b")).where("b IS NOT NULL AND a <> b").distinct()
+    stars = parted(shared, key, hot, item).withColumn("_lead", F.min(item).over(W.partitionBy(key, "_part")))
+    stars = cut(stars.select(F.col(key).alias("key"), "_part", F.col(item).alias("a"), F.col("_lead").alias("b")).where("_part > 0 OR a <> b"), "stars")
+    leads = stars.where("_part > 0").select("key", "b").distinct()  # at most SPREAD rows a key
+    tops = leads.select(F.col("b").alias("a"), F.min("b").over(W.partitionBy("key")).alias("b"))
+    return stars.select("a", "b").unionAll(tops).where("a <> b").distinct()
 
 
 def place(items: DataFrame) -> DataFrame:

@@ -4,8 +4,8 @@ A document's set holds the 64-bit hashes of its distinct word shingles. Two sets
 similarity t have at least t * max(x, y) tokens in common, so under any global order of tokens their prefixes of
 x - ceil(t x) + k(x) tokens share at least k tokens. Order 1 is by hash. Prefix tokens are the join's keys; documents
 with fewer than k shared tokens drop out; of the others' shared tokens those k - 1 that come last in order 2, by
-document frequency and hash, aren't needed, as some common token remains. So frequent passages join nothing unless
-documents consist of them.
+document frequency (hot tokens above all others) and hash, aren't needed, as some common token remains. So frequent
+passages join nothing unless documents consist of them.
 
 What remains is a star for each key (no pairs of all members), whose components are tested inside (see clusters): there
 an inverted index over the prefixes of order 1 counts shared tokens against the k due; candidates must also share prefix
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factloom.llm.clusters import Sets, components, draw, hot_keys, linked, place, weak_edges, with_totals
+from factloom.llm.clusters import Sets, components, draw, hot_keys, linked, place, shared_keys, weak_edges
 from factloom.llm.common import broadcast_if_small, cut, prepare, release, table
 
 WORDS = 5
@@ -227,12 +227,7 @@ def _leaders(docs: DataFrame, sketches: DataFrame, n: int, percent: int, doc_id:
     """(item, leader) of the texts that may link to others; leaders name components."""
     keyed = sketches.where("prefix IS NOT NULL").select("item", "size", F.explode("prefix").alias("key"))
     hot = hot_keys(draw(sketches.where("prefix IS NOT NULL"), "item").select(F.explode("prefix").alias("key")), "key")
-    shared = (
-        with_totals(keyed, "key", {"lo": F.min("item"), "hi": F.max("item"), "df": F.count(F.lit(1))}, hot)
-        .where("lo < hi")
-        .select("item", "size", "key", "df")
-        .distinct()
-    )
+    shared = shared_keys(keyed, hot)
     least = F.ceil(F.col("size") * percent / 100)
     k = F.lit(1) + F.least(F.floor(least / 3), 32 + F.floor((least - 96) / 8))  # _due
     last = F.row_number().over(W.partitionBy("item").orderBy(F.desc("df"), F.desc("key")))

@@ -219,6 +219,33 @@ def test_joins_with_hot_keys_and_without_broadcasts(spark, monkeypatch, how):
     assert {r["row"]["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()} == {i: t for (i, _), t in brute_lines(sorted(lines.items())).items()}
 
 
+def test_rows_of_hot_keys_go_one_way(spark, monkeypatch):
+    """Hot keys take no joins of their own, and every item of a key gets into its star."""
+    monkeypatch.setattr(clusters, "SPREAD", 5)
+    monkeypatch.setattr(clusters, "HOT_ROWS", 64)
+    monkeypatch.setattr(clusters, "DRAWN", 1)
+    plans = {}
+    cut = clusters.cut
+
+    def told(df, label):
+        plans.setdefault(label, df._jdf.queryExecution().optimizedPlan().toString())
+        return cut(df, label)
+
+    for module in (clusters, ngram_join):
+        monkeypatch.setattr(module, "cut", told)
+    common = [f"w{i}" for i in range(40)]
+    texts = {i: " ".join([*common, f"x{i}"]) for i in range(100)} | {100 + i: " ".join(f"y{i}_{j}" for j in range(9)) for i in range(20)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    found = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(df).collect()}
+    assert found == brute_jaccard(texts)
+    assert plans["needed"].count("Join ") == plans["needed"].count("Generate ") == plans["stars"].count("Join ") == 1
+    rows = [(k, i) for k in range(3) for i in range(1000 * k, 1000 * k + 100)] + [(9, 5), (9, 1005), (10, 7)]
+    keyed = spark.createDataFrame(rows, "key long, item long")
+    edges = clusters.weak_edges(keyed, clusters.hot_keys(keyed, "key"))
+    assert {(r["node"], r["component"]) for r in clusters.components(edges).collect()} == {(i, 0 if k < 2 else 2000) for k, i in rows if k < 3}
+    assert edges.count() < 3 * 110
+
+
 def test_keep_one_of_each_group(spark):
     long = " ".join(f"w{i}" for i in range(40))
     rows = [(None, long, 1), (None, long, 2), (7, long + " x", 3), (5, "other words of five", 4), (5, long, 5), (9, None, 6), (9, None, 7), (None, "", 8), (5, "other words of five", 9), (None, "alone", 10), (None, "alone", 11)]
