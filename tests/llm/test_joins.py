@@ -238,7 +238,8 @@ def test_rows_of_hot_keys_go_one_way(spark, monkeypatch):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
     found = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(df).collect()}
     assert found == brute_jaccard(texts)
-    assert plans["needed"].count("Join ") == plans["needed"].count("Generate ") == plans["stars"].count("Join ") == 1
+    assert plans["needed"].count("Generate ") == 1 and plans["needed"].count("Join ") == 1
+    assert plans["stars"].count("Join ") == 1
     rows = [(k, i) for k in range(3) for i in range(1000 * k, 1000 * k + 100)] + [(9, 5), (9, 1005), (10, 7)]
     keyed = spark.createDataFrame(rows, "key long, item long")
     edges = clusters.weak_edges(keyed, clusters.hot_keys(keyed, "key"))
