@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -28,6 +29,8 @@ WHOLE_BYTES, PART_BYTES, PARTS = 256 << 10, 64 << 10, 16
 HOT_ROWS, DRAWN, MOST_HOT = 4096, 64, 1024
 #: Parts that the rows of a hot key are dealt to by `parted`.
 SPREAD = 256
+#: Edges up to this number, 1 MB of them, are joined in one task; more take rounds over all tasks.
+FEW_EDGES = 1 << 16
 #: Bytes of a block from which on a worker gives memory back after it.
 LARGE = 4 << 20
 
@@ -119,15 +122,33 @@ def _least(rows: DataFrame) -> DataFrame:
     return broadcast_if_small(least, least.count(), 32)
 
 
+def _joined(edges: DataFrame) -> DataFrame:
+    """The components of at most FEW_EDGES edges, by one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.stack([c.to_numpy() for c in batch.columns]) for batch in batches]
+        if held:
+            nodes, at = np.unique(np.concatenate(held, axis=1), return_inverse=True)
+            groups = Sets(list(range(len(nodes))))
+            for i, j in at.reshape(2, -1).T.tolist():
+                groups.union(i, j)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[groups.labels()])], ["node", "component"])
+
+    return edges.select("a", "b").coalesce(1).mapInArrow(run, "node long, component long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) edges of longs -> (node, component), component the least node reachable; nodes without edges don't occur.
 
     Alternates large-star and small-star steps; each is a minimum by node, partial before the shuffle, and a join back
-    that Spark may split at a hot node. What a round makes is written, so a lost executor repeats one round.
+    that Spark may split at a hot node. What a round makes is written, so a lost executor repeats one round. Where at most
+    FEW_EDGES are left, a round costs more than they do, and one task joins them.
     """
     before = made()
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     while True:
+        if now.count() <= FEW_EDGES:
+            return _joined(now)
         both = now.select("a", "b").unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = _least(both).select("k", F.least("k", "m").alias("m"))
         large = both.join(least, F.col("a") == F.col("k")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()

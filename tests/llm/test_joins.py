@@ -48,6 +48,24 @@ def test_components(spark):
     assert clusters.components(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("few", [-1, 150, 1 << 16])
+def test_few_edges_take_no_rounds(spark, monkeypatch, few):
+    rng = random.Random(2)
+    edges = [(rng.randint(-400, 400), rng.randint(-400, 400)) for _ in range(250)] + [(2000 + i, 2001 + i) for i in range(50)] + [(-(1 << 63), (1 << 63) - 1)]
+    spread = {x: k for k, x in enumerate(sorted({x for e in edges for x in e}))}
+    groups, names = clusters.Sets(list(range(len(spread)))), list(spread)
+    for a, b in edges:
+        groups.union(spread[a], spread[b])
+    nodes = {x for a, b in edges if a != b for x in (a, b)}
+    written = []
+    cut = clusters.cut
+    monkeypatch.setattr(clusters, "FEW_EDGES", few)
+    monkeypatch.setattr(clusters, "cut", lambda df, label: written.append(label) or cut(df, label))
+    found = [(r["node"], r["component"]) for r in clusters.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()]
+    assert sorted(found) == sorted((x, names[groups.find(spread[x])]) for x in nodes)
+    assert written == ["edges"] if few > len(edges) else len(written) >= 5
+
+
 @pytest.mark.parametrize("edits", [1, 2, 3])
 def test_banded_distance_and_keys(edits):
     rng = random.Random(edits)
