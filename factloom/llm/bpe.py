@@ -15,16 +15,19 @@ import base64
 import struct
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import WordCache, apart, prepare, table
+from factloom.llm.common import MARKS, WordCache, prepare, table
 
 #: A byte b stands as the letter of code point FIRST_LETTER + b, which sentencepiece treats like any other.
 FIRST_LETTER = 0x100
+#: The pattern that `plain` knows; under any other all words take the pattern itself.
+KNOWN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -68,6 +71,23 @@ def serialise(ranks: dict[bytes, int]) -> bytes:
     return b"".join(pieces) + _field(2, trainer) + _field(3, identity)
 
 
+def plain(word: str) -> list[str] | None:
+    """The pre-tokens, under KNOWN, of Latin letters and marks, after one space or none, on one line or several; None for
+    all other words, which take the pattern itself."""
+    out = []
+    for i, line in enumerate(word.split("\n") if "\n" in word else (word,)):
+        core = line.rstrip(MARKS)
+        letters = core[1:] if not i and core[:1] == " " else core
+        if not letters.isalpha() or not letters.isascii() and max(letters) >= "ɐ":
+            return None
+        if i:
+            out.append("\n")
+        out.append(core)
+        if len(core) < len(line):
+            out.append(line[len(core) :])
+    return out
+
+
 class Codec:
     """Encodes and decodes by one vocabulary; workers keep one for each file and pattern."""
 
@@ -79,7 +99,7 @@ class Codec:
         self.tokens = [t for t, _ in sorted(ranks.items(), key=lambda x: x[1])]
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(ranks))
         self.findall = regex.compile(pattern).findall
-        self.mapped = {b: chr(FIRST_LETTER + b) for b in range(256)}
+        self.known = pattern == KNOWN
         whole = self.model.encode([letters(t) for t in self.tokens], num_threads=1)
         #: Tokens that merging by rank doesn't reach: a pre-token that equals one takes its id at once.
         self.unreached = {t: r for r, (t, ids) in enumerate(zip(self.tokens, whole, strict=True)) if ids != [r]}
@@ -87,22 +107,33 @@ class Codec:
         self.cache = WordCache(self._words, leading=True)
 
     def _words(self, words: list[str]) -> list[bytes]:
-        if len(self.pretokens) > 150_000:
+        if len(self.pretokens) > 400_000:
             self.pretokens.clear()
         kept = self.pretokens
-        cores, tails = apart(words)
-        lists = [self.findall(c) + ([t] if t else []) for c, t in zip(cores, tails, strict=True)]
+        lists = [self.known and plain(w) or self.findall(w) for w in words]
         missing = list(set().union(*lists).difference(kept))
-        raw = [m.encode() for m in missing]
-        ids = self.model.encode([b.decode("latin-1").translate(self.mapped) for b in raw], num_threads=1)
-        for text, b, found in zip(missing, raw, ids, strict=True):
-            kept[text] = np.array([self.unreached[b]] if b in self.unreached else found, "<u4").tobytes()
-        out = [b"".join(map(kept.__getitem__, x)) for x in lists]
+        kept.update(zip(missing, self._pretokens(missing), strict=True))
+        get = kept.__getitem__
+        out = [get(x[0]) if len(x) == 1 else b"".join(map(get, x)) for x in lists]
         for m in missing:
             if len(m) > 48:
                 kept.pop(m, None)
         return out
 
+    def _pretokens(self, texts: list[str]) -> list[bytes]:
+        """The ids of pre-tokens; all bytes become letters at once."""
+        ends = [0, *accumulate(len(t) if t.isascii() else len(t.encode()) for t in texts)]
+        raw = "".join(texts).encode()
+        mapped = (np.frombuffer(raw, np.uint8).astype("<u2") + FIRST_LETTER).tobytes().decode("utf-16-le")
+        found = self.model.encode([mapped[a:b] for a, b in zip(ends, ends[1:])], num_threads=1)
+        if self.unreached:
+            for i, (a, b) in enumerate(zip(ends, ends[1:])):
+                if raw[a:b] in self.unreached:
+                    found[i] = [self.unreached[raw[a:b]]]
+        ids = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
+        bounds = [0, *accumulate(4 * len(x) for x in found)]
+        return [ids[a:b] for a, b in zip(bounds, bounds[1:])]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         return self.cache.texts(texts)
 

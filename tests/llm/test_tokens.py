@@ -199,3 +199,29 @@ def test_packing_of_odd_rows(odd):
     rows = packing.pack(odd, path, public.PATTERN)
     assert rows.agg(F.sum("length")).first()[0] == sum(len(x) + 1 for x in map(tiktoken_ids(), [r["text"] for r in odd.collect()]))
     assert packing.pack(odd.limit(0), path, public.PATTERN).count() == 0
+
+
+def test_plain_words_are_those_of_one_pattern(tmp_path):
+    assert bpe.KNOWN == public.PATTERN
+    tokens = [bytes([b]) for b in range(256)] + [b"b.", b" a", b"b\n"]
+    path = tmp_path / "r.tiktoken"
+    path.write_bytes(b"\n".join(base64.b64encode(t) + b" %d" % i for i, t in enumerate(tokens)))
+    found = bpe.Codec(str(path), r"\S+|\s+").encode(["ab. ab\nab"])[0]
+    assert np.frombuffer(found, "<u4").tolist() == [97, 256, 32, 97, 98, 10, 97, 98]
+
+
+def test_plain_words_take_no_pattern(monkeypatch):
+    own = bpe.Codec(public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    rng = random.Random(11)
+    parts = [*PARTS, "ª", "µ", "ɏ", "ɐ", "ñ", "\n", "\n", "$$$", ".", ")", "Wort", "ǅ", "²", "_", "'", "-"]
+    for _ in range(20000):
+        word = "".join(rng.choice(parts) for _ in range(rng.randint(0, 6)))
+        found = bpe.plain(word)
+        assert found is None or found == own.findall(word), word
+    asked = []
+    findall = own.findall
+    monkeypatch.setattr(own, "findall", lambda word: asked.append(word) or findall(word))
+    text = "Ein Wort, übel.\nZwei lines$$$\nthree words"
+    expected = packed(tiktoken_ids()(text))
+    assert own.encode([text]) == [expected] and not asked
+    assert own.encode([text + " it's 5\n\n"]) == [packed(tiktoken_ids()(text + " it's 5\n\n"))] and asked
