@@ -110,7 +110,7 @@ class WordCache:
 
     `encode` maps words to the bytes of their ids. With `leading`, a word carries the space before it, and words are
     joined to the next where they are empty or end in white space: a token never spans the seam between a
-    non-space character and a space. Without it, white space is dropped, and each word stands alone.
+    non-space character and a space. Without it, white space is dropped, and each word stands alone; lines are words' ends too.
     The cache is cleared when it reaches `limit` words.
     """
 
@@ -136,8 +136,8 @@ class WordCache:
             kept.clear()
         if len(first) > 20_000:
             first.clear()
-        split = [(t or "").split(" ") for t in texts]
         prefix = " " if self.leading else ""
+        split = [(t or "").split(" ") if self.leading else (t or "").replace("\n", " ").split(" ") for t in texts]
         heads = {p[0] for p in split}
         if self.leading:
             self._learn([h for h in heads if h not in first], first, "")
@@ -169,17 +169,3 @@ class WordCache:
 
 #: Marks that may follow a word; between a letter and one of them there is always a seam.
 MARKS = ".,!?;:#*$%&|)]}\""
-
-
-def apart(words: list[str]) -> tuple[list[str], list[str]]:
-    """Split each word into its core and the marks that follow a letter; either may be empty."""
-    cores, tails = [], []
-    for w in words:
-        core = w.rstrip(MARKS)
-        if core and core[-1].isalpha():
-            cores.append(core)
-            tails.append(w[len(core) :])
-        else:
-            cores.append(w)
-            tails.append("")
-    return cores, tails

@@ -16,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from factloom.llm.common import WordCache, apart
+from factloom.llm.common import MARKS, WordCache
 
 #: Stands for the end of a word in the merge loop; words that hold it go through the library.
 WORD_END = "\0"
@@ -111,16 +111,18 @@ class WordLevel(_Added):
 
     def _words(self, words: list[str]) -> list[bytes]:
         """A core of letters, lower-cased, and the marks after it are a pre-token each; other words aren't fast."""
-        cores, tails = apart(words)
         pieces, parts, slow = [], [], []
-        for i, (core, tail) in enumerate(zip(cores, tails, strict=True)):
+        for i, word in enumerate(words):
             # Latin letters lower-case one by one, and their composed forms are normal already
+            core = word.rstrip(MARKS)
             lower = core.lower()
             if lower.isalpha() and (core.isascii() or max(core) < "ɐ"):
                 pieces.append(lower)
-                if tail:
-                    pieces.append(tail)
-                parts.append(2 if tail else 1)
+                if len(core) < len(word):
+                    pieces.append(word[len(core) :])
+                    parts.append(2)
+                else:
+                    parts.append(1)
             else:
                 parts.append(0)
                 slow.append(i)

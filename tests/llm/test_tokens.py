@@ -225,3 +225,14 @@ def test_plain_words_take_no_pattern(monkeypatch):
     expected = packed(tiktoken_ids()(text))
     assert own.encode([text]) == [expected] and not asked
     assert own.encode([text + " it's 5\n\n"]) == [packed(tiktoken_ids()(text + " it's 5\n\n"))] and asked
+
+
+def test_lines_take_no_library(monkeypatch):
+    from factloom.llm.tokens import WordLevel
+
+    own, expected = WordLevel(public.path("word_bpe_49k.json")), library("word_bpe_49k.json")
+    odd = ["a\n", "\n\n", "a\ńb", "Σ\nΣ", "5\n'S x", "\r\na", "x\n"]
+    assert own.texts(odd) == [packed(expected(t)) for t in odd]
+    monkeypatch.setattr(own, "library", None)
+    texts = ["Ein Wort, übel.\nZwei lines$$$\nthree words"] * 2 + ["one.\nTwo"]
+    assert own.texts(texts) == [packed(expected(t)) for t in texts]
