@@ -17,6 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 ARROW_ROWS = 500
 #: Longest word that a worker keeps in its cache; longer ones are encoded anew each time.
 LONGEST_KEPT = 48
+#: Where the shared folder is a mounted one (file:), Hadoop without its native library starts a process `chmod` for each file,
+#: and another for its checksum file. The raw file system writes no checksum files; pages carry their own, which reads verify.
+RAW_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "parquet.page.write-checksum.enabled": "true"}
+VERIFIED = {"parquet.page.verify-checksum.enabled": "true"}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -96,8 +100,8 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     uri = fresh_folder(spark, label)
-    df.write.parquet(uri)
-    return spark.read.schema(df.schema).parquet(uri)
+    df.write.options(**RAW_FILES).parquet(uri)
+    return spark.read.schema(df.schema).options(**VERIFIED).parquet(uri)
 
 
 def broadcast_if_small(df: DataFrame, rows: int, bytes_per_row: int, limit: int = 32 << 20) -> DataFrame:
